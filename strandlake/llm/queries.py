@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, packing, quality
+from . import chat, language, neighbours, packing, quality, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.query,
+    "op3_neighbours": neighbours.query,
+    "op5_chat": chat.query,
+    "op6_sharding": sharding.query,
     "op9_language": language.query,
     "op10_quality": quality.query,
 }

@@ -34,3 +34,24 @@ def crc_mod(column: Column, modulus: int) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def with_added(df: DataFrame, text: str, added: str, make) -> DataFrame:
+    """df's rows as a struct column ``row``, and columns made from their texts: added is their schema, make gives their pyarrow arrays from a list of texts.
+
+    The struct keeps the rows' own columns apart, whatever their names.
+    """
+    import pyarrow as pa
+
+    from ._words import sliced
+
+    names = ["row", *(c.split()[0] for c in added.split(", "))]
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            for a, b in sliced(texts):
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], *make(texts[a:b])], names)
+
+    packed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(f"`{text}`").alias("text"))
+    return packed.mapInArrow(run, f"row {packed.schema['row'].dataType.simpleString()}, {added}")

@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, language, neighbours, packing, quality, sharding
+from . import chat, decontamination, html, language, neighbours, packing, quality, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.query,
     "op3_neighbours": neighbours.query,
+    "op4_decontamination": decontamination.query,
     "op5_chat": chat.query,
     "op6_sharding": sharding.query,
+    "op7_html": html.query,
     "op9_language": language.query,
     "op10_quality": quality.query,
 }

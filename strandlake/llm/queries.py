@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, html, language, neighbours, packing, quality, sharding
+from . import chat, decontamination, html, language, neighbours, packing, quality, sharding, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.query,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_chat": chat.query,
     "op6_sharding": sharding.query,
     "op7_html": html.query,
+    "op8_substrings": substrings.query,
     "op9_language": language.query,
     "op10_quality": quality.query,
 }

@@ -55,3 +55,23 @@ def with_added(df: DataFrame, text: str, added: str, make) -> DataFrame:
 
     packed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(f"`{text}`").alias("text"))
     return packed.mapInArrow(run, f"row {packed.schema['row'].dataType.simpleString()}, {added}")
+
+
+def bitmap(df: DataFrame, key: str, bits: int):
+    """2**bits bits as bytes, set at the top bits of each 64-bit key; what reaches the driver is bounded by them."""
+    import numpy as np
+
+    place = F.shiftrightunsigned(key, 64 - bits)
+    words = df.select(F.shiftright(place, 6).alias("w"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned({key}, {64 - bits}) & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+    out = np.zeros(1 << (bits - 6), np.int64)
+    found = words.toArrow()
+    out[found.column(0).to_numpy()] = found.column(1).to_numpy()
+    return out.view(np.uint8)
+
+
+def in_bitmap(held, keys, bits: int):
+    """Whether each key (unsigned 64-bit) may be in a bitmap()."""
+    import numpy as np
+
+    k = keys >> np.uint64(64 - bits)
+    return (held[(k >> np.uint64(3)).astype(np.int64)] >> (k & np.uint64(7)).astype(np.uint8)) & 1 == 1

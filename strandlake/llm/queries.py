@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, html, language, neighbours, packing, quality, sharding, substrings
+from . import chat, decontamination, html, language, neighbours, ngrams, packing, quality, sharding, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.query,
+    "op2_ngrams": ngrams.query,
     "op3_neighbours": neighbours.query,
     "op4_decontamination": decontamination.query,
     "op5_chat": chat.query,

@@ -201,6 +201,11 @@ def _joined(docs: DataFrame, items: DataFrame) -> DataFrame:
     return out.select("row", F.col("items").isNotNull().alias("contaminated"), F.coalesce("items", F.array().cast("array<long>")).alias("items"), F.coalesce("best.size", F.lit(0)).cast("long").alias("overlap_words"), F.coalesce("best.share", F.lit(0.0)).alias("agreement"))
 
 
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs without an overlap, in all their columns."""
+    return annotate(docs, benchmark).where("not contaminated").select("row.*")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = annotate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return found.select(F.col("row.doc_id").cast("long").alias("doc_id"), "contaminated", "items", "overlap_words", "agreement")

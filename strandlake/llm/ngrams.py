@@ -36,13 +36,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._words import Words, mix, sliced, spans_hash, windows, words_of
-from ._work import bitmap, in_bitmap, settled, table
+from ._work import id_bitmap, settled, table, where_id
 from .components import components
 
 HEAVY_COUNT, MAX_HEAVY = 32, 1 << 17
 SKETCH_WORDS = 8
 SKETCH_BITS = 64 * SKETCH_WORDS
-BITMAP = 24
 
 
 @dataclass(frozen=True)
@@ -95,8 +94,7 @@ def _each(docs: DataFrame, schema: str, rule: Rule, make: Callable[[list[int | N
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if among is not None:
-                ids = batch.column(0).fill_null(0).to_numpy().view(np.uint64)
-                batch = batch.filter(pa.array(in_bitmap(among, mix(ids), BITMAP)))
+                batch = where_id(batch, among)
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in sliced(texts):
                 w = words_of(texts[a:b], lower=True)
@@ -144,8 +142,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, rule: Rule) ->
     """The pairs (a, b: nodes) whose sets are similar enough, exactly."""
     pairs = settled(pairs.distinct(), "pairs")
     asked = settled(pairs.select("a").union(pairs.select("b")).distinct().select(F.col("a").alias("sig")).join(nodes.select("sig", "doc_id"), "sig"), "asked")
-    # The ids' bitmap has the mixed id's top bits: mix() in SQL terms is costly, so ids are hashed where they are read.
-    held = _id_bitmap(asked)
+    held = id_bitmap(asked)
 
     def make(ids: list[int | None], sets: list[np.ndarray]) -> list[pa.Array]:
         return [pa.array([signature(s) for s in sets], pa.int64()), _lists(sets)]
@@ -157,14 +154,6 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, rule: Rule) ->
     return settled(both.where(rule.overlaps(F.size(F.array_intersect("x", "y")), F.size("x"), F.size("y"))).select("a", "b"), "links")
 
 
-def _id_bitmap(asked: DataFrame) -> np.ndarray:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(mix(batch.column(0).to_numpy().view(np.uint64)).view(np.int64))], ["key"])
-
-    return bitmap(asked.where("doc_id is not null").select("doc_id").mapInArrow(run, "key long"), "key", BITMAP)
-
-
 def _allowed(rule: Rule, a: str, b: str) -> Column:
     """Whether sizes and positions of a common prefix shingle allow a link; a and b: prefixes of the columns n and at."""
     na, nb = F.col(f"{a}n"), F.col(f"{b}n")
@@ -233,10 +222,11 @@ def linked(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
 
 
 def representatives(docs: DataFrame, rule: Rule) -> DataFrame:
-    """The rows of docs that are the smallest of their component, in all their columns; of equal rows one."""
+    """The rows of docs that are the smallest of their component, in all their columns; of rows with equal id and text one. Rows without an id stay."""
     found = linked(docs, rule)
-    kept = found.where("doc_id = component_id or doc_id is null").select("doc_id").distinct()
-    return docs.join(kept.withColumnRenamed("doc_id", "_kept"), docs["doc_id"].cast("long").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id", "text"])
+    kept = found.where("doc_id = component_id").select("doc_id").distinct()
+    rows = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return rows.unionByName(docs.where("doc_id is null"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

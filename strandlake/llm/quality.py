@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._words import sliced, words_of
-from ._work import crc_mod, table
+from ._work import crc_mod, table, with_added
 
 BUCKETS, RANK = 2048, 8
 #: Bound of the training sample: labelled rows of each label, chosen by a hash of doc_id.
@@ -151,6 +151,12 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
 
 
+def kept(docs: DataFrame, machine: Machine, least: float = KEEP_AT) -> DataFrame:
+    """The rows of docs whose text scores ``least`` or more, in all their columns."""
+    scored = with_added(docs, "text", "score double", lambda texts: [pa.array(machine.score(features(texts)).astype(float), pa.float64())])
+    return scored.where(F.col("score") >= least).select("row.*")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     machine = learn(docs, labels.where(crc_mod(F.col("doc_id"), 5) != 0))

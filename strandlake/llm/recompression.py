@@ -9,7 +9,9 @@ dictionary that all rounds share.
 Besides the words it covers, a symbol has a context: the words that fix how it was
 parsed.  Wherever these words occur, the symbol occurs.  So equal windows hold
 equal symbols inside, and the choice of one of them (of the highest level, then
-of the smallest name) is the same for equal windows, whatever stands around.
+of the smallest name, then the first) is the same for equal windows, whatever stands
+around.  Windows that choose a symbol hold its context too, so the context's
+fingerprint stands for it.
 """
 
 from __future__ import annotations
@@ -18,9 +20,9 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from ._words import mix
+from ._words import _STEP, mix, spans_hash
 
-ROUNDS = 8
+ROUNDS = 6
 
 @dataclass
 class Level:
@@ -92,21 +94,23 @@ def levels(words: np.ndarray, first: np.ndarray, width: int, rounds: int = ROUND
 
 
 def _smallest(values: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """min(values[a:b]) of each non-empty range."""
+    """Where values[a:b] is smallest, for each non-empty range; the first of equal ones."""
     size = b - a
-    out = np.empty(len(a), values.dtype)
-    table, step, k = values, 1, 0
+    out = np.empty(len(a), np.int64)
+    best, step = np.arange(len(values)), 1
     while True:
         here = np.flatnonzero((size >= step) & (size < 2 * step))
-        out[here] = np.minimum(table[a[here]], table[b[here] - step])
+        left, right = best[a[here]], best[b[here] - step]
+        out[here] = np.where(values[left] <= values[right], left, right)
         if step * 2 > size.max(initial=0):
             return out
-        table = np.minimum(table[:-step], table[step:])
-        step, k = step * 2, k + 1
+        left, right = best[:-step], best[step:]
+        best = np.where(values[left] <= values[right], left, right)
+        step *= 2
 
 
 def anchors(words: np.ndarray, first: np.ndarray, width: int, rounds: int = ROUNDS) -> np.ndarray:
-    """For each word at which a window of width words of one text starts: the name of the symbol chosen in it; 0 for other words."""
+    """For each word at which a window of width words of one text starts: a fingerprint of the symbol chosen in it and of its context; 0 for other words."""
     out = np.zeros(len(words), np.uint64)
     ends = np.repeat(first[1:], np.diff(first))
     open_at = np.flatnonzero(np.arange(len(words)) + width <= ends)
@@ -115,7 +119,8 @@ def anchors(words: np.ndarray, first: np.ndarray, width: int, rounds: int = ROUN
             break
         a, b = np.searchsorted(level.low, open_at, "left"), np.searchsorted(level.high, open_at + width, "right")
         has = b > a
-        # A name of one level says nothing of another's.
-        out[open_at[has]] = _smallest(mix(level.name + np.uint64(k << 8)), a[has], b[has]) | np.uint64(1)
+        chosen, which = np.unique(_smallest(mix(level.name), a[has], b[has]), return_inverse=True)
+        # A fingerprint of one level says nothing of another's.
+        out[open_at[has]] = spans_hash(words, level.low[chosen], level.high[chosen], _STEP ^ (k + 1 << 8))[which] | np.uint64(1)
         open_at = open_at[~has]
     return out

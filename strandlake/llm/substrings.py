@@ -4,7 +4,8 @@ A window is WIDTH consecutive words of one document.  A word goes if a window th
 covers it also starts in a document with a smaller doc_id.
 
 1. Each text is recompressed (see recompression.py) in one pass; the names of the
-   symbols chosen in its windows, one for about 15 words, are its anchors.
+   symbols chosen in its windows, one for about 15 words, are its anchors, with the
+   words that fix them.
    Texts of equal words are one from here on: all but the smallest doc_id go whole.
 2. An anchor in two different texts is shared.  Equal windows choose equal symbols,
    so only windows with a shared anchor can repeat.
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._words import _STEP, sliced, spans_hash, words_of
-from ._work import settled, table
+from ._work import among, settled, table
 from .recompression import anchors
 
 WIDTH = 50
@@ -95,13 +96,13 @@ def repeats(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame,
 
     Only rows that aren't copies of a smaller document have repeated windows here; copies go whole if they have width words.
     """
-    rows = settled(profiles(docs, width), "profiles")
-    first = rows.where(F.col("n_words") >= width).groupBy("sig", "n_words").agg(F.min("doc_id").alias("copy_of"))
-    rows = rows.join(first, ["sig", "n_words"], "left")
-    shared = rows.select("sig", F.explode("anchors").alias("anchor")).groupBy("anchor").agg(F.min("sig").alias("a"), F.max("sig").alias("b")).where("a != b").select("anchor")
+    profile = settled(profiles(docs, width), "profiles")
+    first = profile.where(F.col("n_words") >= width).groupBy("sig", "n_words").agg(F.min("doc_id").alias("copy_of"))
+    rows = profile.join(first, ["sig", "n_words"], "left")
+    shared = profile.select("sig", F.explode("anchors").alias("anchor")).groupBy("anchor").agg(F.min("sig").alias("a"), F.max("sig").alias("b")).where("a != b").select("anchor")
     own = rows.where("copy_of = doc_id").select("doc_id", "sig", F.explode("anchors").alias("anchor")).join(shared, "anchor")
-    own = own.groupBy("doc_id", "sig").agg(F.collect_set("anchor").alias("shared"))
-    texts = settled(docs.select(F.col("doc_id").cast("long"), "text").join(own, "doc_id"), "texts")
+    own = settled(own.groupBy("doc_id", "sig").agg(F.collect_set("anchor").alias("shared")), "shared")
+    texts = settled(among(docs, own).join(own, "doc_id"), "texts")
     windows = settled(_matching(texts, width), "windows")
     least = windows.groupBy("hash").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("hash", "least")
     starts = windows.join(least, "hash").where("least < doc_id").groupBy("doc_id", "sig").agg(F.sort_array(F.collect_set("start")).alias("starts"))
@@ -151,27 +152,26 @@ def deduplicated(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                w = words_of([text])
-                sig = _signatures(w).view(np.int64)[0]
-                match = [f["starts"] for f in found if f["sig"] == sig]
-                if not match:
-                    out.append(text)
-                elif match[0] is None:
-                    out.append("")
-                else:
-                    keep = kept_words(len(w.start), np.array(match[0], np.int64), width)
-                    # Runs of kept words stay as they stand, with the white space between them.
-                    edge = np.diff(np.concatenate(([False], keep, [False])).astype(np.int8))
-                    data = w.data.tobytes()
-                    out.append("\n".join(data[w.start[a] : w.end[b - 1]].decode("utf-8", "surrogatepass") for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["row", "text"])
-
-    changed = packed.where("found is not null").select("row", "text", "found").mapInArrow(run, f"row {kind}, text string").where("text != ''")
-    new = {"text": F.col("text"), "n_chars": F.char_length("text").cast("long")}
-    changed = changed.select(*[(new[c] if c in new else F.col(f"row.`{c}`")).alias(c) for c in columns])
-    return packed.where("found is null").select("row.*").unionByName(changed)
+            out = [_cut(text, found, width) if found else text for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string()), pa.array([f is not None for f in batch.column(2).to_pylist()])], ["row", "text", "found"])
+
+    changed = packed.select("row", "text", "found").mapInArrow(run, f"row {kind}, text string, found boolean").where("not found or text != ''")
+    new = {"text": F.col("text"), "n_chars": F.when(F.col("found"), F.char_length("text").cast("long")).otherwise(F.col("row.n_chars")) if "n_chars" in columns else None}
+    return changed.select(*[(new[c] if c in new else F.col(f"row.`{c}`")).alias(c) for c in columns])
+
+
+def _cut(text: str | None, found: list[dict], width: int) -> str | None:
+    """The text without its repeated words. found: sig and starts (null: all words go) for the texts of its doc_id."""
+    w = words_of([text])
+    sig = _signatures(w).view(np.int64)[0]
+    match = [f["starts"] for f in found if f["sig"] == sig]
+    if not match or match[0] is None:
+        return "" if match else text
+    keep = kept_words(len(w.start), np.array(match[0], np.int64), width)
+    # Runs of kept words stay as they stand, with the white space between them.
+    edge = np.diff(np.concatenate(([False], keep, [False])).astype(np.int8))
+    data = w.data.tobytes()
+    return "\n".join(data[w.start[a] : w.end[b - 1]].decode("utf-8", "surrogatepass") for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,8 +13,9 @@ similar enough share a shingle in their prefixes.
 
 Pairs are verified in two steps, which keeps them few in a large group of near
 copies: first each group with the pivot of each of its prefix shingles (the group in
-which that shingle stands first), then, where a shingle's groups are still in different
-components, the groups across components.  Components need no more links.
+which that shingle stands first), then pairs across the components found so far.
+Components need no more links.  In the second step a shingle of more than FEW groups is
+joined node by node, with components and sketches as part of the join's condition.
 
 The frequent shingles are those that stand HEAVY_COUNT times or more in prefixes by hash,
 MAX_HEAVY of them at most; their choice changes cost only, never results.  Frequent
@@ -40,7 +41,8 @@ from ._work import id_bitmap, settled, table, where_id
 from .components import components
 
 HEAVY_COUNT, MAX_HEAVY = 32, 1 << 17
-SKETCH_WORDS = 8
+FEW = 64
+SKETCH_WORDS = 16
 SKETCH_BITS = 64 * SKETCH_WORDS
 
 
@@ -131,24 +133,22 @@ def profiles(docs: DataFrame, rule: Rule, heavy: tuple[np.ndarray, np.ndarray])
             order = np.argsort(rank, kind="stable")[:p]
             prefixes.append(s[order])
             light.append(int((rank[order] == 0).sum()))
-            bits = np.bincount((mix(s ^ np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(55)).astype(np.int64), minlength=SKETCH_BITS) & 1
+            bits = np.bincount((mix(s ^ np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(64 - SKETCH_BITS.bit_length() + 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
             sketches.append(np.packbits(bits.astype(np.uint8)).view(np.int64))
         return [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([signature(s) for s in sets], pa.int64()), _lists(prefixes), pa.array(light, pa.int32()), pa.array([signature(p) for p in prefixes], pa.int64()), _lists(sketches)]
 
     return _each(docs, "doc_id long, n int, sig long, prefix array<long>, light int, prefix_sig long, sketch array<long>", rule, make)
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs (a, b: nodes) whose sets are similar enough, exactly."""
+def verified(pairs: DataFrame, members: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs (a, b: nodes) whose sets are similar enough, exactly. The sets are made again from the texts of the nodes' own documents."""
     pairs = settled(pairs.distinct(), "pairs")
-    asked = settled(pairs.select("a").union(pairs.select("b")).distinct().select(F.col("a").alias("sig")).join(nodes.select("sig", "doc_id"), "sig"), "asked")
-    held = id_bitmap(asked)
+    asked = pairs.select("a").union(pairs.select("b")).distinct().select(F.col("a").alias("sig")).join(members.select("sig", "doc_id"), "sig")
 
     def make(ids: list[int | None], sets: list[np.ndarray]) -> list[pa.Array]:
         return [pa.array([signature(s) for s in sets], pa.int64()), _lists(sets)]
 
-    sets = _each(docs, "sig long, shingles array<long>", rule, make, held).join(asked, "sig", "left_semi").dropDuplicates(["sig"])
-    sets = settled(sets, "sets")
+    sets = settled(_each(docs, "sig long, shingles array<long>", rule, make, id_bitmap(asked)), "sets")
     left = pairs.join(sets.select(F.col("sig").alias("a"), F.col("shingles").alias("x")), "a")
     both = left.join(sets.select(F.col("sig").alias("b"), F.col("shingles").alias("y")), "b")
     return settled(both.where(rule.overlaps(F.size(F.array_intersect("x", "y")), F.size("x"), F.size("y"))).select("a", "b"), "links")
@@ -160,65 +160,66 @@ def _allowed(rule: Rule, a: str, b: str) -> Column:
     return rule.sizes(na, nb) & rule.overlaps(F.least(na - F.col(f"{a}at"), nb - F.col(f"{b}at")), na, nb)
 
 
+def _named(df: DataFrame, side: str, *names: str) -> DataFrame:
+    return df.select(*[F.col(c).alias(f"{side}{c}") for c in names])
+
+
 def linked(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """doc_id, n_shingles, sig and component_id (smallest doc_id reachable by links) of each row of docs (doc_id, text)."""
-    rows = settled(profiles(docs, rule, heavy_shingles(docs, rule)), "profiles")
-    full = rows.where("n > 0")
-    firsts = [F.first(c).alias(c) for c in ("prefix", "light", "prefix_sig", "sketch")]
-    nodes = settled(full.groupBy("sig", "n").agg(F.min("doc_id").alias("doc_id"), *firsts), "nodes")
-    groups = nodes.groupBy("prefix_sig", "n").agg(F.min("sig").alias("gid"), F.count("*").alias("members"), F.first("prefix").alias("prefix"), F.first("light").alias("light"))
-    groups = settled(groups, "groups")
+    rows = settled(profiles(docs, rule, heavy_shingles(docs, rule)).withColumn("row", F.monotonically_increasing_id()), "profiles")
+    nodes = rows.where("n > 0").groupBy("sig", "n", "prefix_sig").agg(F.min(F.struct("doc_id", "row")).alias("first"))
+    nodes = settled(nodes.select("sig", "n", "prefix_sig", "first.doc_id", "first.row"), "nodes")
+    groups = nodes.groupBy("prefix_sig", "n").agg(F.min("sig").alias("gid"))
     # Which nodes each group has.
-    members = settled(nodes.join(groups.select("prefix_sig", "n", "gid", "members"), ["prefix_sig", "n"]).select("sig", "gid", "n", "sketch", "members"), "members")
+    members = nodes.join(groups, ["prefix_sig", "n"]).select("sig", "gid", "n", "doc_id", "row")
+    members = settled(members.join(rows.select("row", "sketch"), "row"), "members")
 
     # Prefix shingles that two groups or more share, with the pivot: the group in which the shingle stands first.
-    entries = groups.select("gid", "n", "light", F.posexplode("prefix").alias("at", "shingle"))
-    place = F.struct("at", "n", "gid")
-    over = Window.partitionBy("shingle")
+    entries = rows.select("row", "prefix", "light").join(members.where("sig = gid").select("gid", "n", "row"), "row")
+    entries = entries.select("gid", "n", "light", F.posexplode("prefix").alias("at", "shingle"))
+    place, over = F.struct("at", "n", "gid"), Window.partitionBy("shingle")
     light = entries.where("at < light").select("shingle", "gid", "n", "at")
-    light = light.withColumn("groups", F.count("*").over(over)).withColumn("pivot", F.min(place).over(over)).where("groups > 1").drop("groups")
+    light = light.withColumn("groups", F.count("*").over(over)).withColumn("pivot", F.min(place).over(over)).where("groups > 1")
     heavy = entries.where("at >= light").select("shingle", "gid", "n", "at")
-    pivots = heavy.groupBy("shingle").agg(F.count("*").alias("groups"), F.min(place).alias("pivot")).where("groups > 1").drop("groups")
+    pivots = heavy.groupBy("shingle").agg(F.count("*").alias("groups"), F.min(place).alias("pivot")).where("groups > 1")
     shared = settled(light.unionByName(heavy.join(pivots, "shingle")), "shared")
 
     # First step: each group with its pivots, and each member of a group with the group's own node.
     flat = shared.select("gid", "n", "at", F.col("pivot.gid").alias("pgid"), F.col("pivot.n").alias("pn"), F.col("pivot.at").alias("pat")).where("gid != pgid")
     star = flat.where(_allowed(rule, "", "p")).select("gid", "pgid").distinct()
-    own = members.select(F.col("sig").alias("b"), "gid", F.col("n").alias("bn"), F.col("sketch").alias("bs"))
-    other = members.where("sig = gid").select(F.col("sig").alias("pgid"), F.col("n").alias("an"), F.col("sketch").alias("as"))
-    pairs = star.join(own, "gid").unionByName(own.where("b != gid").withColumn("pgid", F.col("gid"))).join(other, "pgid")
-    pairs = pairs.where(rule.sketches(F.col("as"), F.col("bs"), F.col("an"), F.col("bn"))).select(F.col("pgid").alias("a"), "b")
-    links = verified(pairs, nodes, docs, rule)
-    roots = settled(components(links), "roots")
-
-    # Second step: groups of one shingle, and members of one group, that are still in different components.
-    state = members.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-    state = settled(state, "state")
-    spread = state.groupBy("gid").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("members"), F.first("sketch").alias("sketch"))
-    spread = spread.withColumn("sketch", F.when(F.col("members") == 1, F.col("sketch"))).drop("members")
-    open_rows = shared.select("shingle", "gid", "n", "at").join(spread, "gid")
-    mixed = open_rows.groupBy("shingle").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l != h").select("shingle")
-    open_rows = settled(open_rows.join(mixed, "shingle"), "open")
-    x, y = (open_rows.select("shingle", *[F.col(c).alias(f"{p}{c}") for c in ("gid", "n", "at", "low", "high", "sketch")]) for p in "xy")
-    apart = (F.col("xgid") < F.col("ygid")) & _allowed(rule, "x", "y") & ~((F.col("xlow") == F.col("xhigh")) & (F.col("ylow") == F.col("yhigh")) & (F.col("xlow") == F.col("ylow")))
-    near = F.coalesce(rule.sketches(F.col("xsketch"), F.col("ysketch"), F.col("xn"), F.col("yn")), F.lit(True))
-    across = x.join(y.withColumnRenamed("shingle", "yshingle"), (F.col("shingle") == F.col("yshingle")) & apart & near).select("xgid", "ygid").distinct()
-    a = state.select(F.col("gid").alias("xgid"), F.col("sig").alias("a"), F.col("n").alias("an"), F.col("sketch").alias("as"), F.col("root").alias("ar"))
-    b = state.select(F.col("gid").alias("ygid"), F.col("sig").alias("b"), F.col("n").alias("bn"), F.col("sketch").alias("bs"), F.col("root").alias("br"))
-    differ = (F.col("ar") != F.col("br")) & rule.sketches(F.col("as"), F.col("bs"), F.col("an"), F.col("bn"))
-    pairs = across.join(a, "xgid").join(b, "ygid").where(differ).select("a", "b")
-    inside = spread.where("low != high").select("gid")
-    several = state.join(inside, "gid", "left_semi")
-    one = several.select("gid", F.col("sig").alias("a"), F.col("n").alias("an"), F.col("sketch").alias("as"), F.col("root").alias("ar"))
-    two = several.select(F.col("gid").alias("g"), F.col("sig").alias("b"), F.col("n").alias("bn"), F.col("sketch").alias("bs"), F.col("root").alias("br"))
-    pairs = pairs.unionByName(one.join(two, (F.col("gid") == F.col("g")) & (F.col("a") < F.col("b")) & differ).select("a", "b"))
-    more = verified(pairs, nodes, docs, rule)
-    roots = settled(components(links.unionByName(more)), "roots") if more.take(1) else roots
-
-    named = nodes.select("sig", "doc_id").join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+    own = members.select("gid", *[F.col(c).alias(f"b{c}") for c in ("sig", "n", "sketch")])
+    pairs = star.join(own, "gid").unionByName(own.where("bsig != gid").withColumn("pgid", F.col("gid")))
+    pairs = pairs.join(_named(members.where("sig = gid"), "a", "sig", "n", "sketch"), F.col("pgid") == F.col("asig"))
+    pairs = pairs.where(rule.sketches(F.col("asketch"), F.col("bsketch"), F.col("an"), F.col("bn"))).select(F.col("asig").alias("a"), F.col("bsig").alias("b"))
+    links = verified(pairs, members, docs, rule)
+    roots = components(links)
+
+    # Second step: what is still apart.
+    state = settled(members.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig")), "state")
+    sides = ("sig", "n", "sketch", "root")
+    apart = (F.col("xroot") != F.col("yroot")) & rule.sketches(F.col("xsketch"), F.col("ysketch"), F.col("xn"), F.col("yn"))
+    few = shared.where(F.col("groups") <= FEW)
+    few = _named(few, "x", "shingle", "gid", "n", "at").join(_named(few, "y", "shingle", "gid", "n", "at"), (F.col("xshingle") == F.col("yshingle")) & (F.col("xgid") < F.col("ygid")) & _allowed(rule, "x", "y"))
+    few = few.select("xgid", "ygid").distinct()
+    few = few.join(_named(state, "x", "gid", *sides), "xgid").join(_named(state, "y", "gid", *sides), "ygid").where(apart)
+    many = shared.where(F.col("groups") > FEW).select("shingle", "gid", "at").join(state, "gid")
+    mixed = many.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("shingle")
+    # Members of one group meet under the group's id.
+    many = many.join(mixed, "shingle").select("shingle", "at", *sides)
+    several = state.groupBy("gid").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("gid")
+    many = settled(many.unionByName(state.join(several, "gid", "left_semi").select(F.col("gid").alias("shingle"), F.lit(0).alias("at"), *sides)), "many")
+    meet = (F.col("xshingle") == F.col("yshingle")) & (F.col("xsig") < F.col("ysig")) & _allowed(rule, "x", "y") & apart
+    many = _named(many, "x", "shingle", "at", *sides).join(_named(many, "y", "shingle", "at", *sides), meet)
+    pairs = few.select(F.col("xsig").alias("a"), F.col("ysig").alias("b")).unionByName(many.select(F.col("xsig").alias("a"), F.col("ysig").alias("b")))
+    more = verified(pairs, members, docs, rule)
+    # Links of the second step join components of the first.
+    top = state.select("sig", "root")
+    bridges = more.join(_named(top, "a", "sig", "root"), F.col("a") == F.col("asig")).join(_named(top, "b", "sig", "root"), F.col("b") == F.col("bsig")).select(F.col("aroot").alias("a"), F.col("broot").alias("b"))
+    joined = components(bridges).select(F.col("node").alias("root"), F.col("root").alias("upper"))
+    named = state.select("sig", "doc_id", "root").join(joined, "root", "left").withColumn("root", F.coalesce("upper", "root")).drop("upper")
     smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = settled(named.join(smallest, "root").select("sig", "component_id"), "components")
-    return rows.join(named, "sig", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "sig", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return rows.select("doc_id", "n", "sig").join(named, "sig", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "sig", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def representatives(docs: DataFrame, rule: Rule) -> DataFrame:

@@ -41,7 +41,7 @@ from ._work import id_bitmap, settled, table, where_id
 from .components import components
 
 HEAVY_COUNT, MAX_HEAVY = 32, 1 << 17
-FEW = 64
+FEW, HEADS = 64, 16
 SKETCH_WORDS = 16
 SKETCH_BITS = 64 * SKETCH_WORDS
 
@@ -205,11 +205,15 @@ def linked(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     many = shared.where(F.col("groups") > FEW).select("shingle", "gid", "at").join(state, "gid")
     mixed = many.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("shingle")
     # Members of one group meet under the group's id.
-    many = many.join(mixed, "shingle").select("shingle", "at", *sides)
+    many = many.join(mixed, "shingle")
+    # A pair meets at its first common shingle only, as far as the first HEADS of each group tell.
+    heads = many.select("gid", "at", "shingle").distinct().groupBy("gid").agg(F.slice(F.sort_array(F.collect_list(F.struct("at", "shingle"))), 1, HEADS).alias("heads"))
+    before = F.transform(F.filter("heads", lambda h: h["at"] < F.col("at")), lambda h: h["shingle"])
+    many = many.join(heads, "gid").select("shingle", "at", before.alias("before"), *sides)
     several = state.groupBy("gid").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("gid")
-    many = settled(many.unionByName(state.join(several, "gid", "left_semi").select(F.col("gid").alias("shingle"), F.lit(0).alias("at"), *sides)), "many")
-    meet = (F.col("xshingle") == F.col("yshingle")) & (F.col("xsig") < F.col("ysig")) & _allowed(rule, "x", "y") & apart
-    many = _named(many, "x", "shingle", "at", *sides).join(_named(many, "y", "shingle", "at", *sides), meet)
+    many = settled(many.unionByName(state.join(several, "gid", "left_semi").select(F.col("gid").alias("shingle"), F.lit(0).alias("at"), F.array().cast("array<long>").alias("before"), *sides)), "many")
+    meet = (F.col("xshingle") == F.col("yshingle")) & (F.col("xsig") < F.col("ysig")) & _allowed(rule, "x", "y") & apart & ~F.arrays_overlap("xbefore", "ybefore")
+    many = _named(many, "x", "shingle", "at", "before", *sides).join(_named(many, "y", "shingle", "at", "before", *sides), meet)
     pairs = few.select(F.col("xsig").alias("a"), F.col("ysig").alias("b")).unionByName(many.select(F.col("xsig").alias("a"), F.col("ysig").alias("b")))
     more = verified(pairs, members, docs, rule)
     # Links of the second step join components of the first.

@@ -23,7 +23,8 @@ shingles are aggregated before they are joined; no group is collected.
 
 Defined results: texts without words (null ones too) have no set and no links; a text
 with fewer words than a shingle has one shingle, all its words; rows with one doc_id
-are judged one by one and linked if similar.  Shingles are 64-bit fingerprints.
+are judged one by one and linked if similar; a row without a doc_id links others only
+through its equals.  Shingles are 64-bit fingerprints.
 """
 
 from __future__ import annotations
@@ -167,7 +168,8 @@ def _named(df: DataFrame, side: str, *names: str) -> DataFrame:
 def linked(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """doc_id, n_shingles, sig and component_id (smallest doc_id reachable by links) of each row of docs (doc_id, text)."""
     rows = settled(profiles(docs, rule, heavy_shingles(docs, rule)).withColumn("row", F.monotonically_increasing_id()), "profiles")
-    nodes = rows.where("n > 0").groupBy("sig", "n", "prefix_sig").agg(F.min(F.struct("doc_id", "row")).alias("first"))
+    own = rows.where("n > 0 and doc_id is not null")
+    nodes = own.groupBy("sig", "n", "prefix_sig").agg(F.min(F.struct("doc_id", "row")).alias("first"))
     nodes = settled(nodes.select("sig", "n", "prefix_sig", "first.doc_id", "first.row"), "nodes")
     groups = nodes.groupBy("prefix_sig", "n").agg(F.min("sig").alias("gid"))
     # Which nodes each group has.

@@ -59,44 +59,59 @@ _OUT_WORDS = frozenset(
     "commentlist respond disqus related recommended pagination pager popup modal overlay widget toolbar skip".split()
 )
 _MAIN = frozenset(("article", "main"))
+# An article of its own that isn't the page's: a reader's comment, a teaser.
+_OTHER_ARTICLE = frozenset("comment comments related recommended teaser sidebar ad ads advert advertisement promo sponsored widget".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _PARAGRAPH_ENDS = _BREAKS - {"html", "body"}
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I) for name in _RAW}
 
 
-def _is_out(name: str, attributes: str, in_main: bool) -> bool:
-    if name in _OUT or name == "header" and not in_main:
-        return True
-    if not attributes.strip() or name in ("html", "body") or name in _MAIN:
-        return False
+def _traits(name: str, attributes: str, in_main: bool) -> tuple[bool, bool]:
+    """(whether the element is out, whether it holds the main text)."""
+    out, main = name in _OUT or name == "header" and not in_main, name in _MAIN
+    if not attributes.strip() or name in ("html", "body"):
+        return out, main
+    words = _OTHER_ARTICLE if name in _MAIN and not in_main else _OUT_WORDS
     for m in _ATTRIBUTE.finditer(attributes):
         key = m[1].lower()
         value = (m[2] or m[3] or m[4] or "").lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
-            return True
-        if key == "role" and value in _OUT_ROLES or key in ("class", "id") and not _OUT_WORDS.isdisjoint(_WORD.findall(value)):
-            return True
-    return False
+            out = True
+        elif key == "role":
+            out, main = out or value in _OUT_ROLES, main or value in ("main", "article")
+        elif key in ("class", "id"):
+            out = out or not words.isdisjoint(_WORD.findall(value))
+        elif key == "itemprop":
+            main = main or value == "articlebody"
+    return out, main
 
 
 def blocks_of(page: str) -> tuple[list[str], list[str]]:
-    """(blocks of the article, all other blocks that structure leaves) in page order."""
+    """(blocks of the article, all other blocks that structure leaves) in page order.
+
+    An article inside something that is out (an advert that was never closed) counts only if nothing else is left.
+    """
     main: list[str] = []
     other: list[str] = []
+    shut: list[str] = []
     text: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, whether it puts its content out, whether it is a main element
+    stack: list[tuple[str, bool, bool, int, list[str] | None]] = []  # name, whether it is out and main, and what held around it
     out = depth = 0
+    into: list[str] | None = None  # where an article that is inside something out goes
+
+    def target() -> list[str]:
+        return into if into is not None else main if depth else other
 
     def close_block() -> None:
         if text:
             if block := " ".join(_html.unescape("".join(text)).split()):
-                (main if depth else other).append(block)
+                target().append(block)
             text.clear()
 
     def pop() -> None:
-        nonlocal out, depth
-        _, was_out, was_main = stack.pop()
-        out -= was_out
+        nonlocal out, depth, into
+        close_block() if text and stack[-1][2] else None
+        _, _, was_main, out, into = stack.pop()
         depth -= was_main
 
     at, end = 0, len(page)
@@ -137,21 +152,24 @@ def blocks_of(page: str) -> tuple[list[str], list[str]]:
         elif name == "li" and stack and stack[-1][0] == "li":
             pop()
         heading = name in _HEADINGS and bool(depth) and out == 1 and bool(stack) and stack[-1][0] == "header" and stack[-1][1]
-        is_out = not out and (_is_out(name, attributes, bool(depth)) or name == "header")
+        is_out, is_main = _traits(name, attributes, bool(depth))
+        is_out = is_out or name == "header"
         if heading:
             # A heading in the article's own header stays: it is put in for its own extent.
             closing = re.compile(rf"</{name}\s*>", re.I).search(page, at)
             inner = re.sub(r"<[^>]*>", "", page[at : closing.start() if closing else end])
             if block := " ".join(_html.unescape(inner).split()):
-                main.append(block)
+                target().append(block)
             at = closing.end() if closing else end
             continue
-        is_main = name in _MAIN and not out
-        stack.append((name, is_out, is_main))
-        out += is_out
+        stack.append((name, is_out, is_main, out, into))
         depth += is_main
+        if is_out:
+            out += 1
+        elif out and name == "article" and into is None and not any(x[2] for x in stack[:-1]):
+            out, into = 0, shut
     close_block()
-    return main, other
+    return main or ([] if other else shut), other
 
 
 # ---- suffix array

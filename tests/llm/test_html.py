@@ -26,6 +26,14 @@ def test_odd_markup():
     assert html.blocks_of("<main><p>1 < 2 and 3 > 2</p></main>") == (["1 < 2 and 3 > 2"], [])
 
 
+def test_other_landmarks():
+    assert html.blocks_of('<p>x</p><div role="main"><p>a</p></div>') == (["a"], ["x"])
+    assert html.blocks_of('<div itemprop="articleBody">a</div>') == (["a"], [])
+    assert html.blocks_of('<article><p>a</p><article class="comment">c</article></article><article class="comment-box">d</article>') == (["a"], [])
+    assert html.blocks_of('<div class="ad">buy<article><p>a</p><nav>n</nav></article>') == (["a"], [])
+    assert html.blocks_of('<p>text</p><section class="comments"><article>c</article></section>') == ([], ["text"])
+
+
 def test_suffix_order():
     draw = random.Random(2)
     for _ in range(30):

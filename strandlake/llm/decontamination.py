@@ -207,5 +207,6 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contaminated documents, with the items that they overlap; all other documents are clean."""
     found = annotate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    return found.select(F.col("row.doc_id").cast("long").alias("doc_id"), "contaminated", "items", "overlap_words", "agreement")
+    return found.where("contaminated").select(F.col("row.doc_id").cast("long").alias("doc_id"), "contaminated", "items", "overlap_words", "agreement")

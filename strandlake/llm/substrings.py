@@ -97,14 +97,17 @@ def repeats(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame,
     Only rows that aren't copies of a smaller document have repeated windows here; copies go whole if they have width words.
     """
     profile = settled(profiles(docs, width), "profiles")
-    first = profile.where(F.col("n_words") >= width).groupBy("sig", "n_words").agg(F.min("doc_id").alias("copy_of"))
+    # What is joined is written first: then both sides of a join are plain exchanges, and Spark can split a large key.
+    first = settled(profile.where(F.col("n_words") >= width).groupBy("sig", "n_words").agg(F.min("doc_id").alias("copy_of")), "first")
     rows = profile.join(first, ["sig", "n_words"], "left")
     shared = profile.select("sig", F.explode("anchors").alias("anchor")).groupBy("anchor").agg(F.min("sig").alias("a"), F.max("sig").alias("b")).where("a != b").select("anchor")
+    shared = settled(shared, "anchors")
     own = rows.where("copy_of = doc_id").select("doc_id", "sig", F.explode("anchors").alias("anchor")).join(shared, "anchor")
     own = settled(own.groupBy("doc_id", "sig").agg(F.collect_set("anchor").alias("shared")), "shared")
     texts = settled(among(docs, own).join(own, "doc_id"), "texts")
     windows = settled(_matching(texts, width), "windows")
     least = windows.groupBy("hash").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("hash", "least")
+    least = settled(least, "least")
     starts = windows.join(least, "hash").where("least < doc_id").groupBy("doc_id", "sig").agg(F.sort_array(F.collect_set("start")).alias("starts"))
     return rows.drop("anchors"), settled(starts, "starts"), texts.select("doc_id", "sig", "text")
 

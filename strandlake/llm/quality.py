@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._words import sliced, words_of
@@ -117,8 +117,9 @@ def fit(x: np.ndarray, y: np.ndarray) -> Machine:
 
 def learn(docs: DataFrame, labels: DataFrame) -> Machine:
     """From at most SAMPLE_ROWS labelled rows of each label; what reaches the driver is their hashed inputs."""
-    order = Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id")
-    sample = labels.where("quality in (0, 1)").select(F.col("doc_id").cast("long"), F.col("quality").cast("int")).withColumn("k", F.row_number().over(order)).where(F.col("k") <= SAMPLE_ROWS)
+    given = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int"))
+    first = [given.where(F.col("quality") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS) for k in (0, 1)]
+    sample = first[0].unionByName(first[1])
     rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(sample), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,9 +9,14 @@ one pair.  A block that the text's end cuts off stays internal.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .arrays import code_points, nullable, per_sequence
+from .fingerprint import leftmost
+
 SMALL_LEVEL = 4
 
 
@@ -36,24 +41,39 @@ def _part(start: Column, length: int) -> Column:
     return F.substring("text", (start + 1).cast("int"), F.lit(length))
 
 
+def marked_blocks(text: str, block: int) -> pd.DataFrame | None:
+    """start, len, pair_marked and source of a text's blocks; in time that grows as its length, by one sort of its windows' keys."""
+    if not text:
+        return None
+    points = code_points(text)
+    n = len(points)
+    start = np.arange(0, n, block)
+    pairs, whole = start[start + 2 * block <= n], start[start + block <= n]
+    marked, source = np.full(len(start), -1, np.int8), np.full(len(start), -1, np.int64)
+    marked[: len(pairs)] = leftmost(text, points, 2 * block, pairs) < pairs
+    found = leftmost(text, points, block, whole)
+    source[: len(whole)] = np.where(found + block <= whole, found, -1)
+    return pd.DataFrame({"blk": np.arange(len(start)), "start": start, "len": np.minimum(block, n - start), "pair_marked": pd.array(marked == 1, "boolean"), "source": nullable(source)}).assign(pair_marked=lambda d: d["pair_marked"].mask(marked < 0))
+
+
 def pair_marks(sequences: DataFrame, block: int) -> DataFrame:
-    """(seq_id, blk, start, len, pair_marked): whether the pair of a block and the next also starts earlier; NULL without a whole pair. The text goes along."""
-    start = F.col("start")
-    whole = start + 2 * block <= F.char_length("text")
-    earlier = F.instr(F.col("text"), _part(start, 2 * block)) - 1 < start
-    return block_grid(sequences, block).withColumn("pair_marked", F.when(whole, earlier))
+    """(seq_id, blk, start, len, pair_marked, source): whether the pair of a block and the next also starts earlier (NULL without a whole pair), and where the leftmost copy of a whole block is, if it ends before the block starts."""
+
+    def make(seq_id: int, text: str) -> pd.DataFrame | None:
+        found = marked_blocks(text, block)
+        return None if found is None else found.assign(seq_id=seq_id)
+
+    schema = "seq_id long, blk long, start long, len long, pair_marked boolean, source long"
+    return per_sequence(sequences, schema, lambda k, t: None if (d := make(k, t)) is None else d[[c.split()[0] for c in schema.split(", ")]])
 
 
 def level_blocks(sequences: DataFrame, block: int) -> DataFrame:
     """(seq_id, blk, start, is_internal, ptr_blk, ptr_off) of one level on a regular grid."""
     by = Window.partitionBy("seq_id").orderBy("blk")
-    marks = pair_marks(sequences, block)
-    # The earlier copy is looked up before the window, where the text still is.
-    source = (F.instr(F.col("text"), _part(F.col("start"), block)) - 1).cast("long")
-    rows = marks.withColumn("source", F.when((F.col("len") == block) & (source + block <= F.col("start")), source)).drop("text")
     whole = F.sum((F.col("len") == block).cast("long")).over(Window.partitionBy("seq_id"))
-    rows = rows.withColumn("whole", whole).withColumn("left", F.lag("pair_marked").over(by)).withColumn("last", F.col("blk") == F.col("whole") - 1)
-    back = (F.col("whole") >= SMALL_LEVEL) & (F.col("len") == block) & (F.col("blk") > 0) & F.col("left") & F.when(F.col("last"), True).otherwise(F.col("pair_marked")) & F.col("source").isNotNull()
+    rows = pair_marks(sequences, block).withColumn("whole", whole).withColumn("left", F.lag("pair_marked").over(by))
+    right = F.col("pair_marked") | (F.col("blk") == F.col("whole") - 1)
+    back = (F.col("whole") >= SMALL_LEVEL) & (F.col("len") == block) & (F.col("blk") > 0) & F.col("left") & right & F.col("source").isNotNull()
     back = F.coalesce(back, F.lit(False))
     return rows.select(
         "seq_id", "blk", "start", (~back).alias("is_internal"),

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from ..types import BLOCKS, LEAVES, TreeConfig
 from .arrays import code_points, lcp_array, lpf_array, lz_phrases, per_sequence, suffix_array
+from .fingerprint import leftmost
 
 
 def geometry(n: int, config: TreeConfig, roots: int) -> list[int]:
@@ -49,18 +50,14 @@ class Level:
     children: list[list[int]] = field(default_factory=list)
 
 
-def _first_windows(text: str, starts: list[int], size: int, wanted: set[str], spans: list[tuple[int, int]]) -> dict[str, int]:
-    """The leftmost start in the spans (first and last start, ascending) of each wanted content."""
-    found: dict[str, int] = {}
-    for low, high in spans:
-        for at in range(low, high + 1):
-            part = text[at : at + size]
-            if part in wanted and part not in found:
-                found[part] = at
-    return found
+def _starts(spans: list[tuple[int, int]]) -> np.ndarray:
+    """All starts of ascending, disjoint spans (first and last start)."""
+    low, high = np.array(spans, np.int64).reshape(-1, 2).T
+    size = np.maximum(high - low + 1, 0)
+    return np.repeat(low - (np.cumsum(size) - size), size) + np.arange(size.sum())
 
 
-def _copies(text: str, level: Level, config: TreeConfig, lpf: tuple[np.ndarray, np.ndarray] | None) -> tuple[list[bool], list[int | None]]:
+def _copies(text: str, points: np.ndarray, level: Level, lpf: tuple[np.ndarray, np.ndarray] | None) -> tuple[list[bool], list[int | None]]:
     """Of each block: whether its pair with the next one has occurred before, and where the block's leftmost copy (by windows) or a previous factor (by lpf) starts."""
     start, size, n = level.start, level.size, len(text)
     count = len(start)
@@ -76,35 +73,29 @@ def _copies(text: str, level: Level, config: TreeConfig, lpf: tuple[np.ndarray,
                 at = int(source[at])
             copy.append(at if at + size <= s else None)
         return pair, copy
-    pairs = {text[s : s + 2 * size] for s, t in zip(start, together, strict=True) if t}
     # Windows of pairs begin in blocks that continue into their neighbour.
-    spans: list[tuple[int, int]] = []
-    for s, t in zip(start, together, strict=True):
-        if t:
-            spans.append((s, min(s + size - 1, n - 2 * size)))
-    first = _first_windows(text, start, 2 * size, pairs, spans)
-    pair = [t and first[text[s : s + 2 * size]] < s for s, t in zip(start, together, strict=True)]
-    wide: list[tuple[int, int]] = []
+    spans = [(s, min(s + size - 1, n - 2 * size)) for s, t in zip(start, together, strict=True) if t]
+    asked = np.array([s for s, t in zip(start, together, strict=True) if t], np.int64)
+    first = dict(zip(asked.tolist(), leftmost(text, points, 2 * size, asked, _starts(spans)).tolist(), strict=True))
+    pair = [t and first[s] < s for s, t in zip(start, together, strict=True)]
+    wide = []
     for i, s in enumerate(start):
         follows = i + 1 < count and start[i + 1] == s + size
         wide.append((s, min(s + size - 1 if follows else s, n - size)))
-    whole = {text[s : s + size] for s in start if s + size <= n}
-    leftmost = _first_windows(text, start, size, whole, wide)
-    copy = []
-    for s in start:
-        at = leftmost.get(text[s : s + size]) if s + size <= n else None
-        copy.append(at if at is not None and at + size <= s else None)
+    asked = np.array([s for s in start if s + size <= n], np.int64)
+    found = dict(zip(asked.tolist(), leftmost(text, points, size, asked, _starts(wide)).tolist(), strict=True))
+    copy = [found[s] if s in found and 0 <= found[s] <= s - size else None for s in start]
     return pair, copy
 
 
-def _decide(text: str, level: Level, config: TreeConfig, lpf: tuple[np.ndarray, np.ndarray] | None) -> None:
+def _decide(text: str, points: np.ndarray, level: Level, lpf: tuple[np.ndarray, np.ndarray] | None) -> None:
     start, size = level.start, level.size
     count = len(start)
     level.degree, level.alive, level.children = [0] * count, [True] * count, [[] for _ in start]
     level.internal, level.source = [True] * count, [None] * count
     if count < 2:
         return
-    pair, copy = _copies(text, level, config, lpf)
+    pair, copy = _copies(text, points, level, lpf)
     block_of = {s: i for i, s in enumerate(start)}
     ordered = np.array(start)
     for i, s in enumerate(start):
@@ -166,11 +157,10 @@ def _prune(levels: list[Level]) -> None:
 
 def build_text(text: str, config: TreeConfig) -> list[Level]:
     """Levels from the top to the leaves; blocks that pruning removed aren't alive."""
-    points = None
+    points = code_points(text)
     lpf = None
     roots = config.roots
     if config.sources == "lpf" or roots == 0:
-        points = code_points(text)
         order, rank = suffix_array(points)
         lpf = lpf_array(order, lcp_array(points, order, rank))
         roots = roots or max(1, len(lz_phrases(lpf[0])))
@@ -181,7 +171,7 @@ def build_text(text: str, config: TreeConfig) -> list[Level]:
     for depth, size in enumerate(sizes):
         level = Level(size, start, parent)
         levels.append(level)
-        _decide(text, level, config, lpf if config.sources == "lpf" else None)
+        _decide(text, points, level, lpf if config.sources == "lpf" else None)
         if depth + 1 < len(sizes):
             start, parent = [], []
             for i, s in enumerate(level.start):

@@ -52,6 +52,38 @@ def window_values(content: np.ndarray, width: int) -> np.ndarray:
     return np.where(h == _M, np.uint64(0), h)
 
 
+_BASE = 0xD1342543DE82EF95
+
+
+def window_keys(points: np.ndarray, width: int) -> np.ndarray:
+    """64-bit keys of all windows of width symbols, in time that doesn't depend on the width. Equal windows have equal keys; whoever needs certainty compares contents."""
+    n = len(points) - width + 1
+    if n <= 0 or width < 1:
+        return np.empty(0, np.uint64)
+    up, down = (np.cumprod(np.full(len(points), b, np.uint64), dtype=np.uint64) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
+    total = np.zeros(len(points) + 1, np.uint64)
+    np.cumsum((points.astype(np.uint64) + np.uint64(1)) * up, out=total[1:])
+    key = (total[width:] - total[:-width]) * down[:n]
+    key ^= key >> np.uint64(29)
+    return key * np.uint64(0x9FB21C651E98DF25)
+
+
+def leftmost(text: str, points: np.ndarray, width: int, wanted: np.ndarray, allowed: np.ndarray | None = None) -> np.ndarray:
+    """For each wanted start the leftmost (allowed) start of a window with the same content; -1 if there is none. allowed: ascending starts of whole windows."""
+    keys = window_keys(points, width)
+    at = np.arange(len(keys)) if allowed is None else allowed
+    if not len(at) or not len(wanted):
+        return np.full(len(wanted), -1, np.int64)
+    known, first = np.unique(keys[at], return_index=True)
+    place = np.minimum(np.searchsorted(known, keys[wanted]), len(known) - 1)
+    found = np.where(known[place] == keys[wanted], at[first[place]], -1)
+    for k, (a, b) in enumerate(zip(found.tolist(), wanted.tolist(), strict=True)):
+        if a >= 0 and a != b and text[a : a + width] != text[b : b + width]:
+            part = text[b : b + width]
+            found[k] = next((i for i in at.tolist() if text[i : i + width] == part), -1)
+    return found
+
+
 def bit_window_values(bits: np.ndarray, width: int) -> np.ndarray:
     """The same for bits with base 2."""
     n = len(bits) - width + 1

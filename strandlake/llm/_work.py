@@ -19,6 +19,19 @@ def work_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Rows of an Arrow batch at most: executors hold a few batches for each task outside the heap.
+BATCH_ROWS = 1000
+
+
+def batched(df: DataFrame, run, schema: str) -> DataFrame:
+    """df.mapInArrow(run, schema), in batches of at most BATCH_ROWS rows (a setting of the session from then on)."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, BATCH_ROWS)
+    return df.mapInArrow(run, schema)
+
+
 def settled(df: DataFrame, label: str = "table") -> DataFrame:
     """df written to the shared folder and read back: its lineage ends there, and lost executors cost no rerun."""
     spark = df.sparkSession
@@ -54,7 +67,7 @@ def with_added(df: DataFrame, text: str, added: str, make) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], *make(texts[a:b])], names)
 
     packed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(f"`{text}`").alias("text"))
-    return packed.mapInArrow(run, f"row {packed.schema['row'].dataType.simpleString()}, {added}")
+    return batched(packed, run, f"row {packed.schema['row'].dataType.simpleString()}, {added}")
 
 
 def bitmap(df: DataFrame, key: str, bits: int):
@@ -112,4 +125,4 @@ def among(docs: DataFrame, ids: DataFrame) -> DataFrame:
         for batch in batches:
             yield where_id(batch, held)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, text string")
+    return batched(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, text string")

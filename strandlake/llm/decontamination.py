@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._words import Words, mix, sliced, words_of
-from ._work import settled, table, with_added
+from ._work import batched, settled, table, with_added
 
 #: Chosen by exhausting the substitution patterns named above.
 MASKS = ((0, 2, 5, 6, 7), (0, 5, 6, 7, 8), (0, 1, 2, 4, 7), (0, 1, 5, 6, 8))
@@ -178,7 +178,7 @@ def _joined(docs: DataFrame, items: DataFrame) -> DataFrame:
     bits = np.zeros(BITMAP_BITS // 64, np.int64)  # at most so many rows come to the driver
     for w, b in words.collect():
         bits[w] = b
-    hits = rows.select("n", "text").mapInArrow(seed_rows(bits.view(np.uint8), 0), "id long, key long, at long")
+    hits = batched(rows.select("n", "text"), seed_rows(bits.view(np.uint8), 0), "id long, key long, at long")
     pairs = hits.join(keys.select("key", F.col("id").alias("i"), F.col("at").alias("item_at")), "key").select(F.col("id").alias("n"), "i", (F.col("at") - F.col("item_at")).alias("diagonal")).distinct()
     both = pairs.join(rows.select("n", "text"), "n").join(items.select("i", "item_id", F.col("text").alias("item")), "i")
 
@@ -195,7 +195,7 @@ def _joined(docs: DataFrame, items: DataFrame) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["n", "item_id", "size", "share"])
 
-    found = both.select("n", "diagonal", "item_id", "text", "item").mapInArrow(aligned, "n long, item_id long, size long, share double")
+    found = batched(both.select("n", "diagonal", "item_id", "text", "item"), aligned, "n long, item_id long, size long, share double")
     found = found.groupBy("n").agg(F.sort_array(F.collect_set("item_id")).alias("items"), F.max(F.struct("size", "share")).alias("best"))
     out = rows.select("row", "n").join(found, "n", "left")
     return out.select("row", F.col("items").isNotNull().alias("contaminated"), F.coalesce("items", F.array().cast("array<long>")).alias("items"), F.coalesce("best.size", F.lit(0)).cast("long").alias("overlap_words"), F.coalesce("best.share", F.lit(0.0)).alias("agreement"))

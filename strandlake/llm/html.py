@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._work import settled, table
+from ._work import batched, settled, table
 
 HOST_PAGES, RUN_TOKENS, BOILERPLATE_PAGES = 128, 4, 3
 
@@ -248,7 +248,7 @@ def extract(pages: DataFrame) -> DataFrame:
                     ["page_id", "url", "text", "blocks"],
                 )
 
-    rows = pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(read, "page_id long, url string, text string, blocks array<string>")
+    rows = batched(pages.select(F.col("page_id").cast("long"), "url", "html"), read, "page_id long, url string, text string, blocks array<string>")
     rows = settled(rows, "pages")
     decided = rows.where("text is not null or size(blocks) = 0").select("page_id", "url", F.coalesce("text", F.lit("")).alias("text"))
     open_rows = rows.where("text is null and size(blocks) > 0").select("page_id", "url", "blocks")

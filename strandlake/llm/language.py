@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._work import crc_mod, table
+from ._work import batched, crc_mod, table
 
 #: Bounds of the training sample: texts and bytes of each text a language, and languages (most frequent first).
 SAMPLE_TEXTS, SAMPLE_CHARS, MAX_LANGUAGES = 96, 1500, 64
@@ -94,7 +94,7 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MA
                 ["doc_id", "lang_pred", "score", "margin", "rejected"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double, margin double, rejected boolean")
+    return batched(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, lang_pred string, score double, margin double, rejected boolean")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

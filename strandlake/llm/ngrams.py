@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._words import Words, mix, sliced, spans_hash, windows, words_of
-from ._work import id_bitmap, settled, table, where_id
+from ._work import batched, id_bitmap, settled, table, where_id
 from .components import components
 
 HEAVY_COUNT, MAX_HEAVY = 32, 1 << 17
@@ -103,7 +103,7 @@ def _each(docs: DataFrame, schema: str, rule: Rule, make: Callable[[list[int | N
                 w = words_of(texts[a:b], lower=True)
                 yield pa.RecordBatch.from_arrays(make(ids[a:b], [shingles(w, k, rule.width) for k in range(b - a)]), names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return batched(docs.select(F.col("doc_id").cast("long"), "text"), run, schema)
 
 
 def heavy_shingles(docs: DataFrame, rule: Rule) -> tuple[np.ndarray, np.ndarray]:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._words import sliced
-from ._work import table
+from ._work import batched, table
 
 MAX_TOKENS = 1024
 SEPARATOR = 0
@@ -188,7 +188,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
         if rows:
             yield batch_of(rows)
 
-    return docs.select(F.col("doc_id").cast("long"), "text", F.spark_partition_id().alias("part")).mapInArrow(run, SCHEMA)
+    return batched(docs.select(F.col("doc_id").cast("long"), "text", F.spark_partition_id().alias("part")), run, SCHEMA)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._words import sliced, words_of
-from ._work import crc_mod, table, with_added
+from ._work import batched, crc_mod, table, with_added
 
 BUCKETS, RANK = 2048, 8
 #: Bound of the training sample: labelled rows of each label, chosen by a hash of doc_id.
@@ -133,7 +133,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Machine:
                     ["doc_id", "quality", "at", "value"],
                 )
 
-    got = sorted(map(tuple, rows.select("text", "doc_id", "quality").mapInArrow(run, "doc_id long, quality int, at binary, value binary").collect()))
+    got = sorted(map(tuple, batched(rows.select("text", "doc_id", "quality"), run, "doc_id long, quality int, at binary, value binary").collect()))
     x = np.zeros((len(got), BUCKETS + STATISTICS), np.float32)
     for i, (_, _, at, value) in enumerate(got):
         x[i, np.frombuffer(at, "<u2")] = np.frombuffer(value, "<f4")
@@ -149,7 +149,7 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
             for a, b in sliced(texts):
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(machine.score(features(texts[a:b])).astype(float), pa.float64())], ["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
+    return batched(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, score double")
 
 
 def kept(docs: DataFrame, machine: Machine, least: float = KEEP_AT) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._words import _STEP, sliced, spans_hash, words_of
-from ._work import among, settled, table
+from ._work import among, batched, settled, table
 from .recompression import anchors
 
 WIDTH = 50
@@ -61,7 +61,7 @@ def profiles(docs: DataFrame, width: int) -> DataFrame:
                     ["doc_id", "n_words", "sig", "sha", "anchors"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_words long, sig long, sha string, anchors array<long>")
+    return batched(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n_words long, sig long, sha string, anchors array<long>")
 
 
 def _matching(texts: DataFrame, width: int) -> DataFrame:
@@ -84,7 +84,7 @@ def _matching(texts: DataFrame, width: int) -> DataFrame:
                         h = spans_hash_at(w.hash[w.first[k] : w.first[k + 1]], start - w.first[k], width)
                         yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), ids[a + k].as_py())), pa.array(np.full(len(h), own[k])), pa.array((start - w.first[k]).astype(np.int32))], ["hash", "doc_id", "sig", "start"])
 
-    return texts.select("doc_id", "sig", "shared", "text").mapInArrow(run, "hash long, doc_id long, sig long, start int")
+    return batched(texts.select("doc_id", "sig", "shared", "text"), run, "hash long, doc_id long, sig long, start int")
 
 
 def spans_hash_at(words: np.ndarray, start: np.ndarray, width: int) -> np.ndarray:
@@ -136,7 +136,7 @@ def digests(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["doc_id", "sig", "removed", "kept"])
 
-    part = texts.join(starts, ["doc_id", "sig"]).select("doc_id", "sig", "text", "starts").mapInArrow(run, "doc_id long, sig long, removed long, kept string").dropDuplicates(["doc_id", "sig"])
+    part = batched(texts.join(starts, ["doc_id", "sig"]).select("doc_id", "sig", "text", "starts"), run, "doc_id long, sig long, removed long, kept string").dropDuplicates(["doc_id", "sig"])
     copy = F.coalesce((F.col("n_words") >= width) & (F.col("copy_of") < F.col("doc_id")), F.lit(False))
     return rows.join(part, ["doc_id", "sig"], "left").select(
         "doc_id", "n_words", F.when(copy, F.col("n_words")).otherwise(F.coalesce("removed", F.lit(0))).cast("long").alias("n_removed"),
@@ -158,7 +158,7 @@ def deduplicated(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             out = [_cut(text, found, width) if found else text for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string()), pa.array([f is not None for f in batch.column(2).to_pylist()])], ["row", "text", "found"])
 
-    changed = packed.select("row", "text", "found").mapInArrow(run, f"row {kind}, text string, found boolean").where("not found or text != ''")
+    changed = batched(packed.select("row", "text", "found"), run, f"row {kind}, text string, found boolean").where("not found or text != ''")
     new = {"text": F.col("text"), "n_chars": F.when(F.col("found"), F.char_length("text").cast("long")).otherwise(F.col("row.n_chars")) if "n_chars" in columns else None}
     return changed.select(*[(new[c] if c in new else F.col(f"row.`{c}`")).alias(c) for c in columns])
 

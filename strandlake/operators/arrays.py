@@ -139,6 +139,12 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt by seq_id to a given number of tasks: small texts are still much work, and Spark would merge them into one task."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), "seq_id")
+
+
 def per_sequence(sequences: DataFrame, schema: str, make: Callable[[int, str], pd.DataFrame | None]) -> DataFrame:
     """make() for each row of (seq_id, text), spread over tasks by seq_id."""
 
@@ -149,7 +155,7 @@ def per_sequence(sequences: DataFrame, schema: str, make: Callable[[int, str], p
                 if found is not None and len(found):
                     yield found
 
-    return sequences.where("text is not null").repartition("seq_id").mapInPandas(run, schema)
+    return spread(sequences.where("text is not null")).mapInPandas(run, schema)
 
 
 def index_arrays(sequences: DataFrame) -> DataFrame:

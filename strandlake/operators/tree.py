@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrays import spread
+
 
 def access(queries: DataFrame, blocks: DataFrame, leaves: DataFrame, arity: int, levels: int) -> DataFrame:
     """queries (seq_id, qid, pos) with sym, the symbol at pos (NULL outside). levels: an upper bound of the trees' levels."""
@@ -147,7 +149,7 @@ def _grouped(queries: DataFrame, blocks: DataFrame, leaves: DataFrame, arity: in
             tree = Tree(right, pd.DataFrame({"leaf_blk": content["internal_rank"], "content": content["content"]}), arity)
         return answer(tree, left)[names]
 
-    return queries.groupBy("seq_id").cogroup(nodes.groupBy("seq_id")).applyInPandas(run, schema)
+    return spread(queries).groupBy("seq_id").cogroup(spread(nodes).groupBy("seq_id")).applyInPandas(run, schema)
 
 
 def rank(queries: DataFrame, blocks: DataFrame, leaves: DataFrame, arity: int) -> DataFrame:
@@ -193,7 +195,7 @@ def decoded(blocks: DataFrame, leaves: DataFrame, arity: int) -> DataFrame:
         text[int(rows["seq_id"].iloc[0])] = "".join(spelled)
         return pd.DataFrame({"seq_id": list(text), "text": list(text.values())})
 
-    return nodes.groupBy("seq_id").applyInPandas(run, "seq_id long, text string")
+    return spread(nodes).groupBy("seq_id").applyInPandas(run, "seq_id long, text string")
 
 
 def verify(sequences: DataFrame, blocks: DataFrame, leaves: DataFrame, arity: int) -> DataFrame:

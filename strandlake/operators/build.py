@@ -218,7 +218,7 @@ def _columns(schema: str) -> list[str]:
 
 
 def build(sequences: DataFrame, config: TreeConfig = TreeConfig()) -> tuple[DataFrame, DataFrame]:
-    """(blocks, leaves) of the trees of all rows of (seq_id, text); an empty text has none."""
+    """(blocks, leaves) of the trees of all rows of (seq_id, text); an empty text has none. Blocks carry their leaf's content too, so that what needs both builds once."""
     both = f"{BLOCKS}, content string"
 
     def make(seq_id: int, text: str) -> pd.DataFrame | None:
@@ -234,7 +234,7 @@ def build(sequences: DataFrame, config: TreeConfig = TreeConfig()) -> tuple[Data
 
     rows = per_sequence(sequences, both, make)
     leaves = rows.where("level = 0 and is_internal").select("seq_id", F.col("internal_rank").alias("leaf_blk"), "content")
-    return rows.drop("content"), leaves.select(*_columns(LEAVES))
+    return rows, leaves.select(*_columns(LEAVES))
 
 
 def build_relational(sequences: DataFrame, block: int, arity: int, max_leaf: int) -> tuple[DataFrame, DataFrame]:

@@ -8,6 +8,7 @@ once for all queries of a sequence.
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -43,15 +44,28 @@ def access(queries: DataFrame, blocks: DataFrame, leaves: DataFrame, arity: int,
     return found.select("seq_id", "qid", "pos", F.when((F.col("pos") >= 0) & (F.col("off") < F.char_length("content")), F.substring("content", (F.col("off") + 1).cast("int"), F.lit(1))).alias("sym"))
 
 
+def _lists(rows: pd.DataFrame, *names: str) -> Iterator[tuple]:
+    """Rows as tuples of whole numbers and truth values; -1 for NULL."""
+    columns = [rows[c].astype(bool) if c == "is_internal" else (rows[c].astype("float64").fillna(-1) if rows[c].isna().any() else rows[c]).astype("int64") for c in names]
+    return zip(*(c.tolist() for c in columns), strict=True)
+
+
+def _with_content(blocks: DataFrame, leaves: DataFrame) -> DataFrame:
+    """Blocks with their leaf's content; as build() gives them, or joined."""
+    if "content" in blocks.columns:
+        return blocks
+    tagged = leaves.withColumnRenamed("leaf_blk", "internal_rank").withColumn("level", F.lit(0)).withColumn("is_internal", F.lit(True))
+    return blocks.join(tagged, ["seq_id", "level", "internal_rank", "is_internal"], "left")
+
+
 class Tree:
     """One sequence's tree in memory: counts of a symbol in any prefix."""
 
     def __init__(self, blocks: pd.DataFrame, leaves: pd.DataFrame, arity: int):
         self.arity = arity
         self.levels: dict[int, list[tuple]] = {}
-        for row in blocks.sort_values(["level", "blk"]).itertuples():
-            pointer = None if pd.isna(row.ptr_blk) else (int(row.ptr_blk), int(row.ptr_off))
-            self.levels.setdefault(int(row.level), []).append((int(row.start), int(row.block_size), bool(row.is_internal), pointer, int(row.internal_rank)))
+        for level, start, size, internal, k, offset, rank in _lists(blocks.sort_values(["level", "blk"]), "level", "start", "block_size", "is_internal", "ptr_blk", "ptr_off", "internal_rank"):
+            self.levels.setdefault(level, []).append((start, size, internal, None if k < 0 else (k, offset), rank))
         self.top = max(self.levels)
         self.leaves = [c for _, c in sorted(zip(leaves["leaf_blk"], leaves["content"], strict=True))]
         self.counts: dict[tuple[str, int, int], int] = {}
@@ -137,7 +151,7 @@ class Tree:
 
 def _grouped(queries: DataFrame, blocks: DataFrame, leaves: DataFrame, arity: int, schema: str, answer) -> DataFrame:
     """answer(tree or None, a sequence's queries) for each sequence with queries."""
-    nodes = blocks.join(leaves.withColumnRenamed("leaf_blk", "internal_rank").withColumn("level", F.lit(0)).withColumn("is_internal", F.lit(True)), ["seq_id", "level", "internal_rank", "is_internal"], "left")
+    nodes = _with_content(blocks, leaves)
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         names = [c.split()[0] for c in schema.split(", ")]
@@ -174,26 +188,22 @@ def select(queries: DataFrame, blocks: DataFrame, leaves: DataFrame, arity: int)
 
 def decoded(blocks: DataFrame, leaves: DataFrame, arity: int) -> DataFrame:
     """(seq_id, text): each sequence spelled out from its tree."""
-    nodes = blocks.join(leaves.withColumnRenamed("leaf_blk", "internal_rank").withColumn("level", F.lit(0)).withColumn("is_internal", F.lit(True)), ["seq_id", "level", "internal_rank", "is_internal"], "left")
+    nodes = _with_content(blocks, leaves)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        text: dict[int, str] = {}
         spelled: list[str] = []
         for level in range(int(rows["level"].max()) + 1):
             here = rows[rows["level"] == level].sort_values("blk")
             now: list[str] = []
-            for row in here.itertuples():
-                if not row.is_internal:
-                    k, offset = int(row.ptr_blk), int(row.ptr_off)
-                    now.append((now[k] + (now[k + 1] if offset else ""))[offset : offset + int(row.block_size)])
+            for (size, internal, k, offset, rank), content in zip(_lists(here, "block_size", "is_internal", "ptr_blk", "ptr_off", "internal_rank"), here["content"].tolist(), strict=True):
+                if not internal:
+                    now.append((now[k] + (now[k + 1] if offset else ""))[offset : offset + size])
                 elif level == 0:
-                    now.append(row.content)
+                    now.append(content)
                 else:
-                    a = int(row.internal_rank) * arity
-                    now.append("".join(spelled[a : a + arity]))
+                    now.append("".join(spelled[rank * arity : (rank + 1) * arity]))
             spelled = now
-        text[int(rows["seq_id"].iloc[0])] = "".join(spelled)
-        return pd.DataFrame({"seq_id": list(text), "text": list(text.values())})
+        return pd.DataFrame({"seq_id": [int(rows["seq_id"].iloc[0])], "text": ["".join(spelled)]})
 
     return spread(nodes).groupBy("seq_id").applyInPandas(run, "seq_id long, text string")
 

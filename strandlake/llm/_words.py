@@ -16,7 +16,7 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _STEP = 0xC2B2AE3D27D4EB4F | 1
 _MASK = (1 << 64) - 1
 #: Bytes of text handled at once; a longer single text is handled alone.
-SLICE_BYTES = 1 << 19
+SLICE_BYTES = 1 << 17
 
 _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 

@@ -8,8 +8,8 @@ the blocks in it are the main text.
 
 Pages without one go to the suffix array: the token streams of up to HOST_PAGES
 pages of a host are concatenated, the array finds every run of at least RUN_TOKENS
-tokens that occurs on BOILERPLATE_PAGES distinct pages or more, and a block that such
-runs cover by more than half is boilerplate; the rest, runs unique to the
+tokens that occurs on BOILERPLATE_PAGES distinct pages or more (pages of the same
+blocks are one page, however many rows have them), and a block that such runs cover by more than half is boilerplate; the rest, runs unique to the
 page, are its main text.  Inside an article element repetition is no evidence:
 copied articles are whole main texts.
 
@@ -18,11 +18,13 @@ host with a third of all pages is many groups.
 
 Defined results: a null html is an empty one and gives an empty text; an unclosed
 element ends with its parent, an unclosed tag or comment at the end of the page is
-no text; a null or odd url is the host ''; repeated rows are extracted one by one.
+no text; a null or odd url is the host ''; repeated rows and copied pages each get the
+text that one of them would get.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as _html
 import re
 from collections.abc import Iterator
@@ -219,22 +221,29 @@ def covered(streams: list[list[int]], owner: list[int], run: int = RUN_TOKENS, p
 
 
 def unique_blocks(pages: list[list[str]], run: int = RUN_TOKENS, least: int = BOILERPLATE_PAGES) -> list[list[str]]:
-    """Of each page's blocks, those not covered by more than half by runs that repeat across pages. A shorter block than a run is filled up, so it repeats as a whole."""
+    """Of each page's blocks, those not covered by more than half by runs that repeat across pages of different blocks. A shorter block than a run is filled up, so it repeats as a whole."""
     names: dict[str, int] = {"": 0}
-    streams, owner = [], []
+    contents: dict[tuple[str, ...], int] = {}
+    streams, owner, content = [], [], []
     for k, page in enumerate(pages):
+        c = contents.setdefault(tuple(page), k)
         for block in page:
             words = block.split()
             streams.append([names.setdefault(w, len(names)) for w in words] + [0] * (run - len(words)))
             owner.append(k)
+            content.append(c)
     out: list[list[str]] = [[] for _ in pages]
     blocks = [block for page in pages for block in page]
-    for k, block, mask in zip(owner, blocks, covered(streams, owner, run, least), strict=True):
+    for k, block, mask in zip(owner, blocks, covered(streams, content, run, least), strict=True):
         if 2 * int(mask.sum()) <= len(mask):
             out[k].append(block)
     return out
 
 
+def content_of(blocks: list[str]) -> bytes:
+    return hashlib.blake2b("\n".join(blocks).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url and text of each row of pages (page_id, url, html)."""
 
@@ -244,25 +253,30 @@ def extract(pages: DataFrame) -> DataFrame:
                 part = batch.slice(a, 500)
                 found = [blocks_of(h.as_py() or "") for h in part.column(2)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(["\n\n".join(m) if m else None for m, _ in found], pa.string()), pa.array([[] if m else o for m, o in found], pa.list_(pa.string()))],
-                    ["page_id", "url", "text", "blocks"],
+                    [
+                        part.column(0), part.column(1), pa.array(["\n\n".join(m) if m else None for m, _ in found], pa.string()), pa.array([[] if m else o for m, o in found], pa.list_(pa.string())),
+                        pa.array([None if m else content_of(o) for m, o in found], pa.binary()),
+                    ],
+                    ["page_id", "url", "text", "blocks", "content"],
                 )
 
-    rows = batched(pages.select(F.col("page_id").cast("long"), "url", "html"), read, "page_id long, url string, text string, blocks array<string>")
+    rows = batched(pages.select(F.col("page_id").cast("long"), "url", "html"), read, "page_id long, url string, text string, blocks array<string>, content binary")
     rows = settled(rows, "pages")
     decided = rows.where("text is not null or size(blocks) = 0").select("page_id", "url", F.coalesce("text", F.lit("")).alias("text"))
-    open_rows = rows.where("text is null and size(blocks) > 0").select("page_id", "url", "blocks")
+    open_rows = rows.where("text is null and size(blocks) > 0").select("page_id", "url", "blocks", "content")
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][\w+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1), F.lit("")))
     open_rows = open_rows.withColumn("host", host)
-    groups = open_rows.groupBy("host").agg(F.ceil(F.count("*") / HOST_PAGES).alias("groups"))
-    dealt = open_rows.join(groups, "host").withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.col("groups")))
+    # Each content of a host once, so that copies are neither evidence nor one task.
+    contents = open_rows.groupBy("host", "content").agg(F.first("blocks").alias("blocks"))
+    groups = open_rows.groupBy("host").agg(F.ceil(F.count_distinct("content") / HOST_PAGES).alias("groups"))
+    dealt = contents.join(groups, "host").withColumn("salt", F.pmod(F.xxhash64("content"), F.col("groups")))
 
     def cleaned(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["page_id", "url"], kind="stable")
         kept = unique_blocks([list(b) for b in rows["blocks"]])
-        return pd.DataFrame({"page_id": rows["page_id"], "url": rows["url"], "text": ["\n\n".join(k) for k in kept]})
+        return pd.DataFrame({"host": rows["host"], "content": rows["content"], "text": ["\n\n".join(k) for k in kept]})
 
-    return decided.unionByName(dealt.groupBy("host", "salt").applyInPandas(cleaned, "page_id long, url string, text string"))
+    texts = dealt.groupBy("host", "salt").applyInPandas(cleaned, "host string, content binary, text string")
+    return decided.unionByName(open_rows.drop("blocks").join(texts, ["host", "content"]).select("page_id", "url", "text"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

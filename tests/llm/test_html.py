@@ -71,3 +71,14 @@ def test_copied_articles_stay(spark):
     rows = [(k, "http://h/", "<nav>menu</nav><article><p>the same article text on every page of it</p></article>") for k in range(20)]
     got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert {r.text for r in got} == {"the same article text on every page of it"} and len(got) == 20
+
+
+def test_copied_pages_without_an_article_stay(spark):
+    page = "<div>the same text on every copy of it</div><p>and a second paragraph of the same page</p>"
+    text = "the same text on every copy of it\n\nand a second paragraph of the same page"
+    rows = [(1, "http://h/", page)] * 3 + [(k, f"http://copies/{k}", page) for k in range(2, 300)]
+    rows += [(1000 + k, f"http://menus/{k}", f"<div>home and about this site</div><p>own{k} words{k} of{k} page{k} once{k}</p>") for k in range(2)] * 3
+    got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == len(rows) and {r.text for r in got if r.page_id < 1000} == {text}
+    assert all(r.text.startswith("home and about this site") for r in got if r.page_id >= 1000)
+    assert html.unique_blocks([["a b c d e"]] * 3) == [["a b c d e"]] * 3

@@ -16,6 +16,10 @@ BLOCK_TOKENS tokens; the last window of a block is carried into the next one, so
 memory is bounded by a block and one document.  Every task packs its own
 partition; there is no shuffle.
 
+Ids are those of the tokenizer file: texts are split at its added tokens, what lies
+between is encoded by a faster form of the same vocabulary, or by the file itself
+where that form gives up (a million white-space characters in a row).
+
 Defined results: a null text is an empty one (one token, the separator);
 repeated ids are packed as often as they occur; an empty table gives no pieces.
 """
@@ -23,6 +27,8 @@ repeated ids are packed as often as they occur; an empty table gives no pieces.
 from __future__ import annotations
 
 import base64
+import json
+import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -44,18 +50,52 @@ BLOCK_TOKENS = 1 << 18
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long, padding long"
 
 
-@lru_cache(maxsize=2)
-def encoder(vocabulary: str):
-    """A tiktoken encoder with the ids of the byte-level BPE whose rank file is given, and which ids end a sentence or line."""
-    import public_tokenizers
-    import tiktoken
+class Encoder:
+    """The ids that the tokenizer file ``tokenizer`` gives, most of them by tiktoken from the rank file ``vocabulary`` of the same BPE."""
+
+    def __init__(self, vocabulary: str, tokenizer: str):
+        import public_tokenizers
+        import tiktoken
+
+        with open(vocabulary, "rb") as lines:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        with open(tokenizer, encoding="utf-8") as file:
+            added = json.load(file)["added_tokens"]
+        if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in added):
+            raise ValueError(f"{tokenizer}: added tokens that take more than their own text")
+        self.added = {t["content"]: t["id"] for t in added}
+        # The longest of those that start at a place wins.
+        self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")").split if added else lambda text: [text]
+        self.fast = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.tokenizer, self._slow = tokenizer, None
+        #: Which ids end a sentence or line.
+        self.ends = np.zeros(max(*ranks.values(), *self.added.values()) + 1, bool)
+        for token, k in ranks.items():
+            self.ends[k] = token.rstrip(b"\"')")[-1:] in (b".", b"!", b"?", b"\n")
+
+    def slow(self, text: str) -> list[int]:
+        if self._slow is None:
+            from tokenizers import Tokenizer
+
+            self._slow = Tokenizer.from_file(self.tokenizer)
+        return self._slow.encode(text, add_special_tokens=False).ids
+
+    def _plain(self, text: str) -> np.ndarray:
+        try:
+            return self.fast.encode_to_numpy(text, disallowed_special=())
+        except ValueError:  # the pattern's backtracking is limited
+            return np.array(self.slow(text), np.uint32)
+
+    def __call__(self, text: str) -> np.ndarray:
+        parts = self.split(text)
+        if len(parts) == 1:
+            return self._plain(text)
+        return np.concatenate([np.array([self.added[p]], np.uint32) if k % 2 else self._plain(p) for k, p in enumerate(parts)])
 
-    with open(vocabulary, "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    ends = np.zeros(max(ranks.values()) + 1, bool)
-    for token, k in ranks.items():
-        ends[k] = token.rstrip(b"\"')")[-1:] in (b".", b"!", b"?", b"\n")
-    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), ends
+
+@lru_cache(maxsize=2)
+def encoder(vocabulary: str, tokenizer: str) -> Encoder:
+    return Encoder(vocabulary, tokenizer)
 
 
 def vocabulary_path() -> str:
@@ -64,6 +104,12 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def best_cuts(position: np.ndarray, penalty: np.ndarray, most: int = MAX_TOKENS) -> list[int]:
     """Indices into position (ascending, from 0, gaps at most ``most``) of the windows' right ends, of least cost."""
     at, extra = position.tolist(), penalty.tolist()
@@ -160,9 +206,9 @@ class Packer:
         self.parts, self.held = kept, len(tokens) - done
 
 
-def pack(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str | None = None, tokenizer: str | None = None) -> DataFrame:
     """Pieces of all rows of docs (doc_id, text): SCHEMA. Sequence ids are unique: the partition's number and a counter."""
-    file = vocabulary or vocabulary_path()
+    files = vocabulary or vocabulary_path(), tokenizer or tokenizer_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer: Packer | None = None
@@ -171,15 +217,15 @@ def pack(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=schema)
 
-        encode, ends = encoder(file)
+        encode = encoder(*files)
         rows: list[tuple] = []
         for batch in batches:
             texts, ids, parts = batch.column(1).to_pylist(), batch.column(0).to_pylist(), batch.column(2)
             if packer is None and len(ids):
-                packer = Packer(ends, parts[0].as_py() << 40)
+                packer = Packer(encode.ends, parts[0].as_py() << 40)
             for a, b in sliced(texts):
                 for doc_id, text in zip(ids[a:b], texts[a:b], strict=True):
-                    rows += packer.add(doc_id, np.append(encode.encode_to_numpy(text or "", disallowed_special=()), SEPARATOR).astype(np.uint32))
+                    rows += packer.add(doc_id, np.append(encode(text or ""), SEPARATOR).astype(np.uint32))
                 if len(rows) > 20_000:
                     yield batch_of(rows)
                     rows = []

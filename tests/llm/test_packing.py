@@ -85,3 +85,13 @@ def test_small_blocks_carry_on(spark, monkeypatch):
     rows += packer.finish()
     assert sum(r[2] for r in rows) == sum(200 + k for k in range(50))
     assert sum(p for _, p in {(r[5], r[8]) for r in rows}) < 0.05 * sum(r[2] for r in rows)
+
+
+def test_added_tokens_have_their_own_ids(spark):
+    texts = [(1, "a<|endoftext|>b"), (2, "<|endoftext|>"), (3, "  <|endoftext|>  x<|endoftext|><|endoftext|>\n\ny <|endoftext"), (4, "<|endoftext|>" + "word. " * 2000 + "\n<|endoftext|>")]
+    _check(packing.pack(spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)).collect(), texts)
+
+
+def test_long_white_space(spark):
+    texts = [(1, "a" + " " * 1_100_000 + "b"), (2, "c" + "\n" * 1_100_000 + "<|endoftext|>d"), (3, "e")]
+    _check(packing.pack(spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)).collect(), texts)

@@ -6,15 +6,18 @@ footers, sidebars, forms, adverts, notices or reader comments (by element, role,
 or class and id words) are out.  If the page has an article (or main) element,
 the blocks in it are the main text.
 
-Pages without one go to the suffix array: the token streams of up to HOST_PAGES
+Pages without one go to the suffix array: the token streams of about HOST_PAGES
 pages of a host are concatenated, the array finds every run of at least RUN_TOKENS
 tokens that occurs on BOILERPLATE_PAGES distinct pages or more (pages of the same
 blocks are one page, however many rows have them), and a block that such runs cover by more than half is boilerplate; the rest, runs unique to the
 page, are its main text.  Inside an article element repetition is no evidence:
 copied articles are whole main texts.
 
-A host's pages are dealt to groups of about HOST_PAGES by a hash of the page, so a
-host with a third of all pages is many groups.
+A host's distinct pages are dealt to groups of about HOST_PAGES by a hash of their blocks,
+so a host with a third of all pages is many groups. Each group's array finds its
+runs; of a host with more than one group, the pages each run occurs on are added up over
+all groups (runs go by fingerprint to their part of the host and back), so what is
+boilerplate does not depend on the number of groups.
 
 Defined results: a null html is an empty one and gives an empty text; an unclosed
 element ends with its parent, an unclosed tag or comment at the end of the page is
@@ -35,9 +38,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._words import mix
 from ._work import batched, settled, table
 
 HOST_PAGES, RUN_TOKENS, BOILERPLATE_PAGES = 128, 4, 3
+#: The runs of about so many groups of a host are added up in one part.
+PART_GROUPS = 8
 
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -193,15 +199,13 @@ def suffix_array(values: np.ndarray) -> np.ndarray:
     return order
 
 
-def covered(streams: list[list[int]], owner: list[int], run: int = RUN_TOKENS, pages: int = BOILERPLATE_PAGES) -> list[np.ndarray]:
-    """Of each stream's tokens (numbers from 0), whether a run of at least ``run`` tokens that occurs in streams of ``pages`` owners or more covers it."""
+def _runs(streams: list[list[int]], owner: list[int], run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All streams' tokens joined, the length each stream takes there, starts in suffix order, the run that begins at each (by number), and the owners of each run."""
     most = max((max(s) for s in streams if s), default=-1) + 1
     joined: list[int] = []
     for k, s in enumerate(streams):
         joined += s
         joined.append(most + k)  # no run crosses streams
-    if not joined:
-        return []
     lengths = np.array([len(s) + 1 for s in streams])
     owners = np.repeat(owner, lengths)
     tokens = np.array(joined + [-1 - k for k in range(run)])
@@ -212,16 +216,29 @@ def covered(streams: list[list[int]], owner: list[int], run: int = RUN_TOKENS, p
         same &= tokens[order[1:] + k] == tokens[order[:-1] + k]
     interval = np.concatenate(([0], np.cumsum(~same)))
     seen = np.unique(np.stack([interval, owners[order]], 1), axis=0)
-    starts = order[np.bincount(seen[:, 0], minlength=interval[-1] + 1)[interval] >= pages]
-    delta = np.zeros(len(tokens) + 1, np.int64)
+    return tokens, lengths, order, interval, np.bincount(seen[:, 0], minlength=interval[-1] + 1)
+
+
+def _spread(starts: np.ndarray, lengths: np.ndarray, run: int) -> list[np.ndarray]:
+    """Of each stream's tokens, whether a run that begins at one of starts covers it."""
+    total = int(lengths.sum())
+    delta = np.zeros(total + run + 1, np.int64)
     np.add.at(delta, starts, 1)
     np.add.at(delta, starts + run, -1)
-    mask = np.cumsum(delta)[: len(joined)] > 0
+    mask = np.cumsum(delta)[:total] > 0
     return [part[:-1] for part in np.split(mask, np.cumsum(lengths)[:-1])]
 
 
-def unique_blocks(pages: list[list[str]], run: int = RUN_TOKENS, least: int = BOILERPLATE_PAGES) -> list[list[str]]:
-    """Of each page's blocks, those not covered by more than half by runs that repeat across pages of different blocks. A shorter block than a run is filled up, so it repeats as a whole."""
+def covered(streams: list[list[int]], owner: list[int], run: int = RUN_TOKENS, pages: int = BOILERPLATE_PAGES) -> list[np.ndarray]:
+    """Of each stream's tokens (numbers from 0), whether a run of at least ``run`` tokens that occurs in streams of ``pages`` owners or more covers it."""
+    if not streams:
+        return []
+    _, lengths, order, interval, found = _runs(streams, owner, run)
+    return _spread(order[found[interval] >= pages], lengths, run)
+
+
+def _streams(pages: list[list[str]], run: int) -> tuple[list[list[int]], list[int], list[int], list[str]]:
+    """Each block's tokens, its page, its content (the first page of the same blocks), and the words by token. A shorter block than a run is filled up, so it repeats as a whole."""
     names: dict[str, int] = {"": 0}
     contents: dict[tuple[str, ...], int] = {}
     streams, owner, content = [], [], []
@@ -232,14 +249,58 @@ def unique_blocks(pages: list[list[str]], run: int = RUN_TOKENS, least: int = BO
             streams.append([names.setdefault(w, len(names)) for w in words] + [0] * (run - len(words)))
             owner.append(k)
             content.append(c)
+    return streams, owner, content, list(names)
+
+
+def _without(pages: list[list[str]], owner: list[int], masks: list[np.ndarray]) -> list[list[str]]:
+    """Each page's blocks that are covered by half at most."""
     out: list[list[str]] = [[] for _ in pages]
-    blocks = [block for page in pages for block in page]
-    for k, block, mask in zip(owner, blocks, covered(streams, content, run, least), strict=True):
+    for k, block, mask in zip(owner, (block for page in pages for block in page), masks, strict=True):
         if 2 * int(mask.sum()) <= len(mask):
             out[k].append(block)
     return out
 
 
+def unique_blocks(pages: list[list[str]], run: int = RUN_TOKENS, least: int = BOILERPLATE_PAGES) -> list[list[str]]:
+    """Of each page's blocks, those not covered by more than half by runs that repeat across pages of different blocks."""
+    streams, owner, content, _ = _streams(pages, run)
+    return _without(pages, owner, covered(streams, content, run, least))
+
+
+def _prints(tokens: np.ndarray, words: list[str], run: int) -> np.ndarray:
+    """A fingerprint of the words of the run at each token, the same in all groups of a host."""
+    of_word = np.array([int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") for w in words], np.uint64)
+    at = of_word[np.where((tokens >= 0) & (tokens < len(words)), tokens, 0)]
+    out = np.zeros(len(tokens) - run, np.uint64)
+    for k in range(run):
+        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + at[k : len(out) + k])
+    return out
+
+
+def _inside(lengths: np.ndarray, run: int) -> np.ndarray:
+    """Whether the run at each place ends in its stream."""
+    ends = np.cumsum(lengths)
+    return np.repeat(ends - 1, lengths) - np.arange(ends[-1]) >= run
+
+
+def runs_of(pages: list[list[str]], run: int = RUN_TOKENS, least: int = BOILERPLATE_PAGES) -> np.ndarray:
+    """The fingerprints of all runs of these pages, each as often as pages of different blocks have it, ``least`` times at most."""
+    streams, _, content, words = _streams(pages, run)
+    tokens, lengths, order, interval, found = _runs(streams, content, run)
+    first = order[np.flatnonzero(np.diff(interval, prepend=-1))]
+    inside = _inside(lengths, run)[first]
+    return np.repeat(_prints(tokens, words, run)[first[inside]], np.minimum(found, least)[inside])
+
+
+def blocks_without(pages: list[list[str]], repeated: np.ndarray, run: int = RUN_TOKENS) -> list[list[str]]:
+    """Of each page's blocks, those not covered by more than half by runs whose fingerprints are in repeated."""
+    streams, owner, _, words = _streams(pages, run)
+    lengths = np.array([len(s) + 1 for s in streams])
+    tokens = np.array([t for s in streams for t in (*s, 0)] + [0] * run)
+    starts = np.flatnonzero(_inside(lengths, run) & np.isin(_prints(tokens, words, run), repeated))
+    return _without(pages, owner, _spread(starts, lengths, run))
+
+
 def content_of(blocks: list[str]) -> bytes:
     return hashlib.blake2b("\n".join(blocks).encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
@@ -270,12 +331,35 @@ def extract(pages: DataFrame) -> DataFrame:
     contents = open_rows.groupBy("host", "content").agg(F.first("blocks").alias("blocks"))
     groups = open_rows.groupBy("host").agg(F.ceil(F.count_distinct("content") / HOST_PAGES).alias("groups"))
     dealt = contents.join(groups, "host").withColumn("salt", F.pmod(F.xxhash64("content"), F.col("groups")))
+    schema = "host string, content binary, text string"
 
-    def cleaned(rows: pd.DataFrame) -> pd.DataFrame:
-        kept = unique_blocks([list(b) for b in rows["blocks"]])
+    def texts_of(rows: pd.DataFrame, kept: list[list[str]]) -> pd.DataFrame:
         return pd.DataFrame({"host": rows["host"], "content": rows["content"], "text": ["\n\n".join(k) for k in kept]})
 
-    texts = dealt.groupBy("host", "salt").applyInPandas(cleaned, "host string, content binary, text string")
+    def cleaned(rows: pd.DataFrame) -> pd.DataFrame:
+        return texts_of(rows, unique_blocks([list(b) for b in rows["blocks"]]))
+
+    def found(rows: pd.DataFrame) -> pd.DataFrame:
+        runs = runs_of([list(b) for b in rows["blocks"]])
+        part = runs % np.uint64(-(-int(rows["groups"].iloc[0]) // PART_GROUPS))
+        order = np.argsort(part, kind="stable")
+        parts, at = np.unique(part[order], return_index=True)
+        return pd.DataFrame({"host": rows["host"].iloc[0], "salt": rows["salt"].iloc[0], "part": parts.astype(np.int64), "runs": [r.tobytes() for r in np.split(runs[order], at[1:])]})
+
+    def repeated(rows: pd.DataFrame) -> pd.DataFrame:
+        held = [np.frombuffer(r, np.uint64) for r in rows["runs"]]
+        values, counts = np.unique(np.concatenate(held), return_counts=True)
+        often = values[counts >= BOILERPLATE_PAGES]
+        return pd.DataFrame({"host": rows["host"], "salt": rows["salt"], "runs": [np.intersect1d(r, often).tobytes() for r in held]})
+
+    def without(rows: pd.DataFrame, marks: pd.DataFrame) -> pd.DataFrame:
+        return texts_of(rows, blocks_without([list(b) for b in rows["blocks"]], np.frombuffer(b"".join(marks["runs"]), np.uint64)))
+
+    texts = dealt.where("groups = 1").groupBy("host").applyInPandas(cleaned, schema)
+    large = dealt.where("groups > 1")
+    runs = large.groupBy("host", "salt").applyInPandas(found, "host string, salt long, part long, runs binary")
+    marks = runs.groupBy("host", "part").applyInPandas(repeated, "host string, salt long, runs binary")
+    texts = texts.unionByName(large.groupBy("host", "salt").cogroup(marks.groupBy("host", "salt")).applyInPandas(without, schema))
     return decided.unionByName(open_rows.drop("blocks").join(texts, ["host", "content"]).select("page_id", "url", "text"))
 
 

@@ -82,3 +82,23 @@ def test_copied_pages_without_an_article_stay(spark):
     assert len(got) == len(rows) and {r.text for r in got if r.page_id < 1000} == {text}
     assert all(r.text.startswith("home and about this site") for r in got if r.page_id >= 1000)
     assert html.unique_blocks([["a b c d e"]] * 3) == [["a b c d e"]] * 3
+
+
+def _large_host():
+    rows = [(k, f"http://large/{k}", f"<p>own{k} words{k} of{k} page{k} once{k}</p>" + "<div>a rare notice about this site</div>" * (k % 500 < 3) + "<div>Menu</div>" * (k % 700 == 1) + "<div>said on two pages only here</div>" * (k in (8, 2008))) for k in range(2600)]
+    return rows, {k: f"own{k} words{k} of{k} page{k} once{k}" + "\n\nsaid on two pages only here" * (k in (8, 2008)) for k in range(2600)}
+
+
+def test_boilerplate_is_counted_over_the_whole_host(spark):
+    rows, want = _large_host()
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()}
+    assert got == want
+
+
+def test_groups_of_a_host_give_what_one_group_gives(spark, monkeypatch):
+    draw = random.Random(7)
+    rows = [(k, "http://h/", "".join(f"<p>{' '.join(draw.choices('abc', k=draw.randrange(1, 9)))} {draw.randrange(40)}</p>" for _ in range(4))) for k in range(120)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    one = {r.page_id: r.text for r in html.extract(df).collect()}
+    monkeypatch.setattr(html, "HOST_PAGES", 5)
+    assert {r.page_id: r.text for r in html.extract(df).collect()} == one and len(set(one.values())) > 50

@@ -23,9 +23,11 @@ from pyspark.sql import functions as F
 
 from ._work import batched, crc_mod, table
 
-#: Bounds of the training sample: texts and bytes of each text a language, and languages (most frequent first).
-SAMPLE_TEXTS, SAMPLE_CHARS, MAX_LANGUAGES = 96, 1500, 64
+#: Bounds of the training sample: texts a language, and characters of each.
+SAMPLE_TEXTS, SAMPLE_CHARS = 96, 1500
 DICTIONARY_BYTES = 112_640
+#: All languages are learned; beyond so many, samples and dictionaries shrink so that their total stays, down to LEAST_CHARS of a text.
+FULL_LANGUAGES, LEAST_CHARS = 64, 24
 BLOCK_BYTES = 2048
 #: zstandard's level, and the slower one (with 3-byte matches) for texts of at most SHORT_BYTES.
 LEVEL, SHORT_LEVEL, SHORT_BYTES = 6, 12, 1024
@@ -42,15 +44,20 @@ def letters(text: str) -> str:
 
 
 def learn(docs: DataFrame) -> dict[str, bytes]:
-    """Dictionaries from the rows of docs with a lang: SAMPLE_TEXTS of each, chosen by a hash of doc_id."""
-    rows = docs.where("lang is not null and text is not null").select("doc_id", "lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-    kept = {r[0] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
+    """Dictionaries of all languages from the rows of docs with a lang: SAMPLE_TEXTS of each, chosen by a hash of doc_id, and of each text a piece at a hashed offset."""
+    rows = docs.where("lang is not null and text is not null").select("doc_id", "lang", "text")
+    languages = rows.agg(F.count_distinct("lang")).first()[0]
+    share = min(1.0, FULL_LANGUAGES / max(1, languages))
+    chars = max(LEAST_CHARS, int(SAMPLE_CHARS * share))
+    most = max(LEAST_CHARS * SAMPLE_TEXTS, int(DICTIONARY_BYTES * share))
+    places = F.greatest(F.char_length("text") - chars + 1, F.lit(1))
+    piece = F.substring("text", F.pmod(F.xxhash64("doc_id", F.lit("piece")), places).cast("int") + 1, F.lit(chars))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
-    sample = rows.where(F.col("lang").isin(sorted(kept))).withColumn("k", F.row_number().over(order)).where(F.col("k") <= SAMPLE_TEXTS)
+    sample = rows.withColumn("text", piece).withColumn("k", F.row_number().over(order)).where(F.col("k") <= SAMPLE_TEXTS)
     parts: dict[str, list[str]] = {}
     for lang, _, text in sorted(sample.select("lang", "k", "text").collect()):
         parts.setdefault(lang, []).append(letters(text))
-    return {lang: "\n".join(texts).encode()[-DICTIONARY_BYTES:] for lang, texts in sorted(parts.items()) if any(texts)}
+    return {lang: "\n".join(texts).encode()[-most:] for lang, texts in sorted(parts.items()) if any(texts)}
 
 
 class Compressors:
@@ -83,7 +90,7 @@ class Compressors:
 
 
 def classify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MARGIN) -> DataFrame:
-    """doc_id, lang_pred, score, margin and rejected (margin too narrow, or und) of each row. The dictionaries' size is bounded by MAX_LANGUAGES times DICTIONARY_BYTES."""
+    """doc_id, lang_pred, score, margin and rejected (margin too narrow, or und) of each row. learn() bounds the dictionaries' total size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Compressors(dictionaries)

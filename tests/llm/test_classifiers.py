@@ -70,3 +70,22 @@ def test_quality(spark):
         m = quality.learn(df, few)
         assert all(abs(r.score - share) < 0.01 for r in quality.score(df.where("doc_id < 20"), m).collect())
     assert quality.score(df.limit(0), m).count() == 0
+
+
+def test_all_languages_are_learned(spark):
+    draw = random.Random(3)
+    sounds = {f"l{k:02}": ["".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=3)) for _ in range(6)] for k in range(70)}
+    texts = [(lang, " ".join("".join(draw.choices(own, k=3)) for _ in range(60))) for lang, own in sounds.items() for _ in range(6 if lang < "l64" else 4)]
+    df = spark.createDataFrame([(k, text, lang) for k, (lang, text) in enumerate(texts)], "doc_id long, text string, lang string")
+    model = language.learn(df)
+    assert sorted(model) == sorted(sounds) and sum(map(len, model.values())) <= language.FULL_LANGUAGES * language.DICTIONARY_BYTES
+    assert {r.doc_id: r.lang_pred for r in language.classify(df, model).collect()} == {k: lang for k, (lang, _) in enumerate(texts)}
+
+
+def test_languages_after_a_long_preamble(spark):
+    draw = random.Random(6)
+    rows = [(k, "the same preamble of every text " * 60 + _prose(draw, lang, 2000), lang) for k in range(60) for lang in [draw.choice(list(SOUNDS))]]
+    model = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    tests = [(k, _prose(draw, lang, 40), lang) for k in range(60) for lang in [draw.choice(list(SOUNDS))]]
+    got = {r.doc_id: r.lang_pred for r in language.classify(spark.createDataFrame(tests, "doc_id long, text string, lang string"), model).collect()}
+    assert sum(got[k] == lang for k, _, lang in tests) >= 58

@@ -4,14 +4,16 @@ A page is read once into blocks (paragraphs, headings, list items, cells) with
 markup, scripts, styles and comments gone.  Blocks inside menus, headers,
 footers, sidebars, forms, adverts, notices or reader comments (by element, role,
 or class and id words) are out.  If the page has an article (or main) element,
-the blocks in it are the main text.
+the blocks in it are left, else all others.
 
-Pages without one go to the suffix array: the token streams of about HOST_PAGES
+What is left goes to the suffix array: the token streams of about HOST_PAGES
 pages of a host are concatenated, the array finds every run of at least RUN_TOKENS
 tokens that occurs on BOILERPLATE_PAGES distinct pages or more (pages of the same
 blocks are one page, however many rows have them), and a block that such runs cover by more than half is boilerplate; the rest, runs unique to the
-page, are its main text.  Inside an article element repetition is no evidence:
-copied articles are whole main texts.
+page, are its main text.  Inside an article element repetition alone is no evidence,
+as copied articles are whole main texts: there a page counts for its runs only if at
+least half of its tokens are in blocks that do not repeat, and pages of the same such
+blocks count once.
 
 A host's distinct pages are dealt to groups of about HOST_PAGES by a hash of their blocks,
 so a host with a third of all pages is many groups. Each group's array finds its
@@ -301,6 +303,28 @@ def blocks_without(pages: list[list[str]], repeated: np.ndarray, run: int = RUN_
     return _without(pages, owner, _spread(starts, lengths, run))
 
 
+def evidence_of(pages: list[list[str]], mains: list[bool], repeated: np.ndarray, run: int = RUN_TOKENS, least: int = BOILERPLATE_PAGES) -> np.ndarray:
+    """Pairs of a run in repeated and a page that is evidence of it (by what makes it another page than the next), ``least`` of each run at most."""
+    streams, owner, _, words = _streams(pages, run)
+    lengths = np.array([len(s) + 1 for s in streams])
+    tokens = np.array([t for s in streams for t in (*s, 0)] + [0] * run)
+    prints = _prints(tokens, words, run)
+    starts = np.flatnonzero(_inside(lengths, run) & np.isin(prints, repeated))
+    kept = _without(pages, owner, _spread(starts, lengths, run))
+    counts = [(sum(len(b.split()) for b in k), sum(len(b.split()) for b in p)) for k, p in zip(kept, pages, strict=True)]
+    counted = np.array([not main or 2 * own >= total for main, (own, total) in zip(mains, counts, strict=True)], bool)
+    marks = np.array([int.from_bytes(content_of(k if main else p)[:8], "little") for main, k, p in zip(mains, kept, pages, strict=True)], np.uint64)
+    page = np.repeat(owner, lengths)[starts]
+    pairs = np.unique(np.stack([prints[starts], marks[page]], 1)[counted[page]], axis=0)
+    first = np.searchsorted(pairs[:, 0], pairs[:, 0])
+    return pairs[np.arange(len(pairs)) - first < least]
+
+
+def _often(values: np.ndarray, least: int = BOILERPLATE_PAGES) -> np.ndarray:
+    values, counts = np.unique(values, return_counts=True)
+    return values[counts >= least]
+
+
 def content_of(blocks: list[str]) -> bytes:
     return hashlib.blake2b("\n".join(blocks).encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
@@ -315,20 +339,20 @@ def extract(pages: DataFrame) -> DataFrame:
                 found = [blocks_of(h.as_py() or "") for h in part.column(2)]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column(0), part.column(1), pa.array(["\n\n".join(m) if m else None for m, _ in found], pa.string()), pa.array([[] if m else o for m, o in found], pa.list_(pa.string())),
-                        pa.array([None if m else content_of(o) for m, o in found], pa.binary()),
+                        part.column(0), part.column(1), pa.array([m or o for m, o in found], pa.list_(pa.string())), pa.array([bool(m) for m, _ in found], pa.bool_()),
+                        pa.array([content_of(["main" if m else "", *(m or o)]) for m, o in found], pa.binary()),
                     ],
-                    ["page_id", "url", "text", "blocks", "content"],
+                    ["page_id", "url", "blocks", "main", "content"],
                 )
 
-    rows = batched(pages.select(F.col("page_id").cast("long"), "url", "html"), read, "page_id long, url string, text string, blocks array<string>, content binary")
+    rows = batched(pages.select(F.col("page_id").cast("long"), "url", "html"), read, "page_id long, url string, blocks array<string>, main boolean, content binary")
     rows = settled(rows, "pages")
-    decided = rows.where("text is not null or size(blocks) = 0").select("page_id", "url", F.coalesce("text", F.lit("")).alias("text"))
-    open_rows = rows.where("text is null and size(blocks) > 0").select("page_id", "url", "blocks", "content")
+    decided = rows.where("size(blocks) = 0").select("page_id", "url", F.lit("").alias("text"))
+    open_rows = rows.where("size(blocks) > 0")
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][\w+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1), F.lit("")))
     open_rows = open_rows.withColumn("host", host)
     # Each content of a host once, so that copies are neither evidence nor one task.
-    contents = open_rows.groupBy("host", "content").agg(F.first("blocks").alias("blocks"))
+    contents = open_rows.groupBy("host", "content").agg(F.first("blocks").alias("blocks"), F.first("main").alias("main"))
     groups = open_rows.groupBy("host").agg(F.ceil(F.count_distinct("content") / HOST_PAGES).alias("groups"))
     dealt = contents.join(groups, "host").withColumn("salt", F.pmod(F.xxhash64("content"), F.col("groups")))
     schema = "host string, content binary, text string"
@@ -337,30 +361,47 @@ def extract(pages: DataFrame) -> DataFrame:
         return pd.DataFrame({"host": rows["host"], "content": rows["content"], "text": ["\n\n".join(k) for k in kept]})
 
     def cleaned(rows: pd.DataFrame) -> pd.DataFrame:
-        return texts_of(rows, unique_blocks([list(b) for b in rows["blocks"]]))
+        blocks = [list(b) for b in rows["blocks"]]
+        pairs = evidence_of(blocks, list(rows["main"]), _often(runs_of(blocks)))
+        return texts_of(rows, blocks_without(blocks, _often(pairs[:, 0])))
 
-    def found(rows: pd.DataFrame) -> pd.DataFrame:
-        runs = runs_of([list(b) for b in rows["blocks"]])
+    def parts_of(rows: pd.DataFrame, values: np.ndarray, runs: np.ndarray) -> pd.DataFrame:
         part = runs % np.uint64(-(-int(rows["groups"].iloc[0]) // PART_GROUPS))
         order = np.argsort(part, kind="stable")
         parts, at = np.unique(part[order], return_index=True)
-        return pd.DataFrame({"host": rows["host"].iloc[0], "salt": rows["salt"].iloc[0], "part": parts.astype(np.int64), "runs": [r.tobytes() for r in np.split(runs[order], at[1:])]})
+        held = [r.tobytes() for r in np.split(values[order], at[1:])] if len(parts) else []
+        host = pd.Series([rows["host"].iloc[0]] * len(parts), dtype=object)
+        return pd.DataFrame({"host": host, "salt": np.full(len(parts), rows["salt"].iloc[0], np.int64), "part": parts.astype(np.int64), "runs": pd.Series(held, dtype=object)})
+
+    def found(rows: pd.DataFrame) -> pd.DataFrame:
+        runs = runs_of([list(b) for b in rows["blocks"]])
+        return parts_of(rows, runs, runs)
 
     def repeated(rows: pd.DataFrame) -> pd.DataFrame:
         held = [np.frombuffer(r, np.uint64) for r in rows["runs"]]
-        values, counts = np.unique(np.concatenate(held), return_counts=True)
-        often = values[counts >= BOILERPLATE_PAGES]
+        often = _often(np.concatenate(held))
         return pd.DataFrame({"host": rows["host"], "salt": rows["salt"], "runs": [np.intersect1d(r, often).tobytes() for r in held]})
 
+    def witnessed(rows: pd.DataFrame, marks: pd.DataFrame) -> pd.DataFrame:
+        pairs = evidence_of([list(b) for b in rows["blocks"]], list(rows["main"]), np.frombuffer(b"".join(marks["runs"]), np.uint64))
+        return parts_of(rows, pairs, pairs[:, 0])
+
+    def evident(rows: pd.DataFrame) -> pd.DataFrame:
+        held = [np.frombuffer(r, np.uint64).reshape(-1, 2) for r in rows["runs"]]
+        often = _often(np.unique(np.concatenate(held), axis=0)[:, 0])
+        return pd.DataFrame({"host": rows["host"], "salt": rows["salt"], "runs": [np.intersect1d(r[:, 0], often).tobytes() for r in held]})
+
     def without(rows: pd.DataFrame, marks: pd.DataFrame) -> pd.DataFrame:
         return texts_of(rows, blocks_without([list(b) for b in rows["blocks"]], np.frombuffer(b"".join(marks["runs"]), np.uint64)))
 
     texts = dealt.where("groups = 1").groupBy("host").applyInPandas(cleaned, schema)
     large = dealt.where("groups > 1")
-    runs = large.groupBy("host", "salt").applyInPandas(found, "host string, salt long, part long, runs binary")
-    marks = runs.groupBy("host", "part").applyInPandas(repeated, "host string, salt long, runs binary")
+    held, marked = "host string, salt long, part long, runs binary", "host string, salt long, runs binary"
+    marks = large.groupBy("host", "salt").applyInPandas(found, held).groupBy("host", "part").applyInPandas(repeated, marked)
+    pairs = large.groupBy("host", "salt").cogroup(marks.groupBy("host", "salt")).applyInPandas(witnessed, held)
+    marks = pairs.groupBy("host", "part").applyInPandas(evident, marked)
     texts = texts.unionByName(large.groupBy("host", "salt").cogroup(marks.groupBy("host", "salt")).applyInPandas(without, schema))
-    return decided.unionByName(open_rows.drop("blocks").join(texts, ["host", "content"]).select("page_id", "url", "text"))
+    return decided.unionByName(open_rows.select("page_id", "url", "host", "content").join(texts, ["host", "content"]).select("page_id", "url", "text"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

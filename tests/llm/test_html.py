@@ -102,3 +102,15 @@ def test_groups_of_a_host_give_what_one_group_gives(spark, monkeypatch):
     one = {r.page_id: r.text for r in html.extract(df).collect()}
     monkeypatch.setattr(html, "HOST_PAGES", 5)
     assert {r.page_id: r.text for r in html.extract(df).collect()} == one and len(set(one.values())) > 50
+
+
+def test_boilerplate_inside_main_goes_and_copied_articles_stay(spark, monkeypatch):
+    menu = "<p>all our guides and offers at a glance</p>"
+    own = {k: " ".join(f"own{k}x{i}" for i in range(12)) for k in range(40)}
+    rows = [(k, f"http://h/{k}", f"<main>{menu}<p>{own[k]}</p></main>") for k in range(40)]
+    near = {k: f"a copied article whose text is the same on each page but for one word {k}" for k in range(100, 110)}
+    rows += [(k, f"http://h/{k}", f"<article><p>{x}</p></article>") for k, x in near.items()]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for pages in (html.HOST_PAGES, 6):
+        monkeypatch.setattr(html, "HOST_PAGES", pages)
+        assert {r.page_id: r.text for r in html.extract(df).collect()} == own | near

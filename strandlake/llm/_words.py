@@ -1,38 +1,25 @@
 """Word fingerprints for batches of texts, vectorised over the UTF-8 bytes.
 
 A word is a maximal run of bytes outside space and \\x09-\\x0D.  Its
-fingerprint is a polynomial hash modulo 2**64 passed through a bijective mixer,
-so equal words have equal fingerprints in every batch, task and run.
+fingerprint has 64 bits: of a word of at most LONG bytes, its bytes by eights through a bijective mixer; of a longer
+one, its BLAKE2 digest.  Runs of words are joined from their halves through the same mixer.  Nothing is a sum or a
+polynomial, so texts of much structure (of two alternating words, say) collide no more often than random ones.
+Equal words have equal fingerprints in every batch, task and run.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_STEP = 0xC2B2AE3D27D4EB4F | 1
-_MASK = (1 << 64) - 1
+_STEP = np.uint64(0xC2B2AE3D27D4EB4F)
 #: Bytes of text handled at once; a longer single text is handled alone.
 SLICE_BYTES = 1 << 17
-
-_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n at least."""
-    up, down = _tables.get(base, (np.empty(0, np.uint64),) * 2)
-    if len(up) < n:
-        size = max(n, 2 * len(up), 1 << 12)
-        both = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            a = np.full(size, b, np.uint64)
-            a[0] = 1
-            both.append(np.cumprod(a, dtype=np.uint64))
-        _tables[base] = up, down = both[0], both[1]
-    return up, down
+#: Bytes of the longest word that is hashed by eights.
+LONG = 32
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -44,12 +31,44 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def spans_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
-    """Fingerprint of values[starts:ends] for each span."""
-    up, down = powers(base, len(values) + 1)
-    total = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * up[: len(values)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] ^ (ends - starts).astype(np.uint64))
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The fingerprints of runs of which a and b are the fingerprints of the parts."""
+    return mix(a * _STEP + b)
+
+
+def spans_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Fingerprint of values[starts:ends] for each non-empty span: of its length and of two runs that cover it, whose length is a power of two."""
+    size = ends - starts
+    out = mix(size.astype(np.uint64) + np.uint64(seed))
+    runs, step = values, 1
+    most = int(size.max(initial=0))
+    while step <= most:
+        here = np.flatnonzero((size >= step) & (size < 2 * step))
+        if len(here):
+            out[here] = joined(joined(out[here], runs[starts[here]]), runs[ends[here] - step])
+        if 2 * step <= most:
+            runs = joined(runs[:-step], runs[step:])
+        step *= 2
+    return out
+
+
+def bytes_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Fingerprint of the bytes data[start:end] of each span."""
+    size = end - start
+    out = mix(size.astype(np.uint64))
+    eights = np.ndarray((len(data) + 1,), "<u8", np.concatenate((data, np.zeros(8, np.uint8))).data, 0, (1,))
+    here = np.flatnonzero(size <= LONG)
+    for at in range(0, LONG, 8):
+        here = here[size[here] > at] if at else here
+        if not len(here):
+            break
+        left = np.minimum(size[here] - at, 8).astype(np.uint64)
+        part = eights[start[here] + at] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - left * np.uint64(8)))
+        out[here] = mix(out[here] ^ part)
+    raw = data.data
+    for k in np.flatnonzero(size > LONG).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(raw[start[k] : end[k]], digest_size=8).digest(), "little")
+    return out
 
 
 @dataclass
@@ -63,31 +82,36 @@ class Words:
     first: np.ndarray  # of each text: its first word; one entry more than texts
     text_at: np.ndarray  # of each text: its first byte; one entry more than texts
 
-    def windows(self, i: int, width: int) -> np.ndarray:
-        """Fingerprints of all runs of width words of text i; none if it is shorter."""
-        return windows(self.hash[self.first[i] : self.first[i + 1]], width)
-
 
-def windows(hashes: np.ndarray, width: int) -> np.ndarray:
+def windows(hashes: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
+    """Fingerprints of all runs of width hashes; none if there are fewer. Another seed gives independent ones."""
     n = len(hashes) - width + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    at = np.arange(n)
-    return spans_hash(hashes, at, at + width, _STEP)
+    runs, step, at = mix(hashes + np.uint64(seed)), 1, 0
+    out = np.full(n, np.uint64(width))
+    while step <= width:
+        if width & step:
+            out = joined(out, runs[at : at + n])
+            at += step
+        if 2 * step <= width:
+            runs = joined(runs[:-step], runs[step:])
+        step *= 2
+    return out
 
 
 def words_of(texts: list[str | None], lower: bool = False) -> Words:
     """lower: A-Z count as a-z. A null text has no words."""
     parts = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-    joined = b"\n".join(parts) + b"\n"
+    whole = b"\n".join(parts) + b"\n"
     if lower:
-        joined = joined.lower()
-    data = np.frombuffer(joined, np.uint8)
+        whole = whole.lower()
+    data = np.frombuffer(whole, np.uint8)
     space = (data == 32) | ((data >= 9) & (data <= 13))
     edge = np.diff(np.concatenate(([True], space)).astype(np.int8))
     start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     text_at = np.concatenate(([0], np.cumsum([len(p) + 1 for p in parts]))).astype(np.int64)
-    return Words(data, start, end, spans_hash(data, start, end, _BASE), np.searchsorted(start, text_at), text_at)
+    return Words(data, start, end, bytes_hash(data, start, end), np.searchsorted(start, text_at), text_at)
 
 
 def sliced(texts: list[str | None]) -> Iterator[tuple[int, int]]:

@@ -16,6 +16,10 @@ copies: first each group with the pivot of each of its prefix shingles (the grou
 which that shingle stands first), then pairs across the components found so far.
 Components need no more links.  In the second step a shingle of more than FEW groups is
 joined node by node, with components and sketches as part of the join's condition.
+Of two sets the smaller one has their first common shingle in its short prefix (that of
+a partner of its own size), so only short prefixes meet all prefixes: documents that share
+a frequent passage and are too different to be linked over it don't meet at all, as
+frequent shingles are last.
 
 The frequent shingles are those that stand HEAVY_COUNT times or more in prefixes by hash,
 MAX_HEAVY of them at most; their choice changes cost only, never results.  Frequent
@@ -23,12 +27,15 @@ shingles are aggregated before they are joined; no group is collected.
 
 Defined results: texts without words (null ones too) have no set and no links; a text
 with fewer words than a shingle has one shingle, all its words; rows with one doc_id
-are judged one by one and linked if similar; a row without a doc_id links others only
-through its equals.  Shingles are 64-bit fingerprints.
+are judged one by one and linked if similar; a row without a doc_id links like any other
+and has the component's smallest doc_id, null if none of it has one; very long texts are
+handled alone; an empty table gives no rows.  Shingles are compared by 64-bit
+fingerprints within a pair of sets, whole sets by 128 bits.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -38,7 +45,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._words import Words, mix, sliced, spans_hash, windows, words_of
-from ._work import batched, id_bitmap, settled, table, where_id
+from ._work import Filter, batched, settled, table
 from .components import components
 
 HEAVY_COUNT, MAX_HEAVY = 32, 1 << 17
@@ -59,6 +66,10 @@ class Rule:
         """The smallest overlap of a set of n with any similar set."""
         return -(-self.share * n // self.scale)
 
+    def short(self, n: Column, at: Column) -> Column:
+        """Whether a shingle at this place of a set of n can be the first one that it shares with a similar set of n shingles or more."""
+        return (n - at) * (self.share + self.scale) >= 2 * n * self.share
+
     def overlaps(self, overlap: Column, a: Column, b: Column) -> Column:
         """Whether so much overlap links sets of sizes a and b."""
         return overlap * (self.share + self.scale) >= (a + b) * self.share
@@ -76,13 +87,13 @@ def shingles(w: Words, i: int, width: int) -> np.ndarray:
     """The distinct shingles of text i, ascending."""
     words = w.hash[w.first[i] : w.first[i + 1]]
     if 0 < len(words) < width:
-        return spans_hash(words, np.array([0]), np.array([len(words)]), 0x94D049BB133111EB)
+        return spans_hash(words, np.array([0]), np.array([len(words)]), width)
     return np.unique(windows(words, width))
 
 
-def signature(found: np.ndarray) -> int:
-    """A fingerprint of a set, as a signed number."""
-    return int(mix(np.array([len(found), int(np.sum(mix(found + np.uint64(17)), dtype=np.uint64)) & (2**64 - 1)], np.uint64))[[1]].view(np.int64)[0] ^ np.int64(len(found))) if len(found) else 0
+def signature(found: np.ndarray) -> bytes:
+    """128 bits that stand for a run of shingles."""
+    return hashlib.blake2b(found.tobytes(), digest_size=16).digest()
 
 
 def _lists(parts: list[np.ndarray]) -> pa.Array:
@@ -90,26 +101,27 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate([np.empty(0, np.int64), *[p.view(np.int64) for p in parts]])))
 
 
-def _each(docs: DataFrame, schema: str, rule: Rule, make: Callable[[list[int | None], list[np.ndarray]], list[pa.Array]], among: np.ndarray | None = None) -> DataFrame:
-    """make(doc_ids, sets) over slices of docs; among: a bitmap of doc_ids outside which texts aren't read."""
+def _each(docs: DataFrame, schema: str, rule: Rule, make: Callable[[list[int | None], list[int], list[np.ndarray]], list[pa.Array]], among: Filter | None = None) -> DataFrame:
+    """make(doc_ids, keys, sets) over slices of docs. A row's key is a hash of its id and text; among: rows with other keys aren't read."""
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if among is not None:
-                batch = where_id(batch, among)
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+                batch = among.keep(batch, 2)
+            ids, texts, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
             for a, b in sliced(texts):
                 w = words_of(texts[a:b], lower=True)
-                yield pa.RecordBatch.from_arrays(make(ids[a:b], [shingles(w, k, rule.width) for k in range(b - a)]), names)
+                yield pa.RecordBatch.from_arrays(make(ids[a:b], keys[a:b], [shingles(w, k, rule.width) for k in range(b - a)]), names)
 
-    return batched(docs.select(F.col("doc_id").cast("long"), "text"), run, schema)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
+    return batched(rows.withColumn("key", F.xxhash64("doc_id", "text")), run, schema)
 
 
 def heavy_shingles(docs: DataFrame, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
     """The frequent shingles, ascending, and their counts in prefixes by hash."""
 
-    def prefixes(ids: list[int | None], sets: list[np.ndarray]) -> list[pa.Array]:
+    def prefixes(ids: list[int | None], keys: list[int], sets: list[np.ndarray]) -> list[pa.Array]:
         return [_lists([s[: len(s) - rule.least(len(s)) + 1] for s in sets])]
 
     counts = _each(docs, "prefix array<long>", rule, prefixes).select(F.explode("prefix").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n"))
@@ -120,10 +132,10 @@ def heavy_shingles(docs: DataFrame, rule: Rule) -> tuple[np.ndarray, np.ndarray]
 
 
 def profiles(docs: DataFrame, rule: Rule, heavy: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """doc_id, n (set size), sig, prefix, light (prefix shingles that aren't frequent), prefix_sig and sketch of each row."""
+    """doc_id, key, n (set size), sig, prefix, light (prefix shingles that aren't frequent), prefix_sig and sketch of each row."""
     key, count = heavy
 
-    def make(ids: list[int | None], sets: list[np.ndarray]) -> list[pa.Array]:
+    def make(ids: list[int | None], keys: list[int], sets: list[np.ndarray]) -> list[pa.Array]:
         prefixes, light, sketches = [], [], []
         for s in sets:
             rank = np.zeros(len(s), np.int64)
@@ -136,20 +148,22 @@ def profiles(docs: DataFrame, rule: Rule, heavy: tuple[np.ndarray, np.ndarray])
             light.append(int((rank[order] == 0).sum()))
             bits = np.bincount((mix(s ^ np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(64 - SKETCH_BITS.bit_length() + 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
             sketches.append(np.packbits(bits.astype(np.uint8)).view(np.int64))
-        return [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([signature(s) for s in sets], pa.int64()), _lists(prefixes), pa.array(light, pa.int32()), pa.array([signature(p) for p in prefixes], pa.int64()), _lists(sketches)]
+        return [pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([signature(s) for s in sets], pa.binary()), _lists(prefixes), pa.array(light, pa.int32()), pa.array([signature(p) for p in prefixes], pa.binary()), _lists(sketches)]
 
-    return _each(docs, "doc_id long, n int, sig long, prefix array<long>, light int, prefix_sig long, sketch array<long>", rule, make)
+    return _each(docs, "doc_id long, key long, n int, sig binary, prefix array<long>, light int, prefix_sig binary, sketch array<long>", rule, make)
 
 
 def verified(pairs: DataFrame, members: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
     """The pairs (a, b: nodes) whose sets are similar enough, exactly. The sets are made again from the texts of the nodes' own documents."""
     pairs = settled(pairs.distinct(), "pairs")
-    asked = pairs.select("a").union(pairs.select("b")).distinct().select(F.col("a").alias("sig")).join(members.select("sig", "doc_id"), "sig")
+    asked = pairs.select("a").union(pairs.select("b")).distinct().select(F.col("a").alias("sig")).join(members.select("sig", "key"), "sig")
 
-    def make(ids: list[int | None], sets: list[np.ndarray]) -> list[pa.Array]:
-        return [pa.array([signature(s) for s in sets], pa.int64()), _lists(sets)]
+    def make(ids: list[int | None], keys: list[int], sets: list[np.ndarray]) -> list[pa.Array]:
+        return [pa.array([signature(s) for s in sets], pa.binary()), _lists(sets)]
 
-    sets = settled(_each(docs, "sig long, shingles array<long>", rule, make, id_bitmap(asked)), "sets")
+    sets = settled(_each(docs, "sig binary, shingles array<long>", rule, make, Filter(settled(asked, "asked"), "key")), "sets")
+    if not sets.groupBy("sig").count().where("count > 1").isEmpty():  # repeated rows: one of each, or a pair would be compared as often as it stands there
+        sets = settled(sets.dropDuplicates(["sig"]), "sets")
     left = pairs.join(sets.select(F.col("sig").alias("a"), F.col("shingles").alias("x")), "a")
     both = left.join(sets.select(F.col("sig").alias("b"), F.col("shingles").alias("y")), "b")
     return settled(both.where(rule.overlaps(F.size(F.array_intersect("x", "y")), F.size("x"), F.size("y"))).select("a", "b"), "links")
@@ -168,13 +182,12 @@ def _named(df: DataFrame, side: str, *names: str) -> DataFrame:
 def linked(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """doc_id, n_shingles, sig and component_id (smallest doc_id reachable by links) of each row of docs (doc_id, text)."""
     rows = settled(profiles(docs, rule, heavy_shingles(docs, rule)).withColumn("row", F.monotonically_increasing_id()), "profiles")
-    own = rows.where("n > 0 and doc_id is not null")
-    nodes = own.groupBy("sig", "n", "prefix_sig").agg(F.min(F.struct("doc_id", "row")).alias("first"))
-    nodes = settled(nodes.select("sig", "n", "prefix_sig", "first.doc_id", "first.row"), "nodes")
-    groups = nodes.groupBy("prefix_sig", "n").agg(F.min("sig").alias("gid"))
+    nodes = settled(rows.where("n > 0").groupBy("sig", "n", "prefix_sig").agg(F.min("doc_id").alias("doc_id"), F.min("row").alias("row")), "nodes")
+    # What is joined is written first: then both sides of a join are plain exchanges, and Spark can split a large key.
+    groups = settled(nodes.groupBy("prefix_sig", "n").agg(F.min("sig").alias("gid")), "groups")
     # Which nodes each group has.
     members = nodes.join(groups, ["prefix_sig", "n"]).select("sig", "gid", "n", "doc_id", "row")
-    members = settled(members.join(rows.select("row", "sketch"), "row"), "members")
+    members = settled(members.join(rows.select("row", "key", "sketch"), "row"), "members")
 
     # Prefix shingles that two groups or more share, with the pivot: the group in which the shingle stands first.
     entries = rows.select("row", "prefix", "light").join(members.where("sig = gid").select("gid", "n", "row"), "row")
@@ -188,9 +201,9 @@ def linked(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
 
     # First step: each group with its pivots, and each member of a group with the group's own node.
     flat = shared.select("gid", "n", "at", F.col("pivot.gid").alias("pgid"), F.col("pivot.n").alias("pn"), F.col("pivot.at").alias("pat")).where("gid != pgid")
-    star = flat.where(_allowed(rule, "", "p")).select("gid", "pgid").distinct()
+    star = settled(flat.where(_allowed(rule, "", "p")).select("gid", "pgid").distinct(), "star")
     own = members.select("gid", *[F.col(c).alias(f"b{c}") for c in ("sig", "n", "sketch")])
-    pairs = star.join(own, "gid").unionByName(own.where("bsig != gid").withColumn("pgid", F.col("gid")))
+    pairs = settled(star.join(own, "gid").unionByName(own.where("bsig != gid").withColumn("pgid", F.col("gid"))), "stars")
     pairs = pairs.join(_named(members.where("sig = gid"), "a", "sig", "n", "sketch"), F.col("pgid") == F.col("asig"))
     pairs = pairs.where(rule.sketches(F.col("asketch"), F.col("bsketch"), F.col("an"), F.col("bn"))).select(F.col("asig").alias("a"), F.col("bsig").alias("b"))
     links = verified(pairs, members, docs, rule)
@@ -200,22 +213,27 @@ def linked(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     state = settled(members.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig")), "state")
     sides = ("sig", "n", "sketch", "root")
     apart = (F.col("xroot") != F.col("yroot")) & rule.sketches(F.col("xsketch"), F.col("ysketch"), F.col("xn"), F.col("yn"))
+    first = (F.col("xn") < F.col("yn")) | (F.col("xn") == F.col("yn")) & (F.col("xgid") < F.col("ygid"))
+    shared = shared.withColumn("short", rule.short(F.col("n"), F.col("at")))
     few = shared.where(F.col("groups") <= FEW)
-    few = _named(few, "x", "shingle", "gid", "n", "at").join(_named(few, "y", "shingle", "gid", "n", "at"), (F.col("xshingle") == F.col("yshingle")) & (F.col("xgid") < F.col("ygid")) & _allowed(rule, "x", "y"))
+    few = _named(few.where("short"), "x", "shingle", "gid", "n", "at").join(_named(few, "y", "shingle", "gid", "n", "at"), (F.col("xshingle") == F.col("yshingle")) & first & _allowed(rule, "x", "y"))
     few = few.select("xgid", "ygid").distinct()
     few = few.join(_named(state, "x", "gid", *sides), "xgid").join(_named(state, "y", "gid", *sides), "ygid").where(apart)
-    many = shared.where(F.col("groups") > FEW).select("shingle", "gid", "at").join(state, "gid")
-    mixed = many.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("shingle")
-    # Members of one group meet under the group's id.
+    many = shared.where(F.col("groups") > FEW).select("shingle", "gid", "at", "short").join(state, "gid")
+    mixed = many.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("short").alias("any")).where("any and low != high").select("shingle")
     many = many.join(mixed, "shingle")
     # A pair meets at its first common shingle only, as far as the first HEADS of each group tell.
     heads = many.select("gid", "at", "shingle").distinct().groupBy("gid").agg(F.slice(F.sort_array(F.collect_list(F.struct("at", "shingle"))), 1, HEADS).alias("heads"))
     before = F.transform(F.filter("heads", lambda h: h["at"] < F.col("at")), lambda h: h["shingle"])
-    many = many.join(heads, "gid").select("shingle", "at", before.alias("before"), *sides)
+    many = many.join(heads, "gid").select("shingle", "at", "short", before.alias("before"), "gid", *sides, F.lit(False).alias("own"))
+    # Members of one group meet under the group's id.
     several = state.groupBy("gid").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("gid")
-    many = settled(many.unionByName(state.join(several, "gid", "left_semi").select(F.col("gid").alias("shingle"), F.lit(0).alias("at"), F.array().cast("array<long>").alias("before"), *sides)), "many")
-    meet = (F.col("xshingle") == F.col("yshingle")) & (F.col("xsig") < F.col("ysig")) & _allowed(rule, "x", "y") & apart & ~F.arrays_overlap("xbefore", "ybefore")
-    many = _named(many, "x", "shingle", "at", "before", *sides).join(_named(many, "y", "shingle", "at", "before", *sides), meet)
+    inside = state.join(several, "gid", "left_semi").select(F.xxhash64("gid").alias("shingle"), F.lit(0).alias("at"), F.lit(True).alias("short"), F.array().cast("array<long>").alias("before"), "gid", *sides, F.lit(True).alias("own"))
+    many = settled(many.unionByName(inside), "many")
+    order = F.when(F.col("xgid") == F.col("ygid"), F.col("xown") & F.col("yown") & (F.col("xsig") < F.col("ysig"))).otherwise(first & ~F.col("xown") & ~F.col("yown"))
+    meet = (F.col("xshingle") == F.col("yshingle")) & order & _allowed(rule, "x", "y") & apart & ~F.arrays_overlap("xbefore", "ybefore")
+    both = ("shingle", "at", "before", "own", "gid", *sides)
+    many = _named(many.where("short"), "x", *both).join(_named(many, "y", *both), meet)
     pairs = few.select(F.col("xsig").alias("a"), F.col("ysig").alias("b")).unionByName(many.select(F.col("xsig").alias("a"), F.col("ysig").alias("b")))
     more = verified(pairs, members, docs, rule)
     # Links of the second step join components of the first.
@@ -223,13 +241,13 @@ def linked(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     bridges = more.join(_named(top, "a", "sig", "root"), F.col("a") == F.col("asig")).join(_named(top, "b", "sig", "root"), F.col("b") == F.col("bsig")).select(F.col("aroot").alias("a"), F.col("broot").alias("b"))
     joined = components(bridges).select(F.col("node").alias("root"), F.col("root").alias("upper"))
     named = state.select("sig", "doc_id", "root").join(joined, "root", "left").withColumn("root", F.coalesce("upper", "root")).drop("upper")
-    smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    smallest = settled(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "smallest")
     named = settled(named.join(smallest, "root").select("sig", "component_id"), "components")
     return rows.select("doc_id", "n", "sig").join(named, "sig", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "sig", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def representatives(docs: DataFrame, rule: Rule) -> DataFrame:
-    """The rows of docs that are the smallest of their component, in all their columns; of rows with equal id and text one. Rows without an id stay."""
+    """The rows of docs that are the smallest of their component, in all their columns; of rows with equal id and text one. Rows without an id stay, as nothing tells which is the smallest."""
     found = linked(docs, rule)
     kept = found.where("doc_id = component_id").select("doc_id").distinct()
     rows = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from ._words import _STEP, mix, spans_hash
+from ._words import mix, spans_hash
 
 ROUNDS = 6
 
@@ -121,6 +121,6 @@ def anchors(words: np.ndarray, first: np.ndarray, width: int, rounds: int = ROUN
         has = b > a
         chosen, which = np.unique(_smallest(mix(level.name), a[has], b[has]), return_inverse=True)
         # A fingerprint of one level says nothing of another's.
-        out[open_at[has]] = spans_hash(words, level.low[chosen], level.high[chosen], _STEP ^ (k + 1 << 8))[which] | np.uint64(1)
+        out[open_at[has]] = spans_hash(words, level.low[chosen], level.high[chosen], k + 1)[which] | np.uint64(1)
         open_at = open_at[~has]
     return out

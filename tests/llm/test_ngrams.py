@@ -68,6 +68,40 @@ def test_nulls_repeats_and_empty_tables(spark):
     assert sorted(str(r.doc_id) for r in ngrams.representatives(rows, ngrams.Rule()).collect()) == ["2", "None", "None"]
 
 
+def test_a_row_without_an_id_links_others(spark):
+    base = [f"w{k}" for k in range(100)]
+    texts = [" ".join(base), " ".join(base[:92] + [f"x{k}" for k in range(8)]), " ".join([f"y{k}" for k in range(8)] + base[8:])]
+    rows = [(7, texts[1]), (None, texts[0]), (5, texts[2])]
+    rule = ngrams.Rule(1, 80, 100)
+    got = ngrams.linked(spark.createDataFrame(rows, "doc_id long, text string"), rule).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(7, 5), (None, 5), (5, 5)}
+    alone = ngrams.linked(spark.createDataFrame([(None, "a b c d e")] * 2, "doc_id long, text string"), rule).collect()
+    assert [(r.n_shingles, r.component_id) for r in alone] == [(5, None)] * 2
+
+
+def _thue_morse(n, a, b):
+    return [(a, b)[k.bit_count() & 1] for k in range(n)]
+
+
+def test_words_and_texts_of_much_structure(spark):
+    """Polynomial fingerprints modulo a power of two are equal for these."""
+    texts = ["".join(_thue_morse(n, *ab)) for n in (1024, 2048, 4096) for ab in ("ab", "ba")]
+    texts += [" ".join(_thue_morse(n, *ab)) for n in (1024, 4096) for ab in (("yes", "no"), ("no", "yes"))]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for rule in (ngrams.Rule(), ngrams.Rule(1024, 80, 100)):
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngrams.linked(df, rule).collect()} == _brute(rows, rule)
+
+
+def test_documents_that_only_share_a_passage_do_not_meet(spark, monkeypatch):
+    met = []
+    monkeypatch.setattr(ngrams, "verified", lambda pairs, *rest, f=ngrams.verified: met.append(pairs.count()) or f(pairs, *rest))
+    shared = " ".join(f"s{k}" for k in range(200))
+    rows = [(i, shared + " " + " ".join(f"u{i}x{k}" for k in range(30))) for i in range(400)]
+    got = ngrams.linked(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r.component_id == r.doc_id for r in got) and sum(met) <= 2 * len(rows)
+
+
 def test_components(spark):
     draw = random.Random(1)
     edges = [(draw.randrange(60), draw.randrange(60)) for _ in range(40)] + [(k, k + 1) for k in range(100, 140)] + [(7, 7)]

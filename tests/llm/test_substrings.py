@@ -63,6 +63,26 @@ def test_rewritten_rows(spark):
     assert substrings.digests(empty).count() == 0 and substrings.deduplicated(empty).count() == 0
 
 
+def test_words_and_texts_of_much_structure(spark):
+    """Polynomial fingerprints modulo a power of two are equal for these."""
+    morse = lambda n, a, b: [(a, b)[k.bit_count() & 1] for k in range(n)]
+    words = [f"w{k}" for k in range(60)]
+    texts = [" ".join(words[:20] + ["".join(morse(n, *ab))] + words[20:59]) for n in (1024, 2048, 4096) for ab in ("ab", "ba")]
+    texts += [" ".join(morse(n, *ab)) for n in (1024, 4096) for ab in (("yes", "no"), ("no", "yes"))]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for width in (50, 1024):
+        assert sorted(map(tuple, substrings.digests(df, width).collect())) == sorted(_brute(rows, width))
+
+
+def test_odd_column_names(spark):
+    rows = [(1, "a " * 60, 1, "x", 2), (2, "b " + "a " * 60, 1, "y", 3), (3, None, 1, "z", 4), (3, None, 1, "z", 4)]
+    df = spark.createDataFrame(rows, ["doc_id", "text", "my col", "a.b", "x:y`z"])
+    got = substrings.deduplicated(df)
+    assert got.columns == df.columns
+    assert sorted((r[0], r[1], r[3], r[4]) for r in got.collect())[1:] == [(2, "b", "y", 3), (3, None, "z", 4), (3, None, "z", 4)]
+
+
 def test_equal_windows_choose_equal_symbols():
     draw = random.Random(8)
     texts = [t for t in _texts(draw) if t]

@@ -1,4 +1,4 @@
-"""Main text of web pages: page structure first, then a suffix array per host.
+"""Main text of web pages: page structure and a suffix array per host.
 
 A page is read once into blocks (paragraphs, headings, list items, cells) with
 markup, scripts, styles and comments gone.  Blocks inside menus, headers,
@@ -6,25 +6,28 @@ footers, sidebars, forms, adverts, notices or reader comments (by element, role,
 or class and id words) are out.  If the page has an article (or main) element,
 the blocks in it are left, else all others.
 
-What is left goes to the suffix array: the token streams of about HOST_PAGES
-pages of a host are concatenated, the array finds every run of at least RUN_TOKENS
-tokens that occurs on BOILERPLATE_PAGES distinct pages or more (pages of the same
-blocks are one page, however many rows have them), and a block that such runs cover by more than half is boilerplate; the rest, runs unique to the
-page, are its main text.  Inside an article element repetition alone is no evidence,
-as copied articles are whole main texts: there a page counts for its runs only if at
-least half of its tokens are in blocks that do not repeat, and pages of the same such
-blocks count once.
-
-A host's distinct pages are dealt to groups of about HOST_PAGES by a hash of their blocks,
-so a host with a third of all pages is many groups. Each group's array finds its
-runs; of a host with more than one group, the pages each run occurs on are added up over
-all groups (runs go by fingerprint to their part of the host and back), so what is
-boilerplate does not depend on the number of groups.
+What is left goes to the suffix array: the token streams of some HOST_PAGES
+distinct pages of a host are concatenated, and the array, sorted by RUN_TOKENS tokens,
+finds every run of so many tokens that occurs on several pages (a shorter block is a run as a whole).  A block
+that boilerplate runs cover by more than half goes; the rest, unique to the page, is its main text.
+Copies of a page are one page.
+
+* A page without an article: runs on BOILERPLATE_PAGES pages or more are boilerplate.
+* Inside an article repetition alone is no evidence, as stock sentences and copied articles are main text, and nothing but
+  boilerplate may go: there a run is boilerplate if it is on more than half of the host's distinct pages with an article,
+  and on ARTICLE_PAGES at least.  If more than half of these pages would lose three quarters of their tokens, they are
+  copies of one another, and nothing goes.
+
+Pages of a host are dealt to groups by a hash of their blocks, so a host with a third of all pages is many groups, and what
+groups find is added up over the host; so nothing depends on the number of groups.  A run that is on more than half of all
+pages is on more than half of those of some group: only such runs leave an article's group, and they are counted over the host
+exactly, in the few hosts that have any.  Pages are read again for that and for the result, which is cheaper than to keep or to move their texts.
 
 Defined results: a null html is an empty one and gives an empty text; an unclosed
 element ends with its parent, an unclosed tag or comment at the end of the page is
 no text; a null or odd url is the host ''; repeated rows and copied pages each get the
-text that one of them would get.
+text that one of them would get; an empty table gives no rows; very long pages are read in time linear in their length;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,6 +35,7 @@ from __future__ import annotations
 import hashlib
 import html as _html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,12 +44,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._words import mix
+from ._words import windows, words_of
 from ._work import batched, settled, table
 
-HOST_PAGES, RUN_TOKENS, BOILERPLATE_PAGES = 128, 4, 3
+HOST_PAGES, RUN_TOKENS, BOILERPLATE_PAGES, ARTICLE_PAGES = 128, 6, 3, 8
 #: The runs of about so many groups of a host are added up in one part.
 PART_GROUPS = 8
+#: Hosts with at least this share of all pages are dealt to groups before their pages move; so there are few of them, and they go to all tasks.
+LARGE_HOSTS = 1 << 16
+#: Characters of the pages of a group that are held at once, if there is more than one page.
+GROUP_CHARS = 1 << 22
+#: Boilerplate runs (bytes) that go to all tasks; more are joined by host.
+BROADCAST_BYTES = 1 << 25
 
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -106,6 +116,7 @@ def blocks_of(page: str) -> tuple[list[str], list[str]]:
     shut: list[str] = []
     text: list[str] = []
     stack: list[tuple[str, bool, bool, int, list[str] | None]] = []  # name, whether it is out and main, and what held around it
+    opened: Counter[str] = Counter()  # how often each name is in the stack
     out = depth = 0
     into: list[str] | None = None  # where an article that is inside something out goes
 
@@ -121,7 +132,8 @@ def blocks_of(page: str) -> tuple[list[str], list[str]]:
     def pop() -> None:
         nonlocal out, depth, into
         close_block() if text and stack[-1][2] else None
-        _, _, was_main, out, into = stack.pop()
+        name, _, was_main, out, into = stack.pop()
+        opened[name] -= 1
         depth -= was_main
 
     at, end = 0, len(page)
@@ -141,7 +153,7 @@ def blocks_of(page: str) -> tuple[list[str], list[str]]:
         if m[1] or m[4]:
             if name in _BREAKS:
                 close_block()
-            if any(s[0] == name for s in stack):
+            if opened[name]:
                 while stack[-1][0] != name:
                     pop()
                 pop()
@@ -173,10 +185,11 @@ def blocks_of(page: str) -> tuple[list[str], list[str]]:
             at = closing.end() if closing else end
             continue
         stack.append((name, is_out, is_main, out, into))
+        opened[name] += 1
         depth += is_main
         if is_out:
             out += 1
-        elif out and name == "article" and into is None and not any(x[2] for x in stack[:-1]):
+        elif out and name == "article" and into is None and depth == is_main:
             out, into = 0, shut
     close_block()
     return main or ([] if other else shut), other
@@ -185,13 +198,15 @@ def blocks_of(page: str) -> tuple[list[str], list[str]]:
 # ---- suffix array
 
 
-def suffix_array(values: np.ndarray) -> np.ndarray:
-    """Starts of the suffixes of values in order, by prefix doubling."""
+def suffix_array(values: np.ndarray, depth: int | None = None) -> np.ndarray:
+    """Starts of the suffixes of values in order, by prefix doubling; depth: in order of their first so many values at least, ties as they stand."""
     n = len(values)
+    if not n:
+        return np.empty(0, np.int64)
     _, rank = np.unique(values, return_inverse=True)
     rank = rank.astype(np.int64)
     order, step = np.argsort(rank, kind="stable"), 1
-    while rank[order[-1]] < n - 1:
+    while rank[order[-1]] < n - 1 and (depth is None or step < depth):
         after = np.zeros(n, np.int64)
         after[: n - step] = rank[step:] + 1
         key = rank * (n + 1) + after
@@ -201,207 +216,250 @@ def suffix_array(values: np.ndarray) -> np.ndarray:
     return order
 
 
-def _runs(streams: list[list[int]], owner: list[int], run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """All streams' tokens joined, the length each stream takes there, starts in suffix order, the run that begins at each (by number), and the owners of each run."""
-    most = max((max(s) for s in streams if s), default=-1) + 1
-    joined: list[int] = []
-    for k, s in enumerate(streams):
-        joined += s
-        joined.append(most + k)  # no run crosses streams
-    lengths = np.array([len(s) + 1 for s in streams])
-    owners = np.repeat(owner, lengths)
-    tokens = np.array(joined + [-1 - k for k in range(run)])
-    order = suffix_array(tokens[: len(joined)])
-    # Neighbouring suffixes that share ``run`` tokens form an interval: one repeated run.
-    same = np.ones(len(order) - 1, bool)
-    for k in range(run):
-        same &= tokens[order[1:] + k] == tokens[order[:-1] + k]
-    interval = np.concatenate(([0], np.cumsum(~same)))
-    seen = np.unique(np.stack([interval, owners[order]], 1), axis=0)
-    return tokens, lengths, order, interval, np.bincount(seen[:, 0], minlength=interval[-1] + 1)
-
-
-def _spread(starts: np.ndarray, lengths: np.ndarray, run: int) -> list[np.ndarray]:
-    """Of each stream's tokens, whether a run that begins at one of starts covers it."""
-    total = int(lengths.sum())
-    delta = np.zeros(total + run + 1, np.int64)
-    np.add.at(delta, starts, 1)
-    np.add.at(delta, starts + run, -1)
-    mask = np.cumsum(delta)[:total] > 0
-    return [part[:-1] for part in np.split(mask, np.cumsum(lengths)[:-1])]
-
-
-def covered(streams: list[list[int]], owner: list[int], run: int = RUN_TOKENS, pages: int = BOILERPLATE_PAGES) -> list[np.ndarray]:
-    """Of each stream's tokens (numbers from 0), whether a run of at least ``run`` tokens that occurs in streams of ``pages`` owners or more covers it."""
-    if not streams:
-        return []
-    _, lengths, order, interval, found = _runs(streams, owner, run)
-    return _spread(order[found[interval] >= pages], lengths, run)
-
-
-def _streams(pages: list[list[str]], run: int) -> tuple[list[list[int]], list[int], list[int], list[str]]:
-    """Each block's tokens, its page, its content (the first page of the same blocks), and the words by token. A shorter block than a run is filled up, so it repeats as a whole."""
-    names: dict[str, int] = {"": 0}
-    contents: dict[tuple[str, ...], int] = {}
-    streams, owner, content = [], [], []
-    for k, page in enumerate(pages):
-        c = contents.setdefault(tuple(page), k)
-        for block in page:
-            words = block.split()
-            streams.append([names.setdefault(w, len(names)) for w in words] + [0] * (run - len(words)))
-            owner.append(k)
-            content.append(c)
-    return streams, owner, content, list(names)
-
-
-def _without(pages: list[list[str]], owner: list[int], masks: list[np.ndarray]) -> list[list[str]]:
-    """Each page's blocks that are covered by half at most."""
-    out: list[list[str]] = [[] for _ in pages]
-    for k, block, mask in zip(owner, (block for page in pages for block in page), masks, strict=True):
-        if 2 * int(mask.sum()) <= len(mask):
-            out[k].append(block)
-    return out
-
-
-def unique_blocks(pages: list[list[str]], run: int = RUN_TOKENS, least: int = BOILERPLATE_PAGES) -> list[list[str]]:
-    """Of each page's blocks, those not covered by more than half by runs that repeat across pages of different blocks."""
-    streams, owner, content, _ = _streams(pages, run)
-    return _without(pages, owner, covered(streams, content, run, least))
-
-
-def _prints(tokens: np.ndarray, words: list[str], run: int) -> np.ndarray:
-    """A fingerprint of the words of the run at each token, the same in all groups of a host."""
-    of_word = np.array([int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") for w in words], np.uint64)
-    at = of_word[np.where((tokens >= 0) & (tokens < len(words)), tokens, 0)]
-    out = np.zeros(len(tokens) - run, np.uint64)
-    for k in range(run):
-        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + at[k : len(out) + k])
-    return out
-
-
-def _inside(lengths: np.ndarray, run: int) -> np.ndarray:
-    """Whether the run at each place ends in its stream."""
-    ends = np.cumsum(lengths)
-    return np.repeat(ends - 1, lengths) - np.arange(ends[-1]) >= run
-
-
-def runs_of(pages: list[list[str]], run: int = RUN_TOKENS, least: int = BOILERPLATE_PAGES) -> np.ndarray:
-    """The fingerprints of all runs of these pages, each as often as pages of different blocks have it, ``least`` times at most."""
-    streams, _, content, words = _streams(pages, run)
-    tokens, lengths, order, interval, found = _runs(streams, content, run)
-    first = order[np.flatnonzero(np.diff(interval, prepend=-1))]
-    inside = _inside(lengths, run)[first]
-    return np.repeat(_prints(tokens, words, run)[first[inside]], np.minimum(found, least)[inside])
-
-
-def blocks_without(pages: list[list[str]], repeated: np.ndarray, run: int = RUN_TOKENS) -> list[list[str]]:
-    """Of each page's blocks, those not covered by more than half by runs whose fingerprints are in repeated."""
-    streams, owner, _, words = _streams(pages, run)
-    lengths = np.array([len(s) + 1 for s in streams])
-    tokens = np.array([t for s in streams for t in (*s, 0)] + [0] * run)
-    starts = np.flatnonzero(_inside(lengths, run) & np.isin(_prints(tokens, words, run), repeated))
-    return _without(pages, owner, _spread(starts, lengths, run))
-
-
-def evidence_of(pages: list[list[str]], mains: list[bool], repeated: np.ndarray, run: int = RUN_TOKENS, least: int = BOILERPLATE_PAGES) -> np.ndarray:
-    """Pairs of a run in repeated and a page that is evidence of it (by what makes it another page than the next), ``least`` of each run at most."""
-    streams, owner, _, words = _streams(pages, run)
-    lengths = np.array([len(s) + 1 for s in streams])
-    tokens = np.array([t for s in streams for t in (*s, 0)] + [0] * run)
-    prints = _prints(tokens, words, run)
-    starts = np.flatnonzero(_inside(lengths, run) & np.isin(prints, repeated))
-    kept = _without(pages, owner, _spread(starts, lengths, run))
-    counts = [(sum(len(b.split()) for b in k), sum(len(b.split()) for b in p)) for k, p in zip(kept, pages, strict=True)]
-    counted = np.array([not main or 2 * own >= total for main, (own, total) in zip(mains, counts, strict=True)], bool)
-    marks = np.array([int.from_bytes(content_of(k if main else p)[:8], "little") for main, k, p in zip(mains, kept, pages, strict=True)], np.uint64)
-    page = np.repeat(owner, lengths)[starts]
-    pairs = np.unique(np.stack([prints[starts], marks[page]], 1)[counted[page]], axis=0)
-    first = np.searchsorted(pairs[:, 0], pairs[:, 0])
-    return pairs[np.arange(len(pairs)) - first < least]
-
-
-def _often(values: np.ndarray, least: int = BOILERPLATE_PAGES) -> np.ndarray:
-    values, counts = np.unique(values, return_counts=True)
-    return values[counts >= least]
+class Streams:
+    """The tokens of some pages' blocks, concatenated, and the runs in them. A block of fewer tokens than a run is filled up, so it is a run as a whole."""
+
+    def __init__(self, pages: list[list[str]], run: int = RUN_TOKENS):
+        self.pages, self.run = pages, run
+        w = words_of([block for page in pages for block in page])
+        words = np.diff(w.first)
+        self.length = np.maximum(words, run)
+        self.first = np.concatenate(([0], np.cumsum(self.length))).astype(np.int64)
+        self.tokens = np.zeros(int(self.first[-1]), np.uint64)
+        self.tokens[np.arange(len(w.hash)) + np.repeat(self.first[:-1] - w.first[:-1], words)] = w.hash
+        self.page = np.repeat(np.arange(len(pages)), [len(page) for page in pages])  # of each block
+        # A run lies in one block.
+        self.starts = np.flatnonzero(np.arange(len(self.tokens)) + run <= np.repeat(self.first[1:], self.length))
+        self.prints = windows(self.tokens, run)
+
+    def repeated(self) -> tuple[np.ndarray, np.ndarray]:
+        """The fingerprint of each distinct run, and the pages that it is on."""
+        if not len(self.starts):
+            return np.empty(0, np.uint64), np.empty(0, np.int64)
+        inside = np.zeros(len(self.tokens), bool)
+        inside[self.starts] = True
+        order = suffix_array(self.tokens, self.run)
+        order = order[inside[order]]
+        # Neighbouring suffixes that share a run's tokens form an interval: one run.
+        same = np.ones(len(order) - 1, bool)
+        for k in range(self.run):
+            same &= self.tokens[order[1:] + k] == self.tokens[order[:-1] + k]
+        interval = np.concatenate(([0], np.cumsum(~same)))
+        owner = np.repeat(self.page, self.length)[order]
+        seen = np.unique(interval * len(self.pages) + owner) // len(self.pages)
+        return self.prints[order[np.flatnonzero(np.diff(interval, prepend=-1))]], np.bincount(seen)
+
+    def covered(self, runs: np.ndarray) -> np.ndarray:
+        """Of each token, whether a run of these covers it."""
+        at = self.starts[np.isin(self.prints[self.starts], runs)]
+        delta = np.zeros(len(self.tokens) + 1, np.int64)
+        np.add.at(delta, at, 1)
+        np.add.at(delta, at + self.run, -1)
+        return np.cumsum(delta)[:-1] > 0
+
+    def without(self, runs: np.ndarray) -> list[list[str]]:
+        """Of each page's blocks, those that these runs cover by half at most."""
+        mask = self.covered(runs)
+        sums = np.concatenate(([0], np.cumsum(mask)))
+        keep = iter((2 * (sums[self.first[1:]] - sums[self.first[:-1]]) <= self.length).tolist())
+        return [[block for block in page if next(keep)] for page in self.pages]
+
+    def hits(self, runs: np.ndarray) -> list[np.ndarray]:
+        """Of each page, the distinct runs of these on it."""
+        at = self.starts[np.isin(self.prints[self.starts], runs)]
+        page = np.repeat(self.page, self.length)[at]
+        return [np.unique(self.prints[at[page == k]]) for k in range(len(self.pages))]
+
+    def losing(self, runs: np.ndarray) -> np.ndarray:
+        """Of each page, whether these runs cover three quarters of its tokens or more."""
+        size = np.bincount(self.page, self.length, len(self.pages))
+        return 4 * np.bincount(np.repeat(self.page, self.length), self.covered(runs), len(self.pages)) >= 3 * size
 
 
 def content_of(blocks: list[str]) -> bytes:
     return hashlib.blake2b("\n".join(blocks).encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
-def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url and text of each row of pages (page_id, url, html)."""
+def _longs(runs: np.ndarray) -> list[int]:
+    return runs.view(np.int64).tolist()
+
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _numbers(runs: list[int] | None) -> np.ndarray:
+    return np.array(runs if runs is not None else [], np.int64).view(np.uint64)
+
+
+def _read(pages: DataFrame, schema: str, make, *more: str) -> DataFrame:
+    """make(one batch's (main, other) blocks, its columns) over pages (host, html and more); make gives columns of schema."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state: dict = {}
         for batch in batches:
             for a in range(0, batch.num_rows, 500):
                 part = batch.slice(a, 500)
-                found = [blocks_of(h.as_py() or "") for h in part.column(2)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0), part.column(1), pa.array([m or o for m, o in found], pa.list_(pa.string())), pa.array([bool(m) for m, _ in found], pa.bool_()),
-                        pa.array([content_of(["main" if m else "", *(m or o)]) for m, o in found], pa.binary()),
-                    ],
-                    ["page_id", "url", "blocks", "main", "content"],
-                )
-
-    rows = batched(pages.select(F.col("page_id").cast("long"), "url", "html"), read, "page_id long, url string, blocks array<string>, main boolean, content binary")
-    rows = settled(rows, "pages")
-    decided = rows.where("size(blocks) = 0").select("page_id", "url", F.lit("").alias("text"))
-    open_rows = rows.where("size(blocks) > 0")
-    host = F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][\w+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1), F.lit("")))
-    open_rows = open_rows.withColumn("host", host)
-    # Each content of a host once, so that copies are neither evidence nor one task.
-    contents = open_rows.groupBy("host", "content").agg(F.first("blocks").alias("blocks"), F.first("main").alias("main"))
-    groups = open_rows.groupBy("host").agg(F.ceil(F.count_distinct("content") / HOST_PAGES).alias("groups"))
-    dealt = contents.join(groups, "host").withColumn("salt", F.pmod(F.xxhash64("content"), F.col("groups")))
-    schema = "host string, content binary, text string"
+                found = make([blocks_of(h.as_py() or "") for h in part.column(1)], part, state)
+                if len(found[0]):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(found, types, strict=True)], names)
 
-    def texts_of(rows: pd.DataFrame, kept: list[list[str]]) -> pd.DataFrame:
-        return pd.DataFrame({"host": rows["host"], "content": rows["content"], "text": ["\n\n".join(k) for k in kept]})
+    types = [_TYPES[c.split()[1]] for c in schema.split(", ")]
+    return batched(pages.select("host", "html", *more), run, schema)
+
+
+_TYPES = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string()), "array<long>": pa.list_(pa.int64())}
+
+
+def _held(runs: DataFrame) -> dict[str, np.ndarray] | None:
+    """A table of runs (host, runs) as a dictionary; None if it is too large to go to all tasks."""
+    size = runs.agg(F.coalesce(F.sum(F.size("runs") * 8 + F.octet_length("host") + 64), F.lit(0))).first()[0]
+    return {r.host: _numbers(r.runs) for r in runs.collect()} if size <= BROADCAST_BYTES else None
+
+
+def _with_runs(pages: DataFrame, runs: DataFrame, schema: str, make, every: bool, *more: str) -> DataFrame:
+    """make(found blocks, their hosts' runs, the batch) over pages; every: pages of hosts without runs too."""
+    held = _held(runs)
+    if held is not None:
+        few = pages if every else pages.where(F.col("host").isin(list(held))) if len(held) < 1000 else pages.join(F.broadcast(runs.select("host")), "host", "left_semi")
+        return _read(few, schema, lambda found, part, state: make(found, [held.get(h, _NONE) for h in part.column(0).to_pylist()], part), *more)
+    joined = pages.join(runs, "host", "left" if every else "inner")
+    return _read(joined, schema, lambda found, part, state: make(found, [_numbers(r) for r in part.column(2).to_pylist()], part), "runs", *more)
+
+
+_NONE = np.empty(0, np.uint64)
 
-    def cleaned(rows: pd.DataFrame) -> pd.DataFrame:
-        blocks = [list(b) for b in rows["blocks"]]
-        pairs = evidence_of(blocks, list(rows["main"]), _often(runs_of(blocks)))
-        return texts_of(rows, blocks_without(blocks, _often(pairs[:, 0])))
 
-    def parts_of(rows: pd.DataFrame, values: np.ndarray, runs: np.ndarray) -> pd.DataFrame:
+# ---- pages with an article
+
+
+def article_runs(pages: DataFrame) -> tuple[DataFrame, bool]:
+    """(host, runs): the boilerplate of articles by host, from pages (host, html); whether there are pages without an article, but with text."""
+    sizes = settled(pages.groupBy("host").agg(F.count("*").alias("rows")), "hosts")
+    total = sizes.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    large = sizes.where((F.col("rows") > HOST_PAGES) & (F.col("rows") * LARGE_HOSTS >= total)).select("host", F.ceil(F.col("rows") / HOST_PAGES).cast("long").alias("groups"))
+    groups = {r.host: r.groups for r in large.collect()}  # LARGE_HOSTS at most
+
+    def contents(found, part, state):
+        """Each content of a task once, so that copies don't meet in one task; pages without an article leave a mark."""
+        rows = []
+        for host, (main, other) in zip(part.column(0).to_pylist(), found, strict=True):
+            mark = content_of(main) if main else b"" if other else None
+            if mark is not None and (host, mark) not in state:
+                state[host, mark] = True
+                rows.append((host, int.from_bytes(mark[:7], "little") % groups.get(host, 1), mark, main))
+        return list(zip(*rows, strict=True)) or [[]] * 4
+
+    distinct = _read(pages, "host string, salt long, content binary, blocks array<string>", contents)
+    dealt = distinct.repartition("host", "salt").sortWithinPartitions("host", "salt", "content")
+
+    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def closed(ended: bool) -> pa.RecordBatch:
+            runs, counts = (_NONE, np.empty(0, np.int64)) if whole and ended and len(group) < ARTICLE_PAGES else Streams(group).repeated()
+            often = 2 * counts > len(group)
+            return pa.RecordBatch.from_arrays([pa.array([last[0]]), pa.array([len(group)], pa.int64()), pa.array([plain]), pa.array([_longs(runs[often])], pa.list_(pa.int64()))], ["host", "pages", "plain", "runs"])
+
+        last, group, chars, plain, whole = None, [], 0, False, True
+        for batch in batches:
+            for host, salt, mark, blocks in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                if last and (last[:2] != (host, salt) or len(group) >= 2 * HOST_PAGES or chars > GROUP_CHARS):
+                    ended = last[:2] != (host, salt)
+                    yield closed(ended)
+                    whole = ended and groups.get(host, 1) == 1
+                    group, chars, plain = [], 0, False
+                elif not last:
+                    whole = groups.get(host, 1) == 1
+                if mark == b"":
+                    plain = True
+                elif last != (host, salt, mark):
+                    group.append(blocks)
+                    chars += sum(map(len, blocks))
+                last = (host, salt, mark)
+        if last:
+            yield closed(True)
+
+    found = settled(batched(dealt, grouped, "host string, pages long, plain boolean, runs array<long>"), "groups")
+    hosts = found.groupBy("host").agg(F.sum("pages").alias("all")).where(F.col("all") >= ARTICLE_PAGES)
+    each = found.select("host", "pages", F.explode("runs").alias("run")).groupBy("host", "run").agg(F.sum("pages").alias("there"))
+    # In groups that didn't send it a run is on half of the pages at most.
+    likely = each.join(hosts, "host").where(2 * F.col("there") + (F.col("all") - F.col("there")) > F.col("all"))
+    likely = settled(likely.groupBy("host", "all").agg(F.collect_set("run").alias("runs")), "likely")
+
+    def hits(found, runs, part):
+        rows = [(h, content_of(main), main, r) for h, (main, _), r in zip(part.column(0).to_pylist(), found, runs, strict=True) if main]
+        return [[r[0] for r in rows], [r[1] for r in rows], [_longs(Streams([main]).hits(r)[0]) for _, _, main, r in rows]] if rows else [[]] * 3
+
+    on = _with_runs(pages, likely.select("host", "runs"), "host string, content binary, runs array<long>", hits, False)
+    on = on.where(F.size("runs") > 0).groupBy("host", "content").agg(F.first("runs").alias("runs"))
+    counts = on.select("host", F.explode("runs").alias("run")).groupBy("host", "run").agg(F.count("*").alias("pages"))
+    often = counts.join(likely.select("host", "all"), "host").where((2 * F.col("pages") > F.col("all")) & (F.col("pages") >= ARTICLE_PAGES))
+    often = settled(often.groupBy("host", "all").agg(F.collect_set("run").alias("runs")), "often")
+
+    def copies(found, runs, part):
+        rows = [(h, content_of(main)) for h, (main, _), r in zip(part.column(0).to_pylist(), found, runs, strict=True) if main and Streams([main]).losing(r)[0]]
+        return list(zip(*rows, strict=True)) or [[]] * 2
+
+    lost = _with_runs(pages, often.select("host", "runs"), "host string, content binary", copies, False)
+    lost = lost.distinct().groupBy("host").agg(F.count("*").alias("lost"))
+    kept = often.join(lost, "host", "left").where(2 * F.coalesce("lost", F.lit(0)) <= F.col("all")).select("host", "runs")
+    return settled(kept, "article_runs"), not found.where("plain").isEmpty()
+
+
+# ---- pages without an article
+
+
+def plain_texts(pages: DataFrame) -> DataFrame:
+    """page_id, url and text of the pages (host, html, page_id, url) without an article, but with text."""
+
+    def plain(found, part, state):
+        rows = [(i, u, h, o, content_of(o)) for h, i, u, (m, o) in zip(*(part.column(k).to_pylist() for k in (0, 2, 3)), found, strict=True) if o and not m]
+        return list(zip(*rows, strict=True)) or [[]] * 5
+
+    rows = settled(_read(pages, "page_id long, url string, host string, blocks array<string>, content binary", plain, "page_id", "url"), "plain")
+    # Each content of a host once, so that copies are neither evidence nor one task.
+    contents = rows.groupBy("host", "content").agg(F.first("blocks").alias("blocks"))
+    groups = rows.groupBy("host").agg(F.ceil(F.count_distinct("content") / HOST_PAGES).alias("groups"))
+    dealt = settled(contents.join(groups, "host").withColumn("salt", F.pmod(F.xxhash64("content"), F.col("groups"))), "contents")
+
+    def parts_of(rows: pd.DataFrame, runs: np.ndarray) -> pd.DataFrame:
         part = runs % np.uint64(-(-int(rows["groups"].iloc[0]) // PART_GROUPS))
         order = np.argsort(part, kind="stable")
         parts, at = np.unique(part[order], return_index=True)
-        held = [r.tobytes() for r in np.split(values[order], at[1:])] if len(parts) else []
+        held = [r.tobytes() for r in np.split(runs[order], at[1:])] if len(parts) else []
         host = pd.Series([rows["host"].iloc[0]] * len(parts), dtype=object)
         return pd.DataFrame({"host": host, "salt": np.full(len(parts), rows["salt"].iloc[0], np.int64), "part": parts.astype(np.int64), "runs": pd.Series(held, dtype=object)})
 
     def found(rows: pd.DataFrame) -> pd.DataFrame:
-        runs = runs_of([list(b) for b in rows["blocks"]])
-        return parts_of(rows, runs, runs)
+        """Each run as often as pages of the group have it, BOILERPLATE_PAGES times at most."""
+        runs, counts = Streams([list(b) for b in rows["blocks"]]).repeated()
+        return parts_of(rows, np.repeat(runs, np.minimum(counts, BOILERPLATE_PAGES)))
 
     def repeated(rows: pd.DataFrame) -> pd.DataFrame:
         held = [np.frombuffer(r, np.uint64) for r in rows["runs"]]
-        often = _often(np.concatenate(held))
+        runs, counts = np.unique(np.concatenate(held), return_counts=True)
+        often = runs[counts >= BOILERPLATE_PAGES]
         return pd.DataFrame({"host": rows["host"], "salt": rows["salt"], "runs": [np.intersect1d(r, often).tobytes() for r in held]})
 
-    def witnessed(rows: pd.DataFrame, marks: pd.DataFrame) -> pd.DataFrame:
-        pairs = evidence_of([list(b) for b in rows["blocks"]], list(rows["main"]), np.frombuffer(b"".join(marks["runs"]), np.uint64))
-        return parts_of(rows, pairs, pairs[:, 0])
+    def without(rows: pd.DataFrame, marks: pd.DataFrame) -> pd.DataFrame:
+        kept = Streams([list(b) for b in rows["blocks"]]).without(np.frombuffer(b"".join(marks["runs"]), np.uint64))
+        return pd.DataFrame({"host": rows["host"], "content": rows["content"], "text": ["\n\n".join(k) for k in kept]})
 
-    def evident(rows: pd.DataFrame) -> pd.DataFrame:
-        held = [np.frombuffer(r, np.uint64).reshape(-1, 2) for r in rows["runs"]]
-        often = _often(np.unique(np.concatenate(held), axis=0)[:, 0])
-        return pd.DataFrame({"host": rows["host"], "salt": rows["salt"], "runs": [np.intersect1d(r[:, 0], often).tobytes() for r in held]})
+    keys = ("host", "salt")
+    marks = dealt.groupBy(*keys).applyInPandas(found, "host string, salt long, part long, runs binary").groupBy("host", "part").applyInPandas(repeated, "host string, salt long, runs binary")
+    texts = dealt.groupBy(*keys).cogroup(marks.groupBy(*keys)).applyInPandas(without, "host string, content binary, text string")
+    return rows.select("page_id", "url", "host", "content").join(texts, ["host", "content"]).select("page_id", "url", "text")
 
-    def without(rows: pd.DataFrame, marks: pd.DataFrame) -> pd.DataFrame:
-        return texts_of(rows, blocks_without([list(b) for b in rows["blocks"]], np.frombuffer(b"".join(marks["runs"]), np.uint64)))
-
-    texts = dealt.where("groups = 1").groupBy("host").applyInPandas(cleaned, schema)
-    large = dealt.where("groups > 1")
-    held, marked = "host string, salt long, part long, runs binary", "host string, salt long, runs binary"
-    marks = large.groupBy("host", "salt").applyInPandas(found, held).groupBy("host", "part").applyInPandas(repeated, marked)
-    pairs = large.groupBy("host", "salt").cogroup(marks.groupBy("host", "salt")).applyInPandas(witnessed, held)
-    marks = pairs.groupBy("host", "part").applyInPandas(evident, marked)
-    texts = texts.unionByName(large.groupBy("host", "salt").cogroup(marks.groupBy("host", "salt")).applyInPandas(without, schema))
-    return decided.unionByName(open_rows.select("page_id", "url", "host", "content").join(texts, ["host", "content"]).select("page_id", "url", "text"))
+
+def extract(pages: DataFrame) -> DataFrame:
+    """page_id, url and text of each row of pages (page_id, url, html)."""
+    host = F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][\w+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1), F.lit("")))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").withColumn("host", host)
+    runs, plain = article_runs(rows)
+
+    def texts(found, runs, part):
+        ids, urls = part.column(part.num_columns - 2).to_pylist(), part.column(part.num_columns - 1).to_pylist()
+        out = [(i, u, "\n\n".join(Streams([main]).without(r)[0] if len(r) else main)) for i, u, (main, other), r in zip(ids, urls, found, runs, strict=True) if main or not other]
+        return list(zip(*out, strict=True)) or [[]] * 3
+
+    out = _with_runs(rows, runs, "page_id long, url string, text string", texts, True, "page_id", "url")
+    return out.unionByName(plain_texts(rows)) if plain else out
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

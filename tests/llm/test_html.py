@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 
@@ -41,18 +42,25 @@ def test_suffix_order():
         assert html.suffix_array(np.array(v)).tolist() == sorted(range(len(v)), key=lambda i: v[i:])
 
 
-def test_coverage_against_brute_force():
+def test_runs_against_brute_force():
     draw = random.Random(5)
     for _ in range(40):
-        streams = [[draw.randrange(4) for _ in range(draw.randrange(0, 14))] for _ in range(8)]
-        owner = [k // 2 for k in range(8)]
-        where = {}
-        for s, o in zip(streams, owner, strict=True):
-            for i in range(len(s) - 2):
-                where.setdefault(tuple(s[i : i + 3]), set()).add(o)
-        for s, mask in zip(streams, html.covered(streams, owner, 3, 2), strict=True):
-            want = [any(0 <= i <= len(s) - 3 and len(where[tuple(s[i : i + 3])]) >= 2 for i in range(k - 2, k + 1)) for k in range(len(s))]
-            assert mask.tolist() == want
+        pages = [[" ".join(draw.choices("abcd", k=draw.randrange(1, 14))) for _ in range(draw.randrange(4))] for _ in range(6)]
+        where, run = {}, 3
+        padded = [[b.split() + [""] * (run - len(b.split())) for b in page] for page in pages]
+        for o, page in enumerate(padded):
+            for s in page:
+                for i in range(len(s) - run + 1):
+                    where.setdefault(tuple(s[i : i + run]), set()).add(o)
+        streams = html.Streams(pages, run)
+        prints, counts = streams.repeated()
+        assert sorted(counts.tolist()) == sorted(map(len, where.values())) and len(set(prints.tolist())) == len(where)
+        often = {r for r, o in where.items() if len(o) >= 2}
+        kept = []
+        for page, blocks in zip(padded, pages, strict=True):
+            cover = [[any(0 <= i <= len(s) - run and tuple(s[i : i + run]) in often for i in range(k - run + 1, k + 1)) for k in range(len(s))] for s in page]
+            kept.append([b for b, c in zip(blocks, cover, strict=True) if 2 * sum(c) <= len(c)])
+        assert streams.without(prints[counts >= 2]) == kept
 
 
 def test_extract(spark):
@@ -81,7 +89,6 @@ def test_copied_pages_without_an_article_stay(spark):
     got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert len(got) == len(rows) and {r.text for r in got if r.page_id < 1000} == {text}
     assert all(r.text.startswith("home and about this site") for r in got if r.page_id >= 1000)
-    assert html.unique_blocks([["a b c d e"]] * 3) == [["a b c d e"]] * 3
 
 
 def _large_host():
@@ -104,13 +111,35 @@ def test_groups_of_a_host_give_what_one_group_gives(spark, monkeypatch):
     assert {r.page_id: r.text for r in html.extract(df).collect()} == one and len(set(one.values())) > 50
 
 
-def test_boilerplate_inside_main_goes_and_copied_articles_stay(spark, monkeypatch):
+def _article_host(copies):
     menu = "<p>all our guides and offers at a glance</p>"
     own = {k: " ".join(f"own{k}x{i}" for i in range(12)) for k in range(40)}
-    rows = [(k, f"http://h/{k}", f"<main>{menu}<p>{own[k]}</p></main>") for k in range(40)]
+    rows = [(k, f"http://h/{k}", f"<main>{menu}<p>{own[k]}</p><p>See all</p></main>") for k in range(40)]
     near = {k: f"a copied article whose text is the same on each page but for one word {k}" for k in range(100, 110)}
-    rows += [(k, f"http://h/{k}", f"<article><p>{x}</p></article>") for k, x in near.items()]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string")
-    for pages in (html.HOST_PAGES, 6):
+    rows += [(k, f"http://h/{k}", f"<article><p>{x}</p></article>") for k, x in near.items()] * copies
+    # A line that is on less than half of the pages is main text.
+    some = {200 + k: f"Said before on some pages of this host.\n\nmore{k} words{k} of{k} its{k} own{k} here{k} and{k} there{k}" for k in range(12)}
+    rows += [(k, f"http://h/{k}", "<article>" + "".join(f"<p>{b}</p>" for b in x.split("\n\n")) + "</article>") for k, x in some.items()]
+    # All pages of a host are copies of one another.
+    same = {300 + k: f"the very same words on all pages of this host but one {k}" for k in range(30)}
+    rows += [(k, "http://copies/", f"<article><p>{x}</p></article>") for k, x in same.items()]
+    return rows, own | near | some | same
+
+
+def test_boilerplate_inside_main_goes_and_copied_articles_stay(spark, monkeypatch):
+    rows, want = _article_host(3)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    for pages, held, large in ((html.HOST_PAGES, html.BROADCAST_BYTES, html.LARGE_HOSTS), (6, -1, 1), (6, html.BROADCAST_BYTES, 0), (4, -1, html.LARGE_HOSTS)):
         monkeypatch.setattr(html, "HOST_PAGES", pages)
-        assert {r.page_id: r.text for r in html.extract(df).collect()} == own | near
+        monkeypatch.setattr(html, "BROADCAST_BYTES", held)
+        monkeypatch.setattr(html, "LARGE_HOSTS", large)
+        got = html.extract(df).collect()
+        assert len(got) == len(rows) and {r.page_id: r.text for r in got} == want
+
+
+def test_long_pages_take_linear_time():
+    began = time.perf_counter()
+    page = "<div>" * 100_000 + "</span>" * 100_000 + "text"
+    assert html.blocks_of(page) == ([], ["text"])
+    assert html.blocks_of("<article>" + "<p>x <b>y</b></p>" * 50_000)[0] == ["x y"] * 50_000
+    assert time.perf_counter() - began < 10

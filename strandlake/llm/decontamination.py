@@ -6,20 +6,23 @@ of 15 words with 3 substitutions, or of 20 with 4, is without a hit.  Hashes of
 training documents are joined with those of benchmark items; around a hit the two
 texts are aligned, and the overlap counts if it holds a stretch of
 at least LEAST_WORDS item words (the whole item if it is shorter) of which
-AGREEMENT agree.
+AGREEMENT agree.  Items shorter than MASK_SPAN words have masks of their own: all their words, or all but one where
+one may differ; items of TEN words have one mask more, as two of their words may differ in ways that MASKS miss.
+Masks of lengths that no item has cost nothing.
 
 The benchmark's words and hashes go to every task if they number at most
 BROADCAST_WORDS (a checked bound): documents are then read once and nothing is shuffled.
 A larger benchmark is joined by hash in a shuffle, after a bitmap of fixed size has
 dropped the hashes that no item has.  Both ways give the same rows.
 
-Defined results: null or empty texts are clean; items with fewer words than
-MASK_SPAN can't testify; an empty benchmark leaves all clean; repeated rows are
-judged one by one; other columns don't matter.
+Defined results: null or empty texts are clean; items without words can't testify; an item without
+an id contaminates, but isn't listed; an empty benchmark leaves all clean; repeated rows are
+judged one by one; very long texts are handled alone; other columns may have any names.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,11 +31,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._words import Words, mix, sliced, words_of
-from ._work import batched, settled, table, with_added
+from ._work import as_row, batched, from_row, settled, table, with_added
 
 #: Chosen by exhausting the substitution patterns named above.
 MASKS = ((0, 2, 5, 6, 7), (0, 5, 6, 7, 8), (0, 1, 2, 4, 7), (0, 1, 5, 6, 8))
-MASK_SPAN = 9
+MASK_SPAN, TEN = 9, 10
+MASK_OF_TEN = (0, 1, 3, 4, 5)
 LEAST_WORDS, AGREEMENT = 15, 0.8
 BROADCAST_WORDS = 2_000_000
 BITMAP_BITS = 1 << 23
@@ -43,15 +47,28 @@ def lowered(texts: list[str | None]) -> Words:
     return words_of([t and t.lower() for t in texts])
 
 
-def seeds(words: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(mask, hash at each position) of a run of word hashes."""
-    for k, mask in enumerate(MASKS):
+def masks_of(words: int) -> list[tuple[int, ...]]:
+    """The masks that find an item of so many words."""
+    if words >= MASK_SPAN:
+        return [*MASKS, MASK_OF_TEN] if words == TEN else list(MASKS)
+    whole = tuple(range(words))
+    differ = words - math.ceil(AGREEMENT * words - 1e-9)
+    return [whole[:k] + whole[k + 1 :] for k in whole] if differ else [whole] if words else []
+
+
+def seeds(words: np.ndarray, masks: list[tuple[int, ...]]) -> Iterator[np.ndarray]:
+    """Of each mask the hash at each position of a run of word hashes. A mask reaches to its last offset; that of an item whose last word may differ stands shorter."""
+    for mask in masks:
         n = len(words) - mask[-1]
         if n > 0:
-            h = np.full(n, k + 1, np.uint64)
+            h = np.full(n, hash_of_mask(mask), np.uint64)
             for offset in mask:
                 h = mix(h * np.uint64(0x9E3779B97F4A7C15) + words[offset : offset + n])
-            yield k, h
+            yield h
+
+
+def hash_of_mask(mask: tuple[int, ...]) -> int:
+    return sum(1 << offset for offset in mask)
 
 
 def overlap(doc: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int, float]:
@@ -80,17 +97,17 @@ def overlap(doc: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int, floa
 class Benchmark:
     """Seeds of benchmark items, sorted, and the items' words."""
 
-    def __init__(self, items: list[tuple[int, str | None]]):
+    def __init__(self, items: list[tuple[int | None, str | None]]):
         self.ids = [i for i, _ in items]
         w = lowered([t for _, t in items])
         self.words = [w.hash[w.first[k] : w.first[k + 1]] for k in range(len(items))]
         keys, owner, at = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for k, words in enumerate(self.words):
-            if len(words) >= MASK_SPAN:
-                for _, h in seeds(words):
-                    keys.append(h)
-                    owner.append(np.full(len(h), k))
-                    at.append(np.arange(len(h)))
+            for h in seeds(words, masks_of(len(words))):
+                keys.append(h)
+                owner.append(np.full(len(h), k))
+                at.append(np.arange(len(h)))
+        self.masks = all_masks(set(map(len, self.words)))
         key = np.concatenate(keys)
         order = np.argsort(key, kind="stable")
         self.key, self.owner, self.at = key[order], np.concatenate(owner)[order], np.concatenate(at)[order]
@@ -99,7 +116,7 @@ class Benchmark:
     def judge(self, words: np.ndarray) -> tuple[bool, list[int], int, float]:
         """ADDED for one document's word hashes."""
         pairs: set[tuple[int, int]] = set()
-        for _, h in seeds(words):
+        for h in seeds(words, self.masks):
             place = np.flatnonzero(in_bitmap(self.bitmap, h))
             if not len(place):
                 continue
@@ -111,11 +128,16 @@ class Benchmark:
         return verdict([f for f in found if f[0]])
 
 
-def verdict(found: list[tuple[int, float, int]]) -> tuple[bool, list[int], int, float]:
+def all_masks(lengths: set[int]) -> list[tuple[int, ...]]:
+    """The masks of items of all these lengths, each once."""
+    return list(dict.fromkeys(mask for n in sorted(lengths, reverse=True) for mask in masks_of(n)))
+
+
+def verdict(found: list[tuple[int, float, int | None]]) -> tuple[bool, list[int], int, float]:
     if not found:
         return False, [], 0, 0.0
     best = max(found, key=lambda f: (f[0], f[1]))
-    return True, sorted({f[2] for f in found}), best[0], best[1]
+    return True, sorted({f[2] for f in found if f[2] is not None}), best[0], best[1]
 
 
 def bitmap_of(keys: np.ndarray) -> np.ndarray:
@@ -132,12 +154,12 @@ def in_bitmap(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 def annotate(docs: DataFrame, benchmark: DataFrame, most_words: int = BROADCAST_WORDS) -> DataFrame:
     """docs' rows (with a text) as ``row``, and ADDED."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null and item_id is not null")
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
     # Bytes over two bound the number of words.
     size = items.agg(F.coalesce(F.sum((F.octet_length("text") / 2).cast("long") + 1), F.lit(0))).first()[0]
     if size > most_words:
         return _joined(docs, items)
-    held = Benchmark(sorted(map(tuple, items.collect()), key=lambda x: (x[0], x[1])))
+    held = Benchmark(sorted(map(tuple, items.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1])))
 
     def judged(texts: list[str | None]) -> list[pa.Array]:
         w = lowered(texts)
@@ -152,10 +174,13 @@ def _columns(found: list[tuple[bool, list[int], int, float]]) -> list[pa.Array]:
 
 def _joined(docs: DataFrame, items: DataFrame) -> DataFrame:
     """annotate() for a benchmark of any size: seeds meet in a shuffle, then both texts of each alignment do."""
-    rows = settled(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"), F.monotonically_increasing_id().alias("n")), "docs")
+    rows = settled(docs.select(as_row(docs), F.col("text").alias("text"), F.monotonically_increasing_id().alias("n")), "docs")
     items = settled(items.withColumn("i", F.monotonically_increasing_id()), "items")
 
-    def seed_rows(bits: np.ndarray | None, least: int):
+    lengths = items.select(F.size(F.array_remove(F.split("text", r"[ \x09-\x0D]+"), "")).alias("n")).where(F.col("n") <= TEN).distinct().collect()  # TEN + 1 rows at most
+    masks = all_masks({r.n for r in lengths} | {MASK_SPAN})
+
+    def seed_rows(bits: np.ndarray | None):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 ids, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
@@ -163,22 +188,20 @@ def _joined(docs: DataFrame, items: DataFrame) -> DataFrame:
                     w = lowered(texts[a:b])
                     for k in range(b - a):
                         words = w.hash[w.first[k] : w.first[k + 1]]
-                        if len(words) < least:
-                            continue
-                        for _, h in seeds(words):
+                        for h in seeds(words, masks_of(len(words)) if bits is None else masks):
                             at = np.arange(len(h)) if bits is None else np.flatnonzero(in_bitmap(bits, h))
                             if len(at):
                                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), ids[a + k])), pa.array(h[at].view(np.int64)), pa.array(at)], ["id", "key", "at"])
 
         return run
 
-    keys = settled(items.select("i", "text").mapInArrow(seed_rows(None, MASK_SPAN), "id long, key long, at long"), "seeds")
+    keys = settled(items.select("i", "text").mapInArrow(seed_rows(None), "id long, key long, at long"), "seeds")
     place = F.shiftrightunsigned("key", 41)
     words = keys.select(F.shiftright(place, 6).alias("w"), F.expr("shiftleft(1L, cast(shiftrightunsigned(key, 41) & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
     bits = np.zeros(BITMAP_BITS // 64, np.int64)  # at most so many rows come to the driver
     for w, b in words.collect():
         bits[w] = b
-    hits = batched(rows.select("n", "text"), seed_rows(bits.view(np.uint8), 0), "id long, key long, at long")
+    hits = batched(rows.select("n", "text"), seed_rows(bits.view(np.uint8)), "id long, key long, at long")
     pairs = hits.join(keys.select("key", F.col("id").alias("i"), F.col("at").alias("item_at")), "key").select(F.col("id").alias("n"), "i", (F.col("at") - F.col("item_at")).alias("diagonal")).distinct()
     both = pairs.join(rows.select("n", "text"), "n").join(items.select("i", "item_id", F.col("text").alias("item")), "i")
 
@@ -203,7 +226,7 @@ def _joined(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs without an overlap, in all their columns."""
-    return annotate(docs, benchmark).where("not contaminated").select("row.*")
+    return from_row(annotate(docs, benchmark).where("not contaminated"), docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._words import sliced, words_of
-from ._work import batched, crc_mod, table, with_added
+from ._work import batched, crc_mod, from_row, table, with_added
 
 BUCKETS, RANK = 2048, 8
 #: Bound of the training sample: labelled rows of each label, chosen by a hash of doc_id.
@@ -121,6 +121,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> Machine:
     first = [given.where(F.col("quality") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS) for k in (0, 1)]
     sample = first[0].unionByName(first[1])
     rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(sample), "doc_id")
+    # Of rows with one doc_id the smallest text: no more than the sample comes to the driver.
+    rows = rows.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,7 +157,7 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
 def kept(docs: DataFrame, machine: Machine, least: float = KEEP_AT) -> DataFrame:
     """The rows of docs whose text scores ``least`` or more, in all their columns."""
     scored = with_added(docs, "text", "score double", lambda texts: [pa.array(machine.score(features(texts)).astype(float), pa.float64())])
-    return scored.where(F.col("score") >= least).select("row.*")
+    return from_row(scored.where(F.col("score") >= least), docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,6 +13,28 @@ def test_masks_hit_all_substitutions():
             assert any(all(a + o not in bad for o in m) for m in d.MASKS for a in range(n - m[-1])), bad
 
 
+def test_items_of_all_lengths_are_found(spark):
+    """Each item of 1 to 15 words, in each way that the rule allows, and in none that it doesn't."""
+    rows, items, want, n = [], [], {}, 0
+    for size in range(1, 16):
+        item = [f"i{size}x{k}" for k in range(size)]
+        items.append((size, " ".join(item)))
+        most = size - next(k for k in range(size + 1) if 10 * k >= 8 * size)
+        for wrong in (most, most + 1):
+            for bad in itertools.islice(itertools.combinations(range(size), wrong), 0, None, 7 if size > 11 else 1):
+                rows.append((n, "before it " + " ".join("other" if k in bad else w for k, w in enumerate(item)) + " after it"))
+                want[n] = [size] if wrong == most else []
+                n += 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    bench = spark.createDataFrame([*items, (None, "no id at all")], "item_id long, text string")
+    for most in (d.BROADCAST_WORDS, 0):
+        got = {r.row.doc_id: r["items"] for r in d.annotate(docs, bench, most).collect()}
+        assert got == want
+    marked = spark.createDataFrame([(1, "x No id AT all y"), (2, "no id at")], "doc_id long, text string")
+    for most in (d.BROADCAST_WORDS, 0):
+        assert {r.row.doc_id: (r.contaminated, r["items"]) for r in d.annotate(marked, bench, most).collect()} == {1: (True, []), 2: (False, [])}
+
+
 def _stretch(same, need):
     return max((j - i for i in range(len(same)) for j in range(i + need, len(same) + 1) if sum(same[i:j]) * 5 >= (j - i) * 4), default=0)
 
@@ -42,7 +64,7 @@ def tables(spark):
         (7, " ".join(filler(3) + [w.upper() for w in other])), (8, " ".join(w if k % 2 else "no" for k, w in enumerate(item))), (9, " ".join(filler(9000) + other + item)), (0, " ".join(item)),
     ]
     docs = spark.createDataFrame([(*r, True, "c", 1) for r in rows], "doc_id long, text string, contaminated boolean, items string, n int")
-    bench = spark.createDataFrame([(1, " ".join(item), 5), (2, " ".join(other), 5), (3, "a b c", 5), (4, None, 5), (5, "", 5), (None, "x y", 5)], "item_id long, text string, n int")
+    bench = spark.createDataFrame([(1, " ".join(item), 5), (2, " ".join(other), 5), (3, "never there", 5), (4, None, 5), (5, "", 5), (None, "x y", 5)], "item_id long, text string, n int")
     return docs, bench
 
 
@@ -61,3 +83,9 @@ def test_empty_tables(tables):
     for most in (d.BROADCAST_WORDS, -1):
         assert d.annotate(docs, bench.limit(0), most).where("contaminated").count() == 0
         assert d.annotate(docs.limit(0), bench, most).count() == 0
+
+
+def test_odd_column_names(spark):
+    docs = spark.createDataFrame([(1, "t", 1, 2, 3, 4)], ["doc_id", "text", "my col", "a-b", "a.b", "x:y`z"])
+    bench = spark.createDataFrame([(1, "some item")], "item_id long, text string")
+    assert d.clean(docs, bench).columns == docs.columns and d.clean(docs, bench).collect() == docs.collect()

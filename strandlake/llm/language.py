@@ -2,12 +2,12 @@
 
 Each language gets a zstandard raw-content dictionary made of sample text.  A
 text's letters are cut into blocks of BLOCK_BYTES (all of them; the cut keeps the
-dictionary near every part), each block is compressed with each dictionary, and the
+dictionary near every part), each block is compressed with each dictionary, in one setting for all, and the
 language whose total is smallest wins.  A narrow margin is a rejection.
 
 Defined results: null text, or text without any letter, is ``und`` with score 0;
-without a learned language everything is ``und``; ties go to the language that
-sorts first.  Extra columns of the input are ignored.
+without a learned language (an empty table, too) everything is ``und``; ties go to the language that
+sorts first; repeated rows are judged one by one; of a very long text each block is compressed.  Extra columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -23,14 +23,13 @@ from pyspark.sql import functions as F
 
 from ._work import batched, crc_mod, table
 
-#: Bounds of the training sample: texts a language, and characters of each.
-SAMPLE_TEXTS, SAMPLE_CHARS = 96, 1500
-DICTIONARY_BYTES = 112_640
-#: All languages are learned; beyond so many, samples and dictionaries shrink so that their total stays, down to LEAST_CHARS of a text.
-FULL_LANGUAGES, LEAST_CHARS = 64, 24
+#: Bounds of the training sample: texts a language, and bytes of letters of each, from a hashed offset on.
+SAMPLE_TEXTS, SAMPLE_BYTES = 96, 1200
+#: All languages are learned; beyond so many, pieces shrink so that the dictionaries' total stays, down to LEAST_BYTES of a text.
+FULL_LANGUAGES, LEAST_BYTES = 64, 48
 BLOCK_BYTES = 2048
-#: zstandard's level, and the slower one (with 3-byte matches) for texts of at most SHORT_BYTES.
-LEVEL, SHORT_LEVEL, SHORT_BYTES = 6, 12, 1024
+#: zstandard's level and shortest match.
+LEVEL, LEAST_MATCH = 12, 3
 #: Share by which the second smallest total must exceed the smallest, else the text is rejected.
 MARGIN = 0.01
 
@@ -47,28 +46,26 @@ def learn(docs: DataFrame) -> dict[str, bytes]:
     """Dictionaries of all languages from the rows of docs with a lang: SAMPLE_TEXTS of each, chosen by a hash of doc_id, and of each text a piece at a hashed offset."""
     rows = docs.where("lang is not null and text is not null").select("doc_id", "lang", "text")
     languages = rows.agg(F.count_distinct("lang")).first()[0]
-    share = min(1.0, FULL_LANGUAGES / max(1, languages))
-    chars = max(LEAST_CHARS, int(SAMPLE_CHARS * share))
-    most = max(LEAST_CHARS * SAMPLE_TEXTS, int(DICTIONARY_BYTES * share))
-    places = F.greatest(F.char_length("text") - chars + 1, F.lit(1))
-    piece = F.substring("text", F.pmod(F.xxhash64("doc_id", F.lit("piece")), places).cast("int") + 1, F.lit(chars))
+    size = max(LEAST_BYTES, int(SAMPLE_BYTES * min(1.0, FULL_LANGUAGES / max(1, languages))))
+    # Of a text that is longer the piece may begin wherever so many characters are left.
+    places = F.greatest(F.char_length("text") - size + 1, F.lit(1))
+    piece = F.substring("text", F.pmod(F.xxhash64("doc_id", F.lit("piece")), places).cast("int") + 1, F.lit(size))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
     sample = rows.withColumn("text", piece).withColumn("k", F.row_number().over(order)).where(F.col("k") <= SAMPLE_TEXTS)
-    parts: dict[str, list[str]] = {}
+    parts: dict[str, list[bytes]] = {}
     for lang, _, text in sorted(sample.select("lang", "k", "text").collect()):
-        parts.setdefault(lang, []).append(letters(text))
-    return {lang: "\n".join(texts).encode()[-most:] for lang, texts in sorted(parts.items()) if any(texts)}
+        parts.setdefault(lang, []).append(letters(text).encode("utf-8", "surrogatepass")[:size])
+    return {lang: b"\n".join(texts) for lang, texts in sorted(parts.items()) if any(texts)}
 
 
 class Compressors:
     def __init__(self, dictionaries: dict[str, bytes]):
         self.languages = sorted(dictionaries)
-        self.long = [self._compressor(dictionaries[x], LEVEL, {}) for x in self.languages]
-        self.short = [self._compressor(dictionaries[x], SHORT_LEVEL, {"min_match": 3}) for x in self.languages]
+        self.each = [self._compressor(dictionaries[x]) for x in self.languages]
 
     @staticmethod
-    def _compressor(content: bytes, level: int, options: dict[str, int]) -> zstandard.ZstdCompressor:
-        settings = zstandard.ZstdCompressionParameters.from_level(level, source_size=BLOCK_BYTES, dict_size=len(content), write_checksum=False, write_content_size=False, **options)
+    def _compressor(content: bytes) -> zstandard.ZstdCompressor:
+        settings = zstandard.ZstdCompressionParameters.from_level(LEVEL, source_size=BLOCK_BYTES, dict_size=len(content), min_match=LEAST_MATCH, write_checksum=False, write_content_size=False)
         dictionary = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         dictionary.precompute_compress(compression_params=settings)
         return zstandard.ZstdCompressor(dict_data=dictionary, compression_params=settings)
@@ -76,7 +73,7 @@ class Compressors:
     def sizes(self, text: str) -> list[int]:
         data = letters(text).encode("utf-8", "surrogatepass")
         blocks = [data[i : i + BLOCK_BYTES] for i in range(0, len(data), BLOCK_BYTES)]
-        return [sum(len(c.compress(b)) for b in blocks) for c in (self.short if len(data) <= SHORT_BYTES else self.long)]
+        return [sum(len(c.compress(b)) for b in blocks) for c in self.each]
 
     def classify(self, text: str | None) -> tuple[str, float, float]:
         """(language, score from 0 to 1, margin)."""

@@ -19,7 +19,7 @@ def test_languages(spark):
     rows += [(1000, None, "aa", "x", 1.0), (1001, "", "bb", "x", 1.0), (1002, "12 34 !", "cc", "x", 1.0), (1003, _prose(draw, "bb", 9000), None, "x", 1.0), (None, _prose(draw, "aa", 50), "aa", "x", 1.0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, score double")
     model = language.learn(df.where(crc_mod(F.col("doc_id"), 3) != 1))
-    assert sorted(model) == ["aa", "bb", "cc"] and all(len(d) <= language.DICTIONARY_BYTES for d in model.values())
+    assert sorted(model) == ["aa", "bb", "cc"] and all(len(d) <= language.SAMPLE_TEXTS * (language.SAMPLE_BYTES + 1) for d in model.values())
     got = {r.doc_id: r for r in language.classify(df, model).collect()}
     right = [got[i].lang_pred == lang for i, _, lang, *_ in rows[:300]]
     assert sum(right) / len(right) > 0.97
@@ -28,6 +28,10 @@ def test_languages(spark):
     assert all(0 <= r.score <= 1 for r in got.values())
     assert language.learn(df.limit(0)) == {}
     assert {r.lang_pred for r in language.classify(df, {}).collect()} == {"und"}
+    assert language.classify(df.limit(0), model).count() == 0
+    # A tie goes to the language that sorts first; repeated rows get the same.
+    same = language.classify(df.unionByName(df).where("doc_id < 20"), {"zz": model["aa"], "aa": model["aa"]}).collect()
+    assert len(same) == 40 and {r.lang_pred for r in same} == {"aa"}
 
 
 def test_pairwise_sum_identity():
@@ -78,7 +82,7 @@ def test_all_languages_are_learned(spark):
     texts = [(lang, " ".join("".join(draw.choices(own, k=3)) for _ in range(60))) for lang, own in sounds.items() for _ in range(6 if lang < "l64" else 4)]
     df = spark.createDataFrame([(k, text, lang) for k, (lang, text) in enumerate(texts)], "doc_id long, text string, lang string")
     model = language.learn(df)
-    assert sorted(model) == sorted(sounds) and sum(map(len, model.values())) <= language.FULL_LANGUAGES * language.DICTIONARY_BYTES
+    assert sorted(model) == sorted(sounds) and sum(map(len, model.values())) <= language.FULL_LANGUAGES * language.SAMPLE_TEXTS * (language.SAMPLE_BYTES + 1)
     assert {r.doc_id: r.lang_pred for r in language.classify(df, model).collect()} == {k: lang for k, (lang, _) in enumerate(texts)}
 
 

@@ -1,11 +1,12 @@
 """Approximate nearest neighbours: robust-pruned directed graphs, one a shard.
 
 Equal vectors are one node, which keeps the smallest ids it can ever need.  Nodes
-are hashed to shards of about SHARD_NODES; a shard's graph is built in one task:
+are hashed to as many shards as the cluster has cores, within LEAST_NODES and MOST_NUMBERS (components) a shard: a search takes little
+longer in a larger graph, so work grows with queries times shards, and shards grow with the table first, their number only then.  A shard's graph is built in one task:
 greedy searches from entry points propose neighbours, and robust pruning keeps
 the nearest candidate and drops those that it is nearer to by the factor ALPHA,
-so edges stay short and diverse.  A beam search runs each block of queries on
-each shard's graph, and the shards' best are merged.
+so edges stay short and diverse.  A beam search runs the queries, dealt to blocks so that there are tasks for all cores, on
+each shard's graph, and the shards' best are merged.  A task reads its graph once, and its block of queries streams past it.
 
 The graph is built for Euclidean distance after the usual extra component
 ``sqrt(M**2 - |x|**2)``, under which the nearest node of a query has the largest
@@ -15,7 +16,7 @@ precision.
 Defined results: vectors that are null, zero, or hold null or non-finite
 components take no part; only vectors of the same length are compared; repeated
 rows of an id and vector are one; ties go to the smaller id; fewer candidates
-than asked for give all of them.
+than asked for give all of them; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,17 +25,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._work import settled, table
+from ._work import batched, settled, table
 
 NEAREST = 20
-SHARD_NODES, QUERY_BLOCK = 4096, 512
+LEAST_NODES, MOST_NUMBERS = 4096, 1 << 23
+#: Queries searched at once, and the bits of what they have seen.
+QUERY_BLOCK, SEEN_BITS = 512, 1 << 25
 DEGREE, BUILD_BEAM, SEARCH_BEAM, ALPHA = 32, 64, 96, 1.2
 BATCH = 256
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Vectors in single precision, all divided by one number, so that none is too large: the order of inner products stays."""
+    return (x / np.abs(x).max()).astype(np.float32)
+
+
 def search(x: np.ndarray, edges: np.ndarray, entries: np.ndarray, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
     """For each query the best nodes that a beam search finds and their inner products (single precision), best first; -1 where fewer."""
     n, count = len(x), len(queries)
@@ -103,7 +112,7 @@ def pruned(x: np.ndarray, points: np.ndarray, candidates: np.ndarray, degree: in
 def build(vectors: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM) -> tuple[np.ndarray, np.ndarray]:
     """(edges, entries) of the graph over the rows of vectors; node n stands for a missing edge."""
     n = len(vectors)
-    x = vectors.astype(np.float32)
+    x = scaled(vectors)
     square = (x * x).sum(1)
     x = np.concatenate([x, np.sqrt(np.maximum(square.max() - square, 0))[:, None]], 1)
     edges = np.full((n + 1, degree), n, np.int32)
@@ -114,13 +123,13 @@ def build(vectors: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM) ->
             others = np.delete(np.arange(n), i)
             edges[i, : len(others)] = others
         return edges, entries
+    # The search key is the node itself: nearest under Euclidean distance is largest x.y - |y|^2 / 2.
+    lifted = np.concatenate([x, -0.5 * (x * x).sum(1, keepdims=True)], 1)
     order = draw.permutation(n)
     for passes in range(2):
         at, size = 0, 1
         while at < n:
             batch = order[at : at + size]
-            # The search key is the node itself: nearest under Euclidean distance is largest x.y - |y|^2 / 2.
-            lifted = np.concatenate([x, -0.5 * (x * x).sum(1, keepdims=True)], 1)
             key = np.concatenate([x[batch], np.ones((len(batch), 1), np.float32)], 1)
             found, _ = search(lifted, edges, entries, key, beam)
             candidates = np.concatenate([found, np.where(edges[batch] < n, edges[batch], -1)], 1)
@@ -153,7 +162,7 @@ def usable(vectors: DataFrame) -> DataFrame:
     """vec_id, embedding and dim of the rows that take part."""
     e = F.col("embedding")
     good = e.isNotNull() & F.forall(e, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(e, lambda v: v != 0)
-    return vectors.where(F.coalesce(good, F.lit(False))).select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<float>"), F.size(e).alias("dim")).where("vec_id is not null")
+    return vectors.where(F.coalesce(good, F.lit(False))).select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"), F.size(e).alias("dim")).where("vec_id is not null")
 
 
 def index(vectors: DataFrame, keep: int = NEAREST + 1) -> tuple[DataFrame, int]:
@@ -161,12 +170,12 @@ def index(vectors: DataFrame, keep: int = NEAREST + 1) -> tuple[DataFrame, int]:
     first = Window.partitionBy("embedding").orderBy("vec_id")
     members = usable(vectors).distinct().withColumn("k", F.row_number().over(first)).where(F.col("k") <= keep)
     nodes = settled(members.groupBy("embedding", "dim").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), "nodes")
-    shards = max(1, -(-nodes.count() // SHARD_NODES))
+    shards = shards_of(*nodes.agg(F.count("*"), F.coalesce(F.max("dim"), F.lit(1))).first(), vectors.sparkSession.sparkContext.defaultParallelism)
     nodes = nodes.withColumn("shard", F.pmod(F.xxhash64("embedding"), F.lit(shards)))
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.assign(first=[i[0] for i in rows["ids"]]).sort_values("first")
-        x = np.stack(rows["embedding"].to_list()).astype("<f4")
+        x = np.stack(rows["embedding"].to_list()).astype("<f8")
         edges, entries = build(x)
         owners = np.repeat(np.arange(len(x)), [len(i) for i in rows["ids"]]).astype("<i4")
         ids = np.concatenate(rows["ids"].to_list()).astype("<i8")
@@ -175,47 +184,76 @@ def index(vectors: DataFrame, keep: int = NEAREST + 1) -> tuple[DataFrame, int]:
     return settled(nodes.groupBy("dim", "shard").applyInPandas(run, INDEX), "graphs"), shards
 
 
+def shards_of(nodes: int, dim: int, cores: int) -> int:
+    """As many shards as cores, of LEAST_NODES nodes at least; more where a shard would hold more than MOST_NUMBERS numbers."""
+    return max(1, min(cores, -(-nodes // LEAST_NODES)), -(-nodes * dim // MOST_NUMBERS))
+
+
 def nearest(queries: DataFrame, graphs: DataFrame, shards: int, count: int = NEAREST) -> DataFrame:
     """query_id, rank, vec_id and score: the count nearest found of each usable row of queries (vec_id, embedding), without the row of its own id."""
     asked = usable(queries).distinct()
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
-    parts = graphs.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-
-    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out: list[pd.DataFrame] = []
-        for part in right.itertuples() if len(left) else ():
-            out += _searched(part, left, count)
-        return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-
-    pairs = ["dim", "shard", "block"]
-    found = asked.groupBy(*pairs).cogroup(parts.groupBy(*pairs)).applyInPandas(run, FOUND)
+    blocks = max(1, min(-(-asked.count() // QUERY_BLOCK), -(-2 * queries.sparkSession.sparkContext.defaultParallelism // shards)))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).withColumn("shard", every(shards))
+    parts = graphs.withColumn("block", every(blocks))
+    # A graph's row comes before the queries of its shard and block.
+    both = parts.withColumn("kind", F.lit(0)).unionByName(asked.withColumn("kind", F.lit(1)), allowMissingColumns=True)
+    keys = ("dim", "shard", "block")
+    both = both.repartition(*keys).sortWithinPartitions(*keys, "kind").select(*GRAPH, "dim", "shard", "block", "kind", "vec_id", "embedding")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        graph, of = None, None
+        for batch in batches:
+            kinds = batch.column("kind").to_numpy()
+            place = [batch.column(c).to_pylist() for c in keys]
+            bounds = [0, *(np.flatnonzero(kinds == 0)).tolist(), batch.num_rows]
+            for a, b in zip(bounds, bounds[1:]):  # noqa: B905
+                if a == b:
+                    continue
+                if kinds[a] == 0:
+                    graph, of, a = Graph(*(batch.column(c)[a].as_py() for c in GRAPH), place[0][a]), tuple(p[a] for p in place), a + 1
+                # Queries whose shard has no vectors of their length have no graph before them.
+                mine = [k for k in range(a, b) if of == tuple(p[k] for p in place)]
+                if mine and graph is not None:
+                    part = batch.take(pa.array(mine))
+                    q = np.array(part.column("embedding").to_pylist(), np.float64)
+                    yield from graph.found(part.column("vec_id").to_numpy(), q, count)
+
+    found = batched(both, run, FOUND)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= count).select("query_id", "rank", "vec_id", "score")
 
 
-def _searched(part, left: pd.DataFrame, count: int) -> Iterator[pd.DataFrame]:
-    x = np.frombuffer(part.vectors, "<f4").reshape(part.nodes, part.dim)
-    edges = np.frombuffer(part.edges, "<i4").reshape(part.nodes + 1, -1)
-    entries, owners, ids = np.frombuffer(part.entries, "<i4"), np.frombuffer(part.owners, "<i4"), np.frombuffer(part.ids, "<i8")
-    first = np.searchsorted(owners, np.arange(part.nodes + 1))
-    for a in range(0, len(left), QUERY_BLOCK):
-        block = left.iloc[a : a + QUERY_BLOCK]
-        q = np.stack(block["embedding"].to_list()).astype(np.float32)
-        nodes, _ = search(x, edges, entries, q, max(SEARCH_BEAM, count + 2))
-        score = np.einsum("bd,brd->br", q.astype(np.float64), x[np.maximum(nodes, 0)].astype(np.float64))
-        score[nodes < 0] = -np.inf
-        top = np.argsort(-score, axis=1, kind="stable")[:, : count + 1]
-        line = np.arange(len(q))[:, None]
-        # Ties with the last one stay: their ids decide.
-        limit = score[line, top[:, -1:]]
-        query, place = np.nonzero((score >= limit) & (nodes >= 0))
-        node = nodes[query, place]
-        sizes = first[node + 1] - first[node]
-        at = np.repeat(first[node] - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(sizes.sum())
-        rows = pd.DataFrame({"query_id": np.repeat(block["vec_id"].to_numpy()[query], sizes), "vec_id": ids[at], "score": np.repeat(score[query, place], sizes)})
-        rows = rows[rows["query_id"] != rows["vec_id"]].sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
-        yield rows.groupby("query_id").head(count)
+GRAPH = ("nodes", "vectors", "edges", "entries", "owners", "ids")
+
+
+class Graph:
+    """A shard's graph, and the ids of its nodes."""
+
+    def __init__(self, nodes: int, vectors: bytes, edges: bytes, entries: bytes, owners: bytes, ids: bytes, dim: int):
+        self.nodes, self.vectors = nodes, np.frombuffer(vectors, "<f8").reshape(nodes, dim)
+        self.near, self.edges, self.entries = scaled(self.vectors), np.frombuffer(edges, "<i4").reshape(nodes + 1, -1), np.frombuffer(entries, "<i4")
+        self.ids, self.first = np.frombuffer(ids, "<i8"), np.searchsorted(np.frombuffer(owners, "<i4"), np.arange(nodes + 1))
+
+    def found(self, query_ids: np.ndarray, queries: np.ndarray, count: int) -> Iterator[pa.RecordBatch]:
+        """FOUND for some queries: of each the count best, ties with the last one by id."""
+        size = max(1, min(QUERY_BLOCK, SEEN_BITS // self.nodes))
+        for a in range(0, len(queries), size):
+            q = queries[a : a + size]
+            nodes, _ = search(self.near, self.edges, self.entries, (q / np.abs(q).max(1, keepdims=True)).astype(np.float32), max(SEARCH_BEAM, count + 2))
+            score = np.einsum("bd,brd->br", q, self.vectors[np.maximum(nodes, 0)])
+            score[nodes < 0] = -np.inf
+            top = np.argsort(-score, axis=1, kind="stable")[:, : count + 1]
+            line = np.arange(len(q))[:, None]
+            # Ties with the last one stay: their ids decide.
+            limit = score[line, top[:, -1:]]
+            query, place = np.nonzero((score >= limit) & (nodes >= 0))
+            node = nodes[query, place]
+            sizes = self.first[node + 1] - self.first[node]
+            at = np.repeat(self.first[node] - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(sizes.sum())
+            rows = pd.DataFrame({"query_id": np.repeat(query_ids[a : a + size][query], sizes), "vec_id": self.ids[at], "score": np.repeat(score[query, place], sizes)})
+            rows = rows[rows["query_id"] != rows["vec_id"]].sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
+            yield pa.RecordBatch.from_pandas(rows.groupby("query_id").head(count), preserve_index=False)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,8 @@ def _run(spark, rows, count=20, every=20):
 
 
 def test_recall_over_several_shards(spark, monkeypatch):
-    monkeypatch.setattr(neighbours, "SHARD_NODES", 700)
+    monkeypatch.setattr(neighbours, "MOST_NUMBERS", 700 * 32)
+    assert neighbours.shards_of(1700, 32, 4) == 3
     draw = np.random.default_rng(3)
     x = draw.normal(size=(2000, 32)).astype(np.float32) * draw.uniform(0.5, 2, (2000, 1)).astype(np.float32)
     x[100:400] = x[7]  # one vector many times
@@ -46,6 +47,20 @@ def test_small_odd_and_empty_tables(spark):
     assert _run(spark, []) == {}
 
 
+def test_double_precision(spark):
+    base = [[1e300 * (1 + k * 1e-12), 2e280, -3.0] for k in range(30)]
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(base)], "vec_id long, embedding array<double>")
+    graphs, shards = neighbours.index(df)
+    query = spark.createDataFrame([(100, [1.0, 0.0, 0.0]), (101, [0.0, 1e-300, 1.0])], "vec_id long, embedding array<double>")
+    got = neighbours.nearest(query, graphs, shards, 5).orderBy("query_id", "rank").collect()
+    assert [(r.vec_id, r.score) for r in got if r.query_id == 100] == [(29 - k, base[29 - k][0]) for k in range(5)]
+    assert [r.vec_id for r in got if r.query_id == 101] == list(range(5))
+
+
+def test_shards_follow_cores_and_size():
+    assert [neighbours.shards_of(n, 64, 6) for n in (0, 4096, 4097, 10_256, 51_282, 10**6, 75 * 10**6)] == [1, 1, 2, 3, 6, 8, 573]
+
+
 def test_small_graphs_reach_all(spark):
     x = np.random.default_rng(1).normal(size=(60, 8)).astype(np.float32)
     found = _run(spark, [(k, v.tolist(), "") for k, v in enumerate(x)], 100)

@@ -14,7 +14,8 @@ similar enough share a shingle in their prefixes.
 Pairs are verified in two steps, which keeps them few in a large group of near
 copies: first each group with the pivot of each of its prefix shingles (the group in
 which that shingle stands first), then pairs across the components found so far.
-Components need no more links.  In the second step a shingle of more than FEW groups is
+Components need no more links, so of each two the most alike pair is compared first, and the
+others only if they are still apart.  In the second step a shingle of more than FEW groups is
 joined node by node, with components and sketches as part of the join's condition.
 Of two sets the smaller one has their first common shingle in its short prefix (that of
 a partner of its own size), so only short prefixes meet all prefixes: documents that share
@@ -79,8 +80,12 @@ class Rule:
 
     def sketches(self, a: Column, b: Column, na: Column, nb: Column) -> Column:
         """Whether the sketches allow the difference that a link allows."""
-        differing = sum((F.bit_count(a[k].bitwiseXOR(b[k])) for k in range(1, SKETCH_WORDS)), F.bit_count(a[0].bitwiseXOR(b[0])))
-        return differing * (self.share + self.scale) <= (na + nb) * (self.scale - self.share)
+        return differing(a, b) * (self.share + self.scale) <= (na + nb) * (self.scale - self.share)
+
+
+def differing(a: Column, b: Column) -> Column:
+    """The bits in which two sketches differ."""
+    return sum((F.bit_count(a[k].bitwiseXOR(b[k])) for k in range(1, SKETCH_WORDS)), F.bit_count(a[0].bitwiseXOR(b[0])))
 
 
 def shingles(w: Words, i: int, width: int) -> np.ndarray:
@@ -96,6 +101,11 @@ def signature(found: np.ndarray) -> bytes:
     return hashlib.blake2b(found.tobytes(), digest_size=16).digest()
 
 
+def _tag(sig: bytes) -> int:
+    """Half of them, as a signed number."""
+    return int.from_bytes(sig[:8], "little", signed=True)
+
+
 def _lists(parts: list[np.ndarray]) -> pa.Array:
     sizes = np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate([np.empty(0, np.int64), *[p.view(np.int64) for p in parts]])))
@@ -132,7 +142,7 @@ def heavy_shingles(docs: DataFrame, rule: Rule) -> tuple[np.ndarray, np.ndarray]
 
 
 def profiles(docs: DataFrame, rule: Rule, heavy: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """doc_id, key, n (set size), sig, prefix, light (prefix shingles that aren't frequent), prefix_sig and sketch of each row."""
+    """doc_id, key, n (set size), sig, tag (of sig), prefix, light (prefix shingles that aren't frequent), prefix_sig and sketch of each row."""
     key, count = heavy
 
     def make(ids: list[int | None], keys: list[int], sets: list[np.ndarray]) -> list[pa.Array]:
@@ -148,24 +158,29 @@ def profiles(docs: DataFrame, rule: Rule, heavy: tuple[np.ndarray, np.ndarray])
             light.append(int((rank[order] == 0).sum()))
             bits = np.bincount((mix(s ^ np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(64 - SKETCH_BITS.bit_length() + 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
             sketches.append(np.packbits(bits.astype(np.uint8)).view(np.int64))
-        return [pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([signature(s) for s in sets], pa.binary()), _lists(prefixes), pa.array(light, pa.int32()), pa.array([signature(p) for p in prefixes], pa.binary()), _lists(sketches)]
+        sigs = [signature(s) for s in sets]
+        return [pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array(sigs, pa.binary()), pa.array([_tag(x) for x in sigs], pa.int64()), _lists(prefixes), pa.array(light, pa.int32()), pa.array([signature(p) for p in prefixes], pa.binary()), _lists(sketches)]
+
+    return _each(docs, "doc_id long, key long, n int, sig binary, tag long, prefix array<long>, light int, prefix_sig binary, sketch array<long>", rule, make)
 
-    return _each(docs, "doc_id long, key long, n int, sig binary, prefix array<long>, light int, prefix_sig binary, sketch array<long>", rule, make)
 
+#: What names a node's set: the key of its row and the tag of its set.
+NAMES = ("akey", "atag", "bkey", "btag")
 
-def verified(pairs: DataFrame, members: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs (a, b: nodes) whose sets are similar enough, exactly. The sets are made again from the texts of the nodes' own documents."""
-    pairs = settled(pairs.distinct(), "pairs")
-    asked = pairs.select("a").union(pairs.select("b")).distinct().select(F.col("a").alias("sig")).join(members.select("sig", "key"), "sig")
+
+def verified(pairs: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs (a, b: nodes; NAMES) whose sets are similar enough, exactly. The sets are made again from the texts of the nodes' own documents."""
+    pairs = settled(pairs.select("a", "b", *NAMES), "pairs")
+    asked = pairs.select(F.col("akey").alias("key")).union(pairs.select("bkey")).distinct()
 
     def make(ids: list[int | None], keys: list[int], sets: list[np.ndarray]) -> list[pa.Array]:
-        return [pa.array([signature(s) for s in sets], pa.binary()), _lists(sets)]
+        return [pa.array(keys, pa.int64()), pa.array([_tag(signature(s)) for s in sets], pa.int64()), _lists(sets)]
 
-    sets = settled(_each(docs, "sig binary, shingles array<long>", rule, make, Filter(settled(asked, "asked"), "key")), "sets")
-    if not sets.groupBy("sig").count().where("count > 1").isEmpty():  # repeated rows: one of each, or a pair would be compared as often as it stands there
-        sets = settled(sets.dropDuplicates(["sig"]), "sets")
-    left = pairs.join(sets.select(F.col("sig").alias("a"), F.col("shingles").alias("x")), "a")
-    both = left.join(sets.select(F.col("sig").alias("b"), F.col("shingles").alias("y")), "b")
+    sets = settled(_each(docs, "key long, tag long, shingles array<long>", rule, make, Filter(settled(asked, "asked"), "key")), "sets")
+    if not sets.groupBy("key", "tag").count().where("count > 1").isEmpty():  # repeated rows: one of each, or a pair would be compared as often as it stands there
+        sets = settled(sets.dropDuplicates(["key", "tag"]), "sets")
+    left = pairs.join(sets.select(F.col("key").alias("akey"), F.col("tag").alias("atag"), F.col("shingles").alias("x")), ["akey", "atag"])
+    both = left.join(sets.select(F.col("key").alias("bkey"), F.col("tag").alias("btag"), F.col("shingles").alias("y")), ["bkey", "btag"])
     return settled(both.where(rule.overlaps(F.size(F.array_intersect("x", "y")), F.size("x"), F.size("y"))).select("a", "b"), "links")
 
 
@@ -179,42 +194,50 @@ def _named(df: DataFrame, side: str, *names: str) -> DataFrame:
     return df.select(*[F.col(c).alias(f"{side}{c}") for c in names])
 
 
+def _merged(top: DataFrame, links: DataFrame) -> DataFrame:
+    """row and root of all nodes, after links have joined components."""
+    bridges = links.join(_named(top, "a", "row", "root"), F.col("a") == F.col("arow")).join(_named(top, "b", "row", "root"), F.col("b") == F.col("brow")).select(F.col("aroot").alias("a"), F.col("broot").alias("b"))
+    joined = components(bridges).select(F.col("node").alias("root"), F.col("root").alias("upper"))
+    return settled(top.join(joined, "root", "left").select("row", F.coalesce("upper", "root").alias("root")), "roots")
+
+
 def linked(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """doc_id, n_shingles, sig and component_id (smallest doc_id reachable by links) of each row of docs (doc_id, text)."""
     rows = settled(profiles(docs, rule, heavy_shingles(docs, rule)).withColumn("row", F.monotonically_increasing_id()), "profiles")
     nodes = settled(rows.where("n > 0").groupBy("sig", "n", "prefix_sig").agg(F.min("doc_id").alias("doc_id"), F.min("row").alias("row")), "nodes")
     # What is joined is written first: then both sides of a join are plain exchanges, and Spark can split a large key.
-    groups = settled(nodes.groupBy("prefix_sig", "n").agg(F.min("sig").alias("gid")), "groups")
+    groups = settled(nodes.groupBy("prefix_sig", "n").agg(F.min("row").alias("gid")), "groups")
     # Which nodes each group has.
-    members = nodes.join(groups, ["prefix_sig", "n"]).select("sig", "gid", "n", "doc_id", "row")
-    members = settled(members.join(rows.select("row", "key", "sketch"), "row"), "members")
+    members = nodes.join(groups, ["prefix_sig", "n"]).select("gid", "n", "doc_id", "row")
+    members = settled(members.join(rows.select("row", "key", "tag", "sketch"), "row"), "members")
 
     # Prefix shingles that two groups or more share, with the pivot: the group in which the shingle stands first.
-    entries = rows.select("row", "prefix", "light").join(members.where("sig = gid").select("gid", "n", "row"), "row")
+    entries = rows.select("row", "prefix", "light").join(members.where("row = gid").select("gid", "n", "row"), "row")
     entries = entries.select("gid", "n", "light", F.posexplode("prefix").alias("at", "shingle"))
+    entries = entries.withColumn("short", rule.short(F.col("n"), F.col("at")))
     place, over = F.struct("at", "n", "gid"), Window.partitionBy("shingle")
-    light = entries.where("at < light").select("shingle", "gid", "n", "at")
-    light = light.withColumn("groups", F.count("*").over(over)).withColumn("pivot", F.min(place).over(over)).where("groups > 1")
-    heavy = entries.where("at >= light").select("shingle", "gid", "n", "at")
-    pivots = heavy.groupBy("shingle").agg(F.count("*").alias("groups"), F.min(place).alias("pivot")).where("groups > 1")
+    light = entries.where("at < light").select("shingle", "gid", "n", "at", "short")
+    light = light.withColumn("groups", F.count("*").over(over)).withColumn("pivot", F.min(place).over(over)).withColumn("any", F.max("short").over(over)).where("groups > 1 and any").drop("any")
+    heavy = entries.where("at >= light").select("shingle", "gid", "n", "at", "short")
+    pivots = heavy.groupBy("shingle").agg(F.count("*").alias("groups"), F.min(place).alias("pivot"), F.max("short").alias("any")).where("groups > 1 and any").drop("any")
     shared = settled(light.unionByName(heavy.join(pivots, "shingle")), "shared")
 
     # First step: each group with its pivots, and each member of a group with the group's own node.
-    flat = shared.select("gid", "n", "at", F.col("pivot.gid").alias("pgid"), F.col("pivot.n").alias("pn"), F.col("pivot.at").alias("pat")).where("gid != pgid")
-    star = settled(flat.where(_allowed(rule, "", "p")).select("gid", "pgid").distinct(), "star")
-    own = members.select("gid", *[F.col(c).alias(f"b{c}") for c in ("sig", "n", "sketch")])
-    pairs = settled(star.join(own, "gid").unionByName(own.where("bsig != gid").withColumn("pgid", F.col("gid"))), "stars")
-    pairs = pairs.join(_named(members.where("sig = gid"), "a", "sig", "n", "sketch"), F.col("pgid") == F.col("asig"))
-    pairs = pairs.where(rule.sketches(F.col("asketch"), F.col("bsketch"), F.col("an"), F.col("bn"))).select(F.col("asig").alias("a"), F.col("bsig").alias("b"))
-    links = verified(pairs, members, docs, rule)
+    flat = shared.select("gid", "n", "at", "short", F.col("pivot.gid").alias("pgid"), F.col("pivot.n").alias("pn"), F.col("pivot.at").alias("pat")).where("gid != pgid")
+    meets = F.when(F.col("n") < F.col("pn"), F.col("short")).otherwise(rule.short(F.col("pn"), F.col("pat")))
+    star = settled(flat.where(meets & _allowed(rule, "", "p")).select("gid", "pgid").distinct(), "star")
+    own = members.select("gid", *[F.col(c).alias(f"b{c}") for c in ("row", "n", "key", "tag", "sketch")])
+    pairs = star.join(own, "gid").unionByName(own.where("brow != gid").withColumn("pgid", F.col("gid")))
+    pairs = pairs.join(_named(members.where("row = gid"), "a", "row", "n", "key", "tag", "sketch"), F.col("pgid") == F.col("arow"))
+    pairs = pairs.where(rule.sketches(F.col("asketch"), F.col("bsketch"), F.col("an"), F.col("bn")))
+    links = verified(pairs.select(F.col("arow").alias("a"), F.col("brow").alias("b"), *NAMES), docs, rule)
     roots = components(links)
 
     # Second step: what is still apart.
-    state = settled(members.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig")), "state")
-    sides = ("sig", "n", "sketch", "root")
+    state = settled(members.join(roots.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row")), "state")
+    sides = ("row", "n", "key", "tag", "sketch", "root")
     apart = (F.col("xroot") != F.col("yroot")) & rule.sketches(F.col("xsketch"), F.col("ysketch"), F.col("xn"), F.col("yn"))
     first = (F.col("xn") < F.col("yn")) | (F.col("xn") == F.col("yn")) & (F.col("xgid") < F.col("ygid"))
-    shared = shared.withColumn("short", rule.short(F.col("n"), F.col("at")))
     few = shared.where(F.col("groups") <= FEW)
     few = _named(few.where("short"), "x", "shingle", "gid", "n", "at").join(_named(few, "y", "shingle", "gid", "n", "at"), (F.col("xshingle") == F.col("yshingle")) & first & _allowed(rule, "x", "y"))
     few = few.select("xgid", "ygid").distinct()
@@ -230,20 +253,24 @@ def linked(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     several = state.groupBy("gid").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("gid")
     inside = state.join(several, "gid", "left_semi").select(F.xxhash64("gid").alias("shingle"), F.lit(0).alias("at"), F.lit(True).alias("short"), F.array().cast("array<long>").alias("before"), "gid", *sides, F.lit(True).alias("own"))
     many = settled(many.unionByName(inside), "many")
-    order = F.when(F.col("xgid") == F.col("ygid"), F.col("xown") & F.col("yown") & (F.col("xsig") < F.col("ysig"))).otherwise(first & ~F.col("xown") & ~F.col("yown"))
+    order = F.when(F.col("xgid") == F.col("ygid"), F.col("xown") & F.col("yown") & (F.col("xrow") < F.col("yrow"))).otherwise(first & ~F.col("xown") & ~F.col("yown"))
     meet = (F.col("xshingle") == F.col("yshingle")) & order & _allowed(rule, "x", "y") & apart & ~F.arrays_overlap("xbefore", "ybefore")
     both = ("shingle", "at", "before", "own", "gid", *sides)
     many = _named(many.where("short"), "x", *both).join(_named(many, "y", *both), meet)
-    pairs = few.select(F.col("xsig").alias("a"), F.col("ysig").alias("b")).unionByName(many.select(F.col("xsig").alias("a"), F.col("ysig").alias("b")))
-    more = verified(pairs, members, docs, rule)
-    # Links of the second step join components of the first.
-    top = state.select("sig", "root")
-    bridges = more.join(_named(top, "a", "sig", "root"), F.col("a") == F.col("asig")).join(_named(top, "b", "sig", "root"), F.col("b") == F.col("bsig")).select(F.col("aroot").alias("a"), F.col("broot").alias("b"))
-    joined = components(bridges).select(F.col("node").alias("root"), F.col("root").alias("upper"))
-    named = state.select("sig", "doc_id", "root").join(joined, "root", "left").withColumn("root", F.coalesce("upper", "root")).drop("upper")
+    pair = [F.col("xrow").alias("a"), F.col("yrow").alias("b"), *[F.col(f"{x}{c}").alias(f"{y}{c}") for x, y in ("xa", "yb") for c in ("key", "tag")]]
+    pair += [F.least("xroot", "yroot").alias("low"), F.greatest("xroot", "yroot").alias("high"), (differing(F.col("xsketch"), F.col("ysketch")) / (F.col("xn") + F.col("yn"))).alias("unlike")]
+    candidates = settled(few.select(*pair).unionByName(many.select(*pair)).distinct(), "candidates")
+    # Of two components the most alike pair first: it most likely joins them, and then the others needn't be compared.
+    best = candidates.groupBy("low", "high").agg(F.min_by(F.struct("a", "b", *NAMES), "unlike").alias("best")).select("best.*")
+    best = settled(best, "best")
+    top = _merged(state.select("row", "root"), verified(best, docs, rule))
+    rest = candidates.join(best.select("a", "b"), ["a", "b"], "left_anti").join(_named(top, "a", "row", "root"), F.col("a") == F.col("arow")).join(_named(top, "b", "row", "root"), F.col("b") == F.col("brow")).where("aroot != broot")
+    top = _merged(top, verified(rest, docs, rule))
+    named = state.select("row", "doc_id").join(top, "row")
     smallest = settled(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "smallest")
-    named = settled(named.join(smallest, "root").select("sig", "component_id"), "components")
-    return rows.select("doc_id", "n", "sig").join(named, "sig", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "sig", F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = named.join(smallest, "root").select(F.col("row").alias("node"), "component_id")
+    of_sig = settled(nodes.select("sig", F.col("row").alias("node")).join(named, "node").select("sig", "component_id"), "components")
+    return rows.select("doc_id", "n", "sig").join(of_sig, "sig", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "sig", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def representatives(docs: DataFrame, rule: Rule) -> DataFrame:

@@ -12,27 +12,12 @@ from pyspark.sql import types as T
 from ..operators.fingerprint import P61, poly_hash
 
 
-def seq_access(texts: pd.Series, positions: pd.Series) -> pd.Series:
-    return pd.Series([t[int(p)] if t is not None and not pd.isna(p) and 0 <= p < len(t) else None for t, p in zip(texts, positions, strict=True)])
-
-
-def seq_rank(texts: pd.Series, symbols: pd.Series, positions: pd.Series) -> pd.Series:
-    found = [t.count(s, 0, int(p) + 1) if t is not None and s and not pd.isna(p) and 0 <= p < len(t) else None for t, s, p in zip(texts, symbols, positions, strict=True)]
-    return pd.Series(found, dtype="Int64")
-
-
-def _occurrence(text: str, symbol: str, j: int) -> int | None:
-    at = -1
-    for _ in range(j):
-        at = text.find(symbol, at + 1)
-        if at < 0:
-            return None
-    return at if at >= 0 else None
-
-
-def seq_select(texts: pd.Series, symbols: pd.Series, occurrences: pd.Series) -> pd.Series:
-    found = [_occurrence(t, s, int(j)) if t is not None and s and not pd.isna(j) else None for t, s, j in zip(texts, symbols, occurrences, strict=True)]
-    return pd.Series(found, dtype="Int64")
+#: Signature, result and body of the functions that SQL itself can say: they become part of the plan.
+SEQUENCE = (
+    ("seq_access(text STRING, pos BIGINT)", "STRING", "CASE WHEN pos >= 0 AND pos < char_length(text) THEN substring(text, CAST(pos AS INT) + 1, 1) END"),
+    ("seq_rank(text STRING, sym STRING, pos BIGINT)", "BIGINT", "CASE WHEN sym <> '' AND pos >= 0 AND pos < char_length(text) THEN CAST((pos + 1 - char_length(replace(substring(text, 1, CAST(pos AS INT) + 1), sym, ''))) / char_length(sym) AS BIGINT) END"),
+    ("seq_select(text STRING, sym STRING, j BIGINT)", "BIGINT", "CASE WHEN sym <> '' AND j >= 1 AND (char_length(text) - char_length(replace(text, sym, ''))) / char_length(sym) >= j THEN CAST(char_length(substring_index(text, sym, CAST(j AS INT))) AS BIGINT) END"),
+)
 
 
 def poly_hash_61(texts: pd.Series) -> pd.Series:
@@ -49,6 +34,7 @@ class BytesOf:
 
 def register(spark: SparkSession) -> None:
     """Make the functions known to the session's SQL."""
-    for name, function, kind in (("seq_access", seq_access, T.StringType()), ("seq_rank", seq_rank, T.LongType()), ("seq_select", seq_select, T.LongType()), ("poly_hash", poly_hash_61, T.LongType())):
-        spark.udf.register(name, F.pandas_udf(function, kind))
+    for signature, kind, body in SEQUENCE:
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {signature} RETURNS {kind} RETURN {body}")
+    spark.udf.register("poly_hash", F.pandas_udf(poly_hash_61, T.LongType()))
     spark.udtf.register("bytes_of", F.udtf(BytesOf, returnType="pos: bigint, byte: int"))

@@ -88,12 +88,13 @@ def in_degree(blocks: DataFrame) -> DataFrame:
     return touched.groupBy("seq_id", "blk").agg(F.count("*").alias("in_degree"))
 
 
-def invalid_pointers(blocks: DataFrame, sequences: DataFrame, block: int) -> DataFrame:
-    """The back blocks whose source overlaps them or differs in content: none, if all is well."""
-    rows = blocks.where("not is_internal").join(sequences, "seq_id")
+def checked_pointers(blocks: DataFrame, sequences: DataFrame, block: int) -> DataFrame:
+    """(seq_id, checked, invalid): of each sequence's back blocks how many there are, and of how many the source overlaps the block or differs in content."""
+    back = ~F.col("is_internal")
     source = F.col("ptr_blk") * block + F.col("ptr_off")
-    bad = (source + block > F.col("start")) | (_part(source, block) != _part(F.col("start"), block))
-    return rows.where(bad).select("seq_id", "blk", "start", "ptr_blk", "ptr_off")
+    bad = F.coalesce((source + block > F.col("start")) | (_part(source, block) != _part(F.col("start"), block)), F.lit(True))
+    rows = blocks.join(sequences, "seq_id").select("seq_id", back.alias("back"), (back & bad).alias("bad"))
+    return rows.groupBy("seq_id").agg(F.count_if("back").alias("checked"), F.count_if("bad").alias("invalid"))
 
 
 def nearest_start(points: DataFrame, starts: DataFrame) -> DataFrame:

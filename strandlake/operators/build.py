@@ -9,8 +9,8 @@ A level is decided from left to right.  A block may refer back if the pairs that
 forms with its neighbours have occurred before (in two neighbouring blocks of this
 level), and its leftmost copy lies in internal blocks that end before it starts; so
 every reference is one hop.  Pruning then visits blocks from right to left: a
-block with only back blocks below it that nothing refers to becomes a back block itself,
-and its children's references go.
+block with an earlier copy, with only back blocks below it (or none, on the leaves' level) and that nothing refers to
+becomes a back block itself, and its children's references go.
 """
 
 from __future__ import annotations
@@ -142,7 +142,7 @@ def _prune(levels: list[Level]) -> None:
         if below is not None and any(below.internal[c] for c in children):
             continue
         found = level.source[i]
-        if depth + 1 == len(levels) or found is None or level.degree[i]:
+        if found is None or level.degree[i]:
             continue
         k, offset = found
         if not level.internal[k] or offset and not level.internal[k + 1]:

@@ -47,11 +47,11 @@ def answer_rank(queries: DataFrame, sequences: DataFrame) -> DataFrame:
     return queries.join(sequences, "seq_id", "left").select("seq_id", "qid", "sym", "pos", rank(F.col("text"), F.col("sym"), F.col("pos")).alias("rank"))
 
 
-def answer_select(queries: DataFrame, symbols: DataFrame) -> DataFrame:
-    """queries (seq_id, qid, sym, j) with positions from the long form. Symbols that no query asks for are dropped before the window."""
-    asked = queries.select("seq_id", "sym").distinct()
-    found = positions(symbols.join(asked, ["seq_id", "sym"], "left_semi"))
-    return queries.join(found, ["seq_id", "sym", "j"], "left").select("seq_id", "qid", "sym", "j", "pos")
+def answer_select(queries: DataFrame, sequences: DataFrame) -> DataFrame:
+    """queries (seq_id, qid, sym, j) with the position of each occurrence, found in the text without numbering others."""
+    text, symbol, j = F.col("text"), F.col("sym"), F.col("j")
+    pos = F.when((j >= 1) & (count(text, symbol) >= j), F.expr("char_length(substring_index(text, sym, cast(j as int)))").cast("long"))
+    return queries.join(sequences, "seq_id", "left").select("seq_id", "qid", "sym", "j", pos.alias("pos"))
 
 
 def positions(symbols: DataFrame) -> DataFrame:

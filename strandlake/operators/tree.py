@@ -209,6 +209,7 @@ def decoded(blocks: DataFrame, leaves: DataFrame, arity: int) -> DataFrame:
 
 
 def verify(sequences: DataFrame, blocks: DataFrame, leaves: DataFrame, arity: int) -> DataFrame:
-    """The sequences whose tree doesn't spell their text: none, if all is well."""
+    """(seq_id, symbols, ok) of each sequence with a text: its symbols, and whether its tree spells it."""
     spelled = decoded(blocks, leaves, arity).withColumnRenamed("text", "spelled")
-    return sequences.where("text != ''").join(spelled, "seq_id", "left").where(~F.col("text").eqNullSafe(F.col("spelled"))).select("seq_id")
+    rows = sequences.where("text != ''").join(spelled, "seq_id", "left")
+    return rows.select("seq_id", F.char_length("text").cast("long").alias("symbols"), F.col("text").eqNullSafe(F.col("spelled")).alias("ok"))

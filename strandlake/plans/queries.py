@@ -122,7 +122,7 @@ def _select_queries(docs: DataFrame) -> DataFrame:
 @_query("text_select_batch", _SELECTS)
 def text_select_batch(spark: SparkSession, folder: str) -> DataFrame:
     docs = _docs(spark, folder)
-    return _doc(direct.answer_select(_select_queries(docs), tables.symbols(docs)))
+    return _doc(direct.answer_select(_select_queries(docs), docs))
 
 
 @_query("text_positions_of", f"WITH {_CHARS} SELECT doc_id, sym, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS j, pos FROM chars WHERE sym = 'w'")
@@ -315,10 +315,10 @@ def block_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return _doc(found.withColumn("saved", F.col("n_back") * BLOCK))
 
 
-@_query("pointer_check", "SELECT doc_id, 0::BIGINT AS blk, 0::BIGINT AS start, 0::BIGINT AS ptr_blk, 0::BIGINT AS ptr_off FROM documents WHERE false")
+@_query("pointer_check", _LEVELS + "SELECT doc_id, sum(back::INT)::BIGINT AS checked, 0::BIGINT AS invalid FROM l GROUP BY 1")
 def pointer_check(spark: SparkSession, folder: str) -> DataFrame:
     docs = _docs(spark, folder)
-    return _doc(blocks.invalid_pointers(blocks.level_blocks(docs, BLOCK), docs, BLOCK))
+    return _doc(blocks.checked_pointers(blocks.level_blocks(docs, BLOCK), docs, BLOCK))
 
 
 @_query("sym_nearest_block", "WITH e AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos FROM events) SELECT user_id, pos, max(CASE WHEN event_type = 'error' THEN pos END) OVER (PARTITION BY user_id ORDER BY pos) AS start FROM e")
@@ -494,7 +494,7 @@ def tree_bit_select(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("seq_id").alias("user_id"), (F.col("sym") == "1").alias("bit"), "j", "pos")
 
 
-@_query("tree_verify", "SELECT doc_id FROM documents WHERE false")
+@_query("tree_verify", "SELECT doc_id, length(text) AS symbols, true AS ok FROM documents WHERE text <> ''")
 def tree_verify(spark: SparkSession, folder: str) -> DataFrame:
     docs = _docs(spark, folder)
     return _doc(tree.verify(docs, *build.build(docs, TREE), TREE.arity))

@@ -164,6 +164,23 @@ def profiles(docs: DataFrame, rule: Rule, heavy: tuple[np.ndarray, np.ndarray])
     return _each(docs, "doc_id long, key long, n int, sig binary, tag long, prefix array<long>, light int, prefix_sig binary, sketch array<long>", rule, make)
 
 
+def wide_sketch(found: np.ndarray) -> bytes:
+    """A parity sketch of four bits or more a shingle."""
+    width = max(10, (4 * len(found)).bit_length())
+    bits = np.bincount((mix(found ^ np.uint64(0x1F83D9ABFB41BD6B)) >> np.uint64(64 - width)).astype(np.int64), minlength=1 << width) & 1
+    return np.packbits(bits.astype(np.uint8)).tobytes()
+
+
+def unlike(a: bytes, b: bytes) -> int:
+    """In how many shingles two sets differ at least. A wider sketch is folded: neighbouring bits share the place that they have in a narrower one."""
+    x, y = (np.unpackbits(np.frombuffer(w, np.uint8)) for w in (a, b))
+    while len(x) > len(y):
+        x = x[::2] ^ x[1::2]
+    while len(y) > len(x):
+        y = y[::2] ^ y[1::2]
+    return int((x ^ y).sum())
+
+
 #: What names a node's set: the key of its row and the tag of its set.
 NAMES = ("akey", "atag", "bkey", "btag")
 
@@ -174,11 +191,22 @@ def verified(pairs: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
     asked = pairs.select(F.col("akey").alias("key")).union(pairs.select("bkey")).distinct()
 
     def make(ids: list[int | None], keys: list[int], sets: list[np.ndarray]) -> list[pa.Array]:
-        return [pa.array(keys, pa.int64()), pa.array([_tag(signature(s)) for s in sets], pa.int64()), _lists(sets)]
+        return [pa.array(keys, pa.int64()), pa.array([_tag(signature(s)) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([wide_sketch(s) for s in sets], pa.binary()), _lists(sets)]
 
-    sets = settled(_each(docs, "key long, tag long, shingles array<long>", rule, make, Filter(settled(asked, "asked"), "key")), "sets")
+    sets = settled(_each(docs, "key long, tag long, n int, wide binary, shingles array<long>", rule, make, Filter(settled(asked, "asked"), "key")), "sets")
     if not sets.groupBy("key", "tag").count().where("count > 1").isEmpty():  # repeated rows: one of each, or a pair would be compared as often as it stands there
         sets = settled(sets.dropDuplicates(["key", "tag"]), "sets")
+    # Wide sketches first: they are a tenth of the sets, and few pairs of long documents pass them without being similar.
+    sides = [sets.select(F.col("key").alias(f"{x}key"), F.col("tag").alias(f"{x}tag"), F.col("n").alias(f"{x}n"), F.col("wide").alias(f"{x}wide")) for x in "ab"]
+    wide = pairs.join(sides[0], ["akey", "atag"]).join(sides[1], ["bkey", "btag"])
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y, n = batch.column("awide").to_pylist(), batch.column("bwide").to_pylist(), batch.column("an").to_numpy().astype(np.int64) + batch.column("bn").to_numpy()
+            least = np.array([unlike(a, b) for a, b in zip(x, y, strict=True)], np.int64)
+            yield batch.filter(pa.array(least * (rule.share + rule.scale) <= n * (rule.scale - rule.share))).select(["a", "b", *NAMES])
+
+    pairs = settled(batched(wide, alike, "a long, b long, akey long, atag long, bkey long, btag long"), "alike")
     left = pairs.join(sets.select(F.col("key").alias("akey"), F.col("tag").alias("atag"), F.col("shingles").alias("x")), ["akey", "atag"])
     both = left.join(sets.select(F.col("key").alias("bkey"), F.col("tag").alias("btag"), F.col("shingles").alias("y")), ["bkey", "btag"])
     return settled(both.where(rule.overlaps(F.size(F.array_intersect("x", "y")), F.size("x"), F.size("y"))).select("a", "b"), "links")

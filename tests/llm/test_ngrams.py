@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from strandlake.llm import ngrams
@@ -102,6 +103,17 @@ def test_documents_that_only_share_a_passage_do_not_meet(spark, monkeypatch):
     assert all(r.component_id == r.doc_id for r in got) and sum(met) <= 2 * len(rows)
 
 
+def test_wide_sketches_bound_the_difference():
+    draw = np.random.default_rng(4)
+    for n, m, common in ((5, 5, 5), (900, 1000, 850), (4000, 4600, 3900), (3000, 9000, 10), (0, 7, 0)):
+        pool = np.unique(draw.integers(0, 2**63, n + m, dtype=np.uint64))
+        x, y = np.sort(pool[:n]), np.sort(np.concatenate([pool[:common], pool[n : n + m - common]]))
+        real = len(np.setxor1d(x, y))
+        assert ngrams.unlike(ngrams.wide_sketch(x), ngrams.wide_sketch(y)) <= real
+        if 2 * common > n:
+            assert ngrams.unlike(ngrams.wide_sketch(x), ngrams.wide_sketch(y)) >= real * 0.6
+
+
 def test_components(spark):
     draw = random.Random(1)
     edges = [(draw.randrange(60), draw.randrange(60)) for _ in range(40)] + [(k, k + 1) for k in range(100, 140)] + [(7, 7)]

@@ -158,7 +158,39 @@ def per_sequence(sequences: DataFrame, schema: str, make: Callable[[int, str], p
     return spread(sequences.where("text is not null")).mapInPandas(run, schema)
 
 
-def index_arrays(sequences: DataFrame) -> DataFrame:
+def lpf_by_neighbours(order: np.ndarray, lcp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """lpf_array() composed of parts: the nearest ranks on both sides with earlier positions, and the least common prefix on the way to each."""
+    n = len(order)
+    length, source = np.zeros(n, np.int64), np.full(n, -1, np.int64)
+    if not n:
+        return length, source
+    shared = RangeMinimum(lcp)
+    for r, (a, b) in enumerate(zip(*nearest_smaller(order.tolist()), strict=True)):
+        left = int(lcp[shared.query(a + 1, r)]) if a >= 0 else 0
+        right = int(lcp[shared.query(r + 1, b)]) if b >= 0 else 0
+        if max(left, right) > 0:
+            length[order[r]] = max(left, right)
+            source[order[r]] = order[a] if left >= right else order[b]
+    return length, source
+
+
+def lpf_by_stack(order: np.ndarray, lcp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """lpf_array() in one pass over the ranks: waiting positions ascend, each with what it shares with the one beneath; an earlier position settles the later ones above it."""
+    n = len(order)
+    length, source = np.zeros(n, np.int64), np.full(n, -1, np.int64)
+    waiting: list[tuple[int, int]] = []
+    for now, common in [*zip(order.tolist(), lcp.tolist(), strict=True), (-1, 0)]:
+        while waiting and waiting[-1][0] > now:
+            at, beneath = waiting.pop()
+            if max(beneath, common) > 0:
+                length[at] = max(beneath, common)
+                source[at] = waiting[-1][0] if beneath >= common else now
+            common = min(common, beneath)
+        waiting.append((now, common))
+    return length, source
+
+
+def index_arrays(sequences: DataFrame, lpf: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]] = lpf_array) -> DataFrame:
     """(seq_id, pos, rank, lcp, lpf, src): of each position its suffix's rank, the common prefix with the suffix before in order, the longest previous factor and where it is (NULL if none)."""
 
     def make(seq_id: int, text: str) -> pd.DataFrame | None:
@@ -167,7 +199,7 @@ def index_arrays(sequences: DataFrame) -> DataFrame:
         points = code_points(text)
         order, rank = suffix_array(points)
         lcp = lcp_array(points, order, rank)
-        length, source = lpf_array(order, lcp)
+        length, source = lpf(order, lcp)
         return pd.DataFrame({"seq_id": seq_id, "pos": np.arange(len(points)), "rank": rank, "lcp": lcp[rank], "lpf": length, "src": nullable(source)})
 
     return per_sequence(sequences, "seq_id long, pos long, rank long, lcp long, lpf long, src long", make)

@@ -39,6 +39,21 @@ def overwrite(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
     return df.groupBy(key).agg(F.max_by(value, order).alias(value))
 
 
+def upsert(df: DataFrame, key: str, **updates: Column) -> DataFrame:
+    """Upsert with updates of the caller's own: any aggregate, built in or a Pandas one, by the name of its column."""
+    return df.groupBy(key).agg(*[update.alias(name) for name, update in updates.items()])
+
+
+def read_number(content: Column, at: int, width: int, little: bool) -> Column:
+    """width bytes (7 at most) of a binary column from byte ``at`` on as a whole number, lowest byte first or last; NULL beyond the end."""
+    if not 0 < width < 8:
+        raise ValueError("a number has 1 to 7 bytes")
+    digits = F.hex(F.substring(content, at + 1, width))
+    if little:
+        digits = F.concat(*[F.substring(digits, 2 * k + 1, 2) for k in reversed(range(width))])
+    return F.when(F.octet_length(content) >= at + width, F.conv(digits, 16, 10).cast("long"))
+
+
 def loads(df: DataFrame, key: str, shards: int) -> DataFrame:
     """(shard, n_keys, n_rows) of a hash partitioning."""
     return df.groupBy(F.pmod(F.xxhash64(key), F.lit(shards)).alias("shard")).agg(F.countDistinct(key).alias("n_keys"), F.count("*").alias("n_rows"))

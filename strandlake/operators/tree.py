@@ -8,7 +8,7 @@ once for all queries of a sequence.
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -71,6 +71,9 @@ class Tree:
         self.counts: dict[tuple[str, int, int], int] = {}
         self.sums: dict[str, list[int]] = {}
 
+    def occurrences(self, content: str, symbol: str) -> int:
+        return content.count(symbol)
+
     def children(self, level: int, blk: int) -> range:
         rank = self.levels[level][blk][4]
         return range(rank * self.arity, min((rank + 1) * self.arity, len(self.levels[level - 1])))
@@ -85,7 +88,7 @@ class Tree:
                 n = self.whole(symbol, level, k) - self.prefix(symbol, level, k, offset)
                 self.counts[key] = n + (self.prefix(symbol, level, k + 1, offset) if offset else 0)
             elif level == 0:
-                self.counts[key] = self.leaves[rank].count(symbol)
+                self.counts[key] = self.occurrences(self.leaves[rank], symbol)
             else:
                 self.counts[key] = sum(self.whole(symbol, level - 1, c) for c in self.children(level, blk))
         return self.counts[key]
@@ -105,7 +108,7 @@ class Tree:
                     blk, length = k, offset + length
                 continue
             if level == 0:
-                return total + self.leaves[rank][:length].count(symbol)
+                return total + self.occurrences(self.leaves[rank][:length], symbol)
             for c in self.children(level, blk):
                 part = self.levels[level - 1][c][1]
                 if length < part:
@@ -117,6 +120,23 @@ class Tree:
                 return total
         return total
 
+    def access(self, pos: int) -> str:
+        """The symbol at a position of the text."""
+        level, size = self.top, self.levels[self.top][0][1]
+        blk, offset = divmod(pos, size)
+        while True:
+            _, size, internal, pointer, rank = self.levels[level][blk]
+            if not internal:
+                blk, offset = pointer[0], pointer[1] + offset
+                if offset >= size:
+                    blk, offset = blk + 1, offset - size
+            elif level == 0:
+                return self.leaves[rank][offset]
+            else:
+                level -= 1
+                child, offset = divmod(offset, self.levels[level][0][1])
+                blk = rank * self.arity + child
+
     def rank(self, symbol: str, length: int) -> int:
         """How often the symbol occurs in the first length symbols of the text."""
         size = self.levels[self.top][0][1]
@@ -149,7 +169,7 @@ class Tree:
         return blk * size + high - 1
 
 
-def _grouped(queries: DataFrame, blocks: DataFrame, leaves: DataFrame, arity: int, schema: str, answer) -> DataFrame:
+def grouped(queries: DataFrame, blocks: DataFrame, leaves: DataFrame, arity: int, schema: str, answer: Callable[[Tree | None, pd.DataFrame], pd.DataFrame], kind: type[Tree] = Tree) -> DataFrame:
     """answer(tree or None, a sequence's queries) for each sequence with queries."""
     nodes = _with_content(blocks, leaves)
 
@@ -160,7 +180,7 @@ def _grouped(queries: DataFrame, blocks: DataFrame, leaves: DataFrame, arity: in
         tree = None
         if len(right):
             content = right[(right["level"] == 0) & right["is_internal"]]
-            tree = Tree(right, pd.DataFrame({"leaf_blk": content["internal_rank"], "content": content["content"]}), arity)
+            tree = kind(right, pd.DataFrame({"leaf_blk": content["internal_rank"], "content": content["content"]}), arity)
         return answer(tree, left)[names]
 
     return spread(queries).groupBy("seq_id").cogroup(spread(nodes).groupBy("seq_id")).applyInPandas(run, schema)
@@ -173,7 +193,7 @@ def rank(queries: DataFrame, blocks: DataFrame, leaves: DataFrame, arity: int) -
         found = [tree.rank(s, int(p) + 1) if tree else None for s, p in zip(rows["sym"], rows["pos"], strict=True)]
         return rows.assign(rank=pd.array(found, "Int64"))
 
-    return _grouped(queries.select("seq_id", "qid", "sym", "pos"), blocks, leaves, arity, "seq_id long, qid long, sym string, pos long, rank long", answer)
+    return grouped(queries.select("seq_id", "qid", "sym", "pos"), blocks, leaves, arity, "seq_id long, qid long, sym string, pos long, rank long", answer)
 
 
 def select(queries: DataFrame, blocks: DataFrame, leaves: DataFrame, arity: int) -> DataFrame:
@@ -183,7 +203,7 @@ def select(queries: DataFrame, blocks: DataFrame, leaves: DataFrame, arity: int)
         found = [tree.select(s, int(j)) if tree else None for s, j in zip(rows["sym"], rows["j"], strict=True)]
         return rows.assign(pos=pd.array(found, "Int64"))
 
-    return _grouped(queries.select("seq_id", "qid", "sym", "j"), blocks, leaves, arity, "seq_id long, qid long, sym string, j long, pos long", answer)
+    return grouped(queries.select("seq_id", "qid", "sym", "j"), blocks, leaves, arity, "seq_id long, qid long, sym string, j long, pos long", answer)
 
 
 def decoded(blocks: DataFrame, leaves: DataFrame, arity: int) -> DataFrame:
@@ -213,3 +233,26 @@ def verify(sequences: DataFrame, blocks: DataFrame, leaves: DataFrame, arity: in
     spelled = decoded(blocks, leaves, arity).withColumnRenamed("text", "spelled")
     rows = sequences.where("text != ''").join(spelled, "seq_id", "left")
     return rows.select("seq_id", F.char_length("text").cast("long").alias("symbols"), F.col("text").eqNullSafe(F.col("spelled")).alias("ok"))
+
+
+def verify_answers(sequences: DataFrame, blocks: DataFrame, leaves: DataFrame, arity: int) -> DataFrame:
+    """(seq_id, checked, wrong_access, wrong_rank, wrong_select) of each sequence with a text: every position's symbol, that symbol's rank there, and where that occurrence is, asked of the tree."""
+
+    def answer(tree: Tree | None, rows: pd.DataFrame) -> pd.DataFrame:
+        text, wrong, seen = rows["text"].iloc[0], [0, 0, 0], {}
+        for pos, symbol in enumerate(text):
+            seen[symbol] = seen.get(symbol, 0) + 1
+            wrong[0] += tree is None or tree.access(pos) != symbol
+            wrong[1] += tree is None or tree.rank(symbol, pos + 1) != seen[symbol]
+            wrong[2] += tree is None or tree.select(symbol, seen[symbol]) != pos
+        return pd.DataFrame({"seq_id": rows["seq_id"].iloc[:1], "checked": len(text), "wrong_access": wrong[0], "wrong_rank": wrong[1], "wrong_select": wrong[2]})
+
+    return grouped(sequences.where("text != ''").select("seq_id", "text"), blocks, leaves, arity, "seq_id long, checked long, wrong_access long, wrong_rank long, wrong_select long", answer)
+
+
+def leaf_blocks(queries: DataFrame, blocks: DataFrame) -> DataFrame:
+    """queries (seq_id, qid, pos) with blk, the leaf-level block that holds pos, NULL where a block above it refers back (its copy has no blocks below). Blocks start at multiples of their size, so one equi-join replaces the descent."""
+    bottom = blocks.where("level = 0").select("seq_id", "start", "blk", "block_size")
+    size = bottom.groupBy("seq_id").agg(F.max("block_size").alias("size"))
+    asked = queries.join(size, "seq_id", "left").withColumn("start", F.col("pos") - F.col("pos") % F.col("size"))
+    return asked.join(bottom.drop("block_size"), ["seq_id", "start"], "left").select("seq_id", "qid", "pos", "blk")

@@ -5,14 +5,15 @@ Every query runs over whole tables and whole texts.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import registry
-from ..operators import arrays, blocks, build, direct, fingerprint, metrics, rankdir, symbols, tree
-from ..sources import tables
+from ..operators import arrays, bits, blocks, build, direct, fingerprint, metrics, rankdir, symbols, tree
+from ..sources import store, tables
 from ..types import TreeConfig
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -201,6 +202,64 @@ def bits_from_bytes(spark: SparkSession, folder: str) -> DataFrame:
     return tables.bits_from_bytes(parts, "p_partkey", "content").withColumnRenamed("seq_id", "p_partkey")
 
 
+# ---- packed bits
+
+_USER_BITS = "b AS (SELECT user_id, event_type = 'error' AS bit, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos FROM events)"
+_USER_RANKS = _USER_BITS + ", r AS (SELECT user_id, pos, bit, coalesce(sum(bit::INT) OVER (PARTITION BY user_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS rank1 FROM b)"
+SLICE, SAME_BITS = 48, 16
+
+
+def _user_bits(spark: SparkSession, folder: str) -> DataFrame:
+    return _events(spark, folder, F.col("event_type") == "error").withColumnRenamed("sym", "bit")
+
+
+def _each_bit(rows: DataFrame) -> DataFrame:
+    return rows.select("seq_id", F.col("pos").alias("qid"), "pos")
+
+
+@_query("packed_bit_rank", f"WITH {_USER_RANKS} SELECT user_id, pos, bit, rank1, pos - rank1 AS rank0 FROM r")
+def packed_bit_rank(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _user_bits(spark, folder)
+    return bits.ranks(_each_bit(rows), bits.words(rows)).drop("qid").withColumnRenamed("seq_id", "user_id")
+
+
+@_query("packed_bit_select", f"WITH {_USER_BITS}, n AS (SELECT user_id, bit, row_number() OVER (PARTITION BY user_id, bit ORDER BY pos) AS j, pos FROM b), q AS (SELECT user_id, pos + 1 AS j, v AS bit FROM b, (VALUES (true), (false)) t(v)) SELECT q.user_id, q.bit, q.j, n.pos FROM q LEFT JOIN n USING (user_id, bit, j)")
+def packed_bit_select(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _user_bits(spark, folder)
+    packed, asked = bits.words(rows), rows.select("seq_id", F.col("pos").alias("qid"), (F.col("pos") + 1).alias("j"))
+    both = [bits.select(asked, packed, one).withColumn("bit", F.lit(one)) for one in (True, False)]
+    return both[0].unionByName(both[1]).drop("qid").withColumnRenamed("seq_id", "user_id")
+
+
+@_query("packed_bit_slice", f"WITH {_USER_BITS} SELECT a.user_id, a.pos, sum(CASE WHEN b.bit THEN 1::HUGEINT << (b.pos - a.pos)::INT ELSE 0 END)::BIGINT AS slice FROM b a JOIN b ON a.user_id = b.user_id AND b.pos BETWEEN a.pos AND a.pos + {SLICE - 1} GROUP BY 1, 2")
+def packed_bit_slice(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _user_bits(spark, folder)
+    return bits.slices(_each_bit(rows), bits.words(rows), SLICE).drop("qid").withColumnRenamed("seq_id", "user_id")
+
+
+@_query("packed_bit_equality", f"WITH {_USER_BITS}, t AS (SELECT user_id, string_agg(bit::INT::VARCHAR, '' ORDER BY pos) AS s FROM b GROUP BY 1) SELECT b.user_id, 0::BIGINT AS a, pos AS b, pos + {SAME_BITS} <= length(s) AND substr(s, 1, {SAME_BITS}) = substr(s, pos + 1, {SAME_BITS}) AS same FROM b JOIN t ON b.user_id = t.user_id")
+def packed_bit_equality(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _user_bits(spark, folder)
+    pairs = rows.select("seq_id", F.col("pos").alias("qid"), F.lit(0).cast("long").alias("a"), F.col("pos").alias("b"))
+    return bits.same_bits(pairs, bits.words(rows), SAME_BITS).drop("qid").withColumnRenamed("seq_id", "user_id")
+
+
+@_query("packed_bit_space", f"WITH {_USER_BITS} SELECT user_id, count(*) AS bits, sum(bit::INT)::BIGINT AS ones, 16 * ((count(*) + 63) // 64) AS bytes FROM b GROUP BY 1")
+def packed_bit_space(spark: SparkSession, folder: str) -> DataFrame:
+    return bits.space(bits.words(_user_bits(spark, folder))).withColumnRenamed("seq_id", "user_id")
+
+
+@_query("packed_tree_bits", f"WITH {_USER_RANKS}, n AS (SELECT user_id, bit, row_number() OVER (PARTITION BY user_id, bit ORDER BY pos) AS j, pos FROM b) SELECT user_id, 'access' AS op, pos AS arg, bit::BIGINT AS value FROM r UNION ALL SELECT user_id, 'rank1', pos, rank1 FROM r UNION ALL SELECT user_id, 'rank0', pos, pos - rank1 FROM r UNION ALL SELECT b.user_id, CASE WHEN v THEN 'select1' ELSE 'select0' END, b.pos + 1, n.pos FROM b CROSS JOIN (VALUES (true), (false)) t(v) LEFT JOIN n ON n.user_id = b.user_id AND n.bit = v AND n.j = b.pos + 1")
+def packed_tree_bits(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _user_bits(spark, folder)
+    texts = bits.byte_texts(rows)
+    ops = F.explode(F.array(*[F.lit(op) for op in ("access", "rank1", "rank0", "select1", "select0")]))
+    asked = rows.select("seq_id", F.col("pos").alias("qid"), ops.alias("op"), "pos")
+    asked = asked.select("seq_id", "qid", "op", F.when(F.col("op").startswith("select"), F.col("pos") + 1).otherwise(F.col("pos")).alias("arg"))
+    found = bits.tree_answers(asked, texts, *build.build(texts.select("seq_id", "text"), TREE), TREE.arity)
+    return found.select(F.col("seq_id").alias("user_id"), "op", "arg", "value")
+
+
 # ---- categorical sequences
 
 
@@ -362,11 +421,24 @@ def name_suffix_array(spark: SparkSession, folder: str) -> DataFrame:
     return arrays.index_arrays(_names(spark, folder)).select(F.col("seq_id").alias("p_partkey"), "pos", "rank")
 
 
-@_query("name_lpf_array", f"WITH {_SUFFIXES}, k AS (SELECT a.p_partkey, a.i, max({_SHARED.replace('(SELECT coalesce', '(SELECT coalesce')}) AS lpf FROM s a JOIN s b ON a.p_partkey = b.p_partkey AND b.i < a.i GROUP BY 1, 2) SELECT s.p_partkey, s.i AS pos, coalesce(lpf, 0) AS lpf FROM s LEFT JOIN k ON s.p_partkey = k.p_partkey AND s.i = k.i")
+_NAME_LPF = f"WITH {_SUFFIXES}, k AS (SELECT a.p_partkey, a.i, max({_SHARED.replace('(SELECT coalesce', '(SELECT coalesce')}) AS lpf FROM s a JOIN s b ON a.p_partkey = b.p_partkey AND b.i < a.i GROUP BY 1, 2) SELECT s.p_partkey, s.i AS pos, coalesce(lpf, 0) AS lpf FROM s LEFT JOIN k ON s.p_partkey = k.p_partkey AND s.i = k.i"
+
+
+@_query("name_lpf_array", _NAME_LPF)
 def name_lpf_array(spark: SparkSession, folder: str) -> DataFrame:
     return arrays.index_arrays(_names(spark, folder)).select(F.col("seq_id").alias("p_partkey"), "pos", "lpf")
 
 
+@_query("name_lpf_neighbours", _NAME_LPF)
+def name_lpf_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return arrays.index_arrays(_names(spark, folder), arrays.lpf_by_neighbours).select(F.col("seq_id").alias("p_partkey"), "pos", "lpf")
+
+
+@_query("name_lpf_stack", _NAME_LPF)
+def name_lpf_stack(spark: SparkSession, folder: str) -> DataFrame:
+    return arrays.index_arrays(_names(spark, folder), arrays.lpf_by_stack).select(F.col("seq_id").alias("p_partkey"), "pos", "lpf")
+
+
 @_query("lz_factors")
 def lz_factors(spark: SparkSession, folder: str) -> DataFrame:
     return _doc(arrays.lz_factors(_docs(spark, folder)))
@@ -500,6 +572,35 @@ def tree_verify(spark: SparkSession, folder: str) -> DataFrame:
     return _doc(tree.verify(docs, *build.build(docs, TREE), TREE.arity))
 
 
+@_query("tree_verify_answers", "SELECT p_partkey, length(p_name) AS checked, 0::BIGINT AS wrong_access, 0::BIGINT AS wrong_rank, 0::BIGINT AS wrong_select FROM part WHERE p_name <> ''")
+def tree_verify_answers(spark: SparkSession, folder: str) -> DataFrame:
+    names = _names(spark, folder)
+    return tree.verify_answers(names, *build.build(names, TREE), TREE.arity).withColumnRenamed("seq_id", "p_partkey")
+
+
+@_query("tree_saved_access", f"WITH {_POINTS} SELECT doc_id, qid, pos, substr(text, pos + 1, 1) AS sym FROM points")
+def tree_saved_access(spark: SparkSession, folder: str) -> DataFrame:
+    docs, place = _docs(spark, folder), f"{store.shared_folder(spark)}/tree-{uuid.uuid4().hex}"
+    store.save_tree(*build.build(docs, TREE), TREE.arity, place)
+    nodes, leaves, arity, levels = store.load_tree(spark, place)
+    return _doc(tree.access(_points(docs).select("seq_id", "qid", "pos"), nodes, leaves, arity, levels))
+
+
+@_query("tree_leaf_block", "SELECT doc_id, 3::BIGINT AS asked, 0::BIGINT AS wrong FROM documents WHERE text <> ''")
+def tree_leaf_block(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _docs(spark, folder)
+    nodes, _ = build.build(docs, TREE)
+    covered = nodes.where("level = 0").select("seq_id", F.col("blk").alias("leaf"), "start", "block_size")
+    found = tree.leaf_blocks(_points(docs).select("seq_id", "qid", "pos"), nodes)
+    held = found.join(covered, (found["seq_id"] == covered["seq_id"]) & (found["blk"] == covered["leaf"]), "left").select(found["*"], "start", "block_size")
+    backs = nodes.where("level > 0 and not is_internal").select("seq_id", F.col("start").alias("first"), F.col("block_size").alias("size"))
+    above = found.where("blk is null").join(backs.select("seq_id", "size").distinct(), "seq_id").withColumn("first", F.col("pos") - F.col("pos") % F.col("size"))
+    skipped = above.join(backs, ["seq_id", "first", "size"], "left_semi").select("seq_id", "qid").distinct().withColumn("skipped", F.lit(True))
+    right = F.when(F.col("blk").isNull(), F.col("skipped").isNotNull()).otherwise(F.col("pos").between(F.col("start"), F.col("start") + F.col("block_size") - 1))
+    checked = held.join(skipped, ["seq_id", "qid"], "left")
+    return _doc(checked.groupBy("seq_id").agg(F.count("*").alias("asked"), F.sum((~right).cast("long")).alias("wrong")))
+
+
 @_query("tree_decode", "SELECT doc_id, length(text) AS n, md5(text) AS digest FROM documents WHERE text <> ''")
 def tree_decode(spark: SparkSession, folder: str) -> DataFrame:
     spelled = tree.decoded(*build.build(_docs(spark, folder), TREE), TREE.arity)
@@ -535,6 +636,19 @@ def upsert_overwrite(spark: SparkSession, folder: str) -> DataFrame:
     return symbols.overwrite(tables.table(spark, folder, "orders"), "o_custkey", "o_orderkey", "o_orderstatus")
 
 
+@_query("upsert_custom", "SELECT o_custkey, count(*) AS n, bit_xor(o_orderkey) AS mark, arg_max(o_orderstatus, o_orderkey) AS last FROM orders GROUP BY 1")
+def upsert_custom(spark: SparkSession, folder: str) -> DataFrame:
+    orders = tables.table(spark, folder, "orders")
+    return symbols.upsert(orders, "o_custkey", n=F.count("*"), mark=F.bit_xor("o_orderkey"), last=F.max_by("o_orderstatus", "o_orderkey"))
+
+
+@_query("byte_order", "WITH h AS (SELECT p_partkey, hex(encode(p_name)) AS h FROM part WHERE strlen(p_name) >= 4) SELECT p_partkey, ('0x' || substr(h, 1, 8))::BIGINT AS high_first, ('0x' || substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2))::BIGINT AS low_first FROM h")
+def byte_order(spark: SparkSession, folder: str) -> DataFrame:
+    content = F.encode("p_name", "UTF-8")
+    rows = tables.table(spark, folder, "part").select("p_partkey", symbols.read_number(content, 0, 4, False).alias("high_first"), symbols.read_number(content, 0, 4, True).alias("low_first"))
+    return rows.where("low_first is not null")
+
+
 @_query("shard_loads")
 def shard_loads(spark: SparkSession, folder: str) -> DataFrame:
     return symbols.loads(tables.table(spark, folder, "orders"), "o_custkey", 16)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, html, language, neighbours, ngrams, packing, quality, sharding, substrings
+from . import chat, decontamination, html, language, neighbours, ngrams, packing, quality, sharding, sql, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.query,
@@ -21,4 +21,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": quality.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_ngrams": sql.NGRAMS, "op5_chat": sql.CHAT, "op8_substrings": sql.SUBSTRINGS}

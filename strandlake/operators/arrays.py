@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .symbols import bit_width
+
 
 def suffix_array(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(order, rank): suffix starts in order, by prefix doubling; its inverse."""
@@ -251,9 +253,20 @@ def nearest_smaller_values(rows: DataFrame) -> DataFrame:
 
 
 def range_minima(queries: DataFrame, rows: DataFrame) -> DataFrame:
-    """queries (seq_id, qid, i, j) with the minimum of the values at positions i..j and its leftmost position."""
-    inside = (queries["seq_id"] == rows["seq_id"]) & rows["pos"].between(queries["i"], queries["j"])
-    found = queries.join(rows, inside).groupBy(queries["seq_id"], "qid", "i", "j").agg(F.min(F.struct("value", "pos")).alias("m"))
+    """queries (seq_id, qid, i, j) with the minimum of the values at positions i..j and its leftmost position.
+
+    Minima of stretches of 1, 2, 4, ... rows are made by doubling, and a range is two stretches that may overlap: an
+    equi-join, so the work grows with rows times the logarithm of the longest range. Positions have no gaps.
+    """
+    longest = queries.agg(F.max(F.col("j") - F.col("i") + 1)).first()[0] or 1
+    by, levels = Window.partitionBy("seq_id").orderBy("pos"), max(1, int(longest).bit_length())
+    stretches = rows.select("seq_id", "pos", F.struct("value", "pos").alias("m0"))
+    for k in range(1, levels):
+        stretches = stretches.withColumn(f"m{k}", F.least(f"m{k - 1}", F.lead(f"m{k - 1}", 1 << (k - 1)).over(by)))
+    stretches = stretches.select("seq_id", F.col("pos").alias("at"), F.posexplode(F.array(*[f"m{k}" for k in range(levels)])).alias("k", "m"))
+    asked = queries.where("i <= j").select("seq_id", "qid", "i", "j", (bit_width(F.col("j") - F.col("i") + 1) - 1).cast("int").alias("k"))
+    asked = asked.withColumn("at", F.explode(F.array(F.col("i"), F.expr("j - shiftleft(1L, k) + 1"))))
+    found = asked.join(stretches, ["seq_id", "k", "at"]).groupBy("seq_id", "qid", "i", "j").agg(F.min("m").alias("m"))
     return found.select("seq_id", "qid", "i", "j", F.col("m.value").alias("value"), F.col("m.pos").alias("pos"))
 
 

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..types import BLOCKS, LEAVES, TreeConfig
+from . import rankdir
 from .arrays import code_points, lcp_array, lpf_array, lz_phrases, per_sequence, suffix_array
 from .fingerprint import leftmost
 
@@ -250,9 +251,7 @@ def build_relational(sequences: DataFrame, block: int, arity: int, max_leaf: int
         if sizes[-1] % arity:
             raise ValueError("block must be max_leaf times a power of arity")
         sizes.append(sizes[-1] // arity)
-    top = sequences.where("text != ''").withColumn("n", F.char_length("text"))
-    grid = top.select("seq_id", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / block))).alias("k"), F.col("text"), "n")
-    level = grid.select("seq_id", (F.col("k") * block).cast("long").alias("start"), F.expr(f"substring(text, cast(k * {block} + 1 as int), {block})").alias("content"))
+    level = rankdir.blocks(sequences, block).select("seq_id", (F.col("blk") * block).alias("start"), "content")
     out, leaves = [], None
     for depth, size in enumerate(sizes):
         by = Window.partitionBy("seq_id").orderBy("start")

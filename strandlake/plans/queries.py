@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import registry
-from ..operators import arrays, bits, blocks, build, direct, fingerprint, metrics, rankdir, symbols, tree
+from ..operators import arrays, bits, blocks, build, direct, fingerprint, forest, metrics, rankdir, symbols, tree
 from ..sources import store, tables
 from ..types import TreeConfig
 
@@ -581,9 +581,8 @@ def tree_verify_answers(spark: SparkSession, folder: str) -> DataFrame:
 @_query("tree_saved_access", f"WITH {_POINTS} SELECT doc_id, qid, pos, substr(text, pos + 1, 1) AS sym FROM points")
 def tree_saved_access(spark: SparkSession, folder: str) -> DataFrame:
     docs, place = _docs(spark, folder), f"{store.shared_folder(spark)}/tree-{uuid.uuid4().hex}"
-    store.save_tree(*build.build(docs, TREE), TREE.arity, place)
-    nodes, leaves, arity, levels = store.load_tree(spark, place)
-    return _doc(tree.access(_points(docs).select("seq_id", "qid", "pos"), nodes, leaves, arity, levels))
+    store.save_forest(forest.plant(docs, TREE), TREE.arity, place)
+    return _doc(forest.access(_points(docs).select("seq_id", "qid", "pos"), *store.load_forest(spark, place)))
 
 
 @_query("tree_leaf_block", "SELECT doc_id, 3::BIGINT AS asked, 0::BIGINT AS wrong FROM documents WHERE text <> ''")

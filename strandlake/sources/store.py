@@ -31,6 +31,18 @@ def load_tree(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, i
     return blocks, leaves.drop("arity"), first[0] if first else 1, (top if top is not None else -1) + 1
 
 
+def save_forest(packed: DataFrame, arity: int, folder: str) -> None:
+    """Write packed trees (forest.py), a row each, to a new folder."""
+    packed.withColumn("arity", F.lit(arity)).write.parquet(folder)
+
+
+def load_forest(spark: SparkSession, folder: str) -> tuple[DataFrame, int]:
+    """(packed trees, arity)."""
+    found = spark.read.parquet(folder)
+    first = found.select("arity").first()
+    return found.drop("arity"), first[0] if first else 1
+
+
 def save_directory(directory: DataFrame, block: int, folder: str) -> None:
     directory.withColumn("block", F.lit(block)).write.parquet(folder)
 

@@ -575,7 +575,7 @@ def tree_verify(spark: SparkSession, folder: str) -> DataFrame:
 @_query("tree_verify_answers", "SELECT p_partkey, length(p_name) AS checked, 0::BIGINT AS wrong_access, 0::BIGINT AS wrong_rank, 0::BIGINT AS wrong_select FROM part WHERE p_name <> ''")
 def tree_verify_answers(spark: SparkSession, folder: str) -> DataFrame:
     names = _names(spark, folder)
-    return tree.verify_answers(names, *build.build(names, TREE), TREE.arity).withColumnRenamed("seq_id", "p_partkey")
+    return forest.verify_answers(names, forest.plant(names, TREE), TREE.arity).withColumnRenamed("seq_id", "p_partkey")
 
 
 @_query("tree_saved_access", f"WITH {_POINTS} SELECT doc_id, qid, pos, substr(text, pos + 1, 1) AS sym FROM points")

@@ -614,7 +614,7 @@ def tree_levels(spark: SparkSession, folder: str) -> DataFrame:
 @_query("space_usage")
 def space_usage(spark: SparkSession, folder: str) -> DataFrame:
     docs = _docs(spark, folder)
-    return _doc(metrics.compression_ratio(docs, *build.build(docs, TREE)))
+    return _doc(metrics.compression_ratio(docs, forest.space_usage(forest.plant(docs, TREE), TREE.arity)))
 
 
 @_query("build_report")

@@ -602,7 +602,7 @@ def tree_leaf_block(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query("tree_decode", "SELECT doc_id, length(text) AS n, md5(text) AS digest FROM documents WHERE text <> ''")
 def tree_decode(spark: SparkSession, folder: str) -> DataFrame:
-    spelled = tree.decoded(*build.build(_docs(spark, folder), TREE), TREE.arity)
+    spelled = forest.decoded(forest.plant(_docs(spark, folder), TREE), TREE.arity)
     return spelled.select(F.col("seq_id").alias("doc_id"), F.char_length("text").cast("long").alias("n"), F.md5("text").alias("digest"))
 
 

@@ -520,7 +520,7 @@ def tree_relational_access(spark: SparkSession, folder: str) -> DataFrame:
 
 def _tree_rank(spark: SparkSession, folder: str, config: TreeConfig) -> DataFrame:
     docs = _docs(spark, folder)
-    return _doc(tree.rank(_points(docs).select("seq_id", "qid", F.lit("e").alias("sym"), "pos"), *build.build(docs, config), config.arity))
+    return _doc(forest.rank(_points(docs).select("seq_id", "qid", F.lit("e").alias("sym"), "pos"), forest.plant(docs, config), config.arity))
 
 
 @_query("tree_rank", _RANKS)

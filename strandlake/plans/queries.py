@@ -536,7 +536,7 @@ def tree_lpf_rank(spark: SparkSession, folder: str) -> DataFrame:
 @_query("tree_select", _SELECTS)
 def tree_select(spark: SparkSession, folder: str) -> DataFrame:
     docs = _docs(spark, folder)
-    return _doc(tree.select(_select_queries(docs), *build.build(docs, TREE), TREE.arity))
+    return _doc(forest.select(_select_queries(docs), forest.plant(docs, TREE), TREE.arity))
 
 
 def _bit_texts(spark: SparkSession, folder: str) -> DataFrame:

@@ -505,10 +505,7 @@ def select_via_directory(spark: SparkSession, folder: str) -> DataFrame:
 @_query("tree_access", f"WITH {_POINTS} SELECT doc_id, qid, pos, substr(text, pos + 1, 1) AS sym FROM points")
 def tree_access(spark: SparkSession, folder: str) -> DataFrame:
     docs = _docs(spark, folder)
-    nodes, leaves = build.build(docs, TREE)
-    nodes, leaves = nodes.cache(), leaves.cache()
-    levels = nodes.agg(F.max("level")).first()[0]
-    return _doc(tree.access(_points(docs).select("seq_id", "qid", "pos"), nodes, leaves, TREE.arity, (levels or 0) + 1))
+    return _doc(forest.access(_points(docs).select("seq_id", "qid", "pos"), forest.plant(docs, TREE), TREE.arity))
 
 
 @_query("tree_relational_access", f"WITH {_POINTS} SELECT doc_id, qid, pos, substr(text, pos + 1, 1) AS sym FROM points")

@@ -585,16 +585,9 @@ def tree_saved_access(spark: SparkSession, folder: str) -> DataFrame:
 @_query("tree_leaf_block", "SELECT doc_id, 3::BIGINT AS asked, 0::BIGINT AS wrong FROM documents WHERE text <> ''")
 def tree_leaf_block(spark: SparkSession, folder: str) -> DataFrame:
     docs = _docs(spark, folder)
-    nodes, _ = build.build(docs, TREE)
-    covered = nodes.where("level = 0").select("seq_id", F.col("blk").alias("leaf"), "start", "block_size")
-    found = tree.leaf_blocks(_points(docs).select("seq_id", "qid", "pos"), nodes)
-    held = found.join(covered, (found["seq_id"] == covered["seq_id"]) & (found["blk"] == covered["leaf"]), "left").select(found["*"], "start", "block_size")
-    backs = nodes.where("level > 0 and not is_internal").select("seq_id", F.col("start").alias("first"), F.col("block_size").alias("size"))
-    above = found.where("blk is null").join(backs.select("seq_id", "size").distinct(), "seq_id").withColumn("first", F.col("pos") - F.col("pos") % F.col("size"))
-    skipped = above.join(backs, ["seq_id", "first", "size"], "left_semi").select("seq_id", "qid").distinct().withColumn("skipped", F.lit(True))
-    right = F.when(F.col("blk").isNull(), F.col("skipped").isNotNull()).otherwise(F.col("pos").between(F.col("start"), F.col("start") + F.col("block_size") - 1))
-    checked = held.join(skipped, ["seq_id", "qid"], "left")
-    return _doc(checked.groupBy("seq_id").agg(F.count("*").alias("asked"), F.sum((~right).cast("long")).alias("wrong")))
+    found = forest.leaf_blocks(_points(docs).select("seq_id", "qid", "pos"), forest.plant(docs, TREE), TREE.arity)
+    right = F.when(F.col("blk").isNull(), F.col("skipped")).otherwise(~F.col("skipped") & F.col("pos").between(F.col("start"), F.col("start") + F.col("block_size") - 1))
+    return _doc(found.groupBy("seq_id").agg(F.count("*").alias("asked"), F.sum((~right).cast("long")).alias("wrong")))
 
 
 @_query("tree_decode", "SELECT doc_id, length(text) AS n, md5(text) AS digest FROM documents WHERE text <> ''")

@@ -566,7 +566,7 @@ def tree_bit_select(spark: SparkSession, folder: str) -> DataFrame:
 @_query("tree_verify", "SELECT doc_id, length(text) AS symbols, true AS ok FROM documents WHERE text <> ''")
 def tree_verify(spark: SparkSession, folder: str) -> DataFrame:
     docs = _docs(spark, folder)
-    return _doc(tree.verify(docs, *build.build(docs, TREE), TREE.arity))
+    return _doc(forest.verify(docs, forest.plant(docs, TREE), TREE.arity))
 
 
 @_query("tree_verify_answers", "SELECT p_partkey, length(p_name) AS checked, 0::BIGINT AS wrong_access, 0::BIGINT AS wrong_rank, 0::BIGINT AS wrong_select FROM part WHERE p_name <> ''")

@@ -16,7 +16,7 @@ copies: first each group with the pivot of each of its prefix shingles (the grou
 which that shingle stands first), then pairs across the components found so far.
 Components need no more links, so of each two the most alike pair is compared first, and the
 others only if they are still apart.  In the second step a shingle of more than FEW groups is
-joined node by node, with components and sketches as part of the join's condition.
+compared node by node, in cells of bounded size, by components and sketches before anything is emitted.
 Of two sets the smaller one has their first common shingle in its short prefix (that of
 a partner of its own size), so only short prefixes meet all prefixes: documents that share
 a frequent passage and are too different to be linked over it don't meet at all, as
@@ -51,6 +51,8 @@ from .components import components
 
 HEAVY_COUNT, MAX_HEAVY = 32, 1 << 17
 FEW, HEADS = 64, 16
+#: Nodes of one chunk of a shingle of many groups, compared with another chunk at once.
+CELL = 8192
 SKETCH_WORDS = 16
 SKETCH_BITS = 64 * SKETCH_WORDS
 
@@ -218,6 +220,63 @@ def _allowed(rule: Rule, a: str, b: str) -> Column:
     return rule.sizes(na, nb) & rule.overlaps(F.least(na - F.col(f"{a}at"), nb - F.col(f"{b}at")), na, nb)
 
 
+def _met(x: dict[str, np.ndarray], y: dict[str, np.ndarray], rule: Rule) -> np.ndarray:
+    """Which of each x with each y are still apart, in order, and allowed a link by sizes, positions and sketches."""
+    x, both = {c: v[:, None] for c, v in x.items() if c != "sketch"} | {"sketch": x["sketch"]}, rule.share + rule.scale
+    total = x["n"] + y["n"]
+    met = (x["root"] != y["root"]) & (np.minimum(x["n"], y["n"]) * rule.scale >= np.maximum(x["n"], y["n"]) * rule.share)
+    met &= np.minimum(x["n"] - x["at"], y["n"] - y["at"]) * both >= total * rule.share
+    inside, first = x["own"] & y["own"] & (x["row"] < y["row"]), (x["n"] < y["n"]) | (x["n"] == y["n"]) & (x["gid"] < y["gid"])
+    met &= np.where(x["gid"] == y["gid"], inside, first & ~x["own"] & ~y["own"])
+    i, j = np.nonzero(met)
+    if 4 * len(i) < met.size:
+        unlike = np.empty(len(i), np.int64)
+        for low in range(0, len(i), 1 << 16):
+            part = slice(low, low + (1 << 16))
+            unlike[part] = np.bitwise_count(x["sketch"][i[part]] ^ y["sketch"][j[part]]).sum(axis=1)
+    else:
+        bits = np.zeros(met.shape, np.uint16)
+        for k in range(SKETCH_WORDS):
+            bits += np.bitwise_count(x["sketch"][:, k, None] ^ y["sketch"][None, :, k])
+        unlike = bits[i, j].astype(np.int64)
+    kept = unlike * both <= total[i, j] * (rule.scale - rule.share)
+    return np.stack([i[kept], j[kept], unlike[kept]])
+
+
+def crossed(many: DataFrame, rule: Rule) -> DataFrame:
+    """Candidates among the nodes that meet at a shingle. A shingle's nodes are dealt into chunks of about CELL, and each pair of
+    chunks is one group of rows, compared in arrays: a pair costs some 50 ns, where the same test in a join's condition took 6 µs."""
+    chunks = many.groupBy("shingle").agg(F.ceil(F.count("*") / CELL).cast("int").alias("chunks"))
+    rows = many.join(chunks, "shingle").withColumn("chunk", F.pmod(F.xxhash64("row"), F.col("chunks")).cast("int"))
+    rows = rows.withColumn("cell", F.explode(F.expr("concat(transform(sequence(0, chunks - 1), k -> struct(chunk as i, k as j)), transform(filter(sequence(0, chunks - 1), k -> k != chunk), k -> struct(k as i, chunk as j)))")))
+    rows = rows.withColumn("isx", F.col("short") & (F.col("cell.i") == F.col("chunk"))).withColumn("isy", F.col("cell.j") == F.col("chunk")).where("isx or isy")
+    numbers = ("row", "n", "at", "gid", "root", "key", "tag", "own")
+    names = ["a", "b", *NAMES, "low", "high", "unlike"]
+
+    def run(cell: pa.Table) -> pa.Table:
+        held = {c: cell.column(c).to_numpy() for c in (*numbers, "isx", "isy")}
+        held = {c: v if v.dtype == bool else v.astype(np.int64) for c, v in held.items()}
+        held["sketch"] = cell.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, SKETCH_WORDS)
+        xs, ys = np.flatnonzero(held["isx"]), np.flatnonzero(held["isy"])
+        y, found = {c: v[ys] for c, v in held.items()}, [np.empty((3, 0), np.int64)]
+        step = max(1, (1 << 18) // max(1, len(ys)))
+        for low in range(0, len(xs), step):
+            i, j, unlike = _met({c: v[xs[low : low + step]] for c, v in held.items()}, y, rule)
+            found.append(np.stack([xs[low + i], ys[j], unlike]))
+        i, j, unlike = np.concatenate(found, axis=1)
+        if len(i):  # a pair meets at its first common shingle only, as far as the heads tell
+            used, place = np.unique(np.concatenate([i, j]), return_inverse=True)
+            before = [set(b) for b in cell.column("before").take(pa.array(used)).to_pylist()]
+            new = np.array([before[p].isdisjoint(before[q]) for p, q in zip(place[: len(i)].tolist(), place[len(i) :].tolist(), strict=True)], bool)
+            i, j, unlike = i[new], j[new], unlike[new]
+        roots = held["root"][i], held["root"][j]
+        columns = [held["row"][i], held["row"][j], *(held[c][k] for k in (i, j) for c in ("key", "tag")), np.minimum(*roots), np.maximum(*roots), unlike / np.maximum(1, held["n"][i] + held["n"][j])]
+        return pa.table(dict(zip(names, map(pa.array, columns), strict=True)))
+
+    rows = rows.select("shingle", "cell.i", "cell.j", *numbers, "isx", "isy", "before", "sketch")
+    return rows.groupBy("shingle", "i", "j").applyInArrow(run, ", ".join(f"{c} {'double' if c == 'unlike' else 'long'}" for c in names))
+
+
 def _named(df: DataFrame, side: str, *names: str) -> DataFrame:
     return df.select(*[F.col(c).alias(f"{side}{c}") for c in names])
 
@@ -281,13 +340,9 @@ def linked(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     several = state.groupBy("gid").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("gid")
     inside = state.join(several, "gid", "left_semi").select(F.xxhash64("gid").alias("shingle"), F.lit(0).alias("at"), F.lit(True).alias("short"), F.array().cast("array<long>").alias("before"), "gid", *sides, F.lit(True).alias("own"))
     many = settled(many.unionByName(inside), "many")
-    order = F.when(F.col("xgid") == F.col("ygid"), F.col("xown") & F.col("yown") & (F.col("xrow") < F.col("yrow"))).otherwise(first & ~F.col("xown") & ~F.col("yown"))
-    meet = (F.col("xshingle") == F.col("yshingle")) & order & _allowed(rule, "x", "y") & apart & ~F.arrays_overlap("xbefore", "ybefore")
-    both = ("shingle", "at", "before", "own", "gid", *sides)
-    many = _named(many.where("short"), "x", *both).join(_named(many, "y", *both), meet)
     pair = [F.col("xrow").alias("a"), F.col("yrow").alias("b"), *[F.col(f"{x}{c}").alias(f"{y}{c}") for x, y in ("xa", "yb") for c in ("key", "tag")]]
     pair += [F.least("xroot", "yroot").alias("low"), F.greatest("xroot", "yroot").alias("high"), (differing(F.col("xsketch"), F.col("ysketch")) / (F.col("xn") + F.col("yn"))).alias("unlike")]
-    candidates = settled(few.select(*pair).unionByName(many.select(*pair)).distinct(), "candidates")
+    candidates = settled(few.select(*pair).unionByName(crossed(many, rule)).distinct(), "candidates")
     # Of two components the most alike pair first: it most likely joins them, and then the others needn't be compared.
     best = candidates.groupBy("low", "high").agg(F.min_by(F.struct("a", "b", *NAMES), "unlike").alias("best")).select("best.*")
     best = settled(best, "best")

@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import numpy as np
@@ -125,3 +126,28 @@ def test_components(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {n: r for n, r in root.items() if n != r}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_cells_hold_each_pair_that_may_be_linked(spark, monkeypatch):
+    """Nodes that meet at one shingle, dealt into many cells: each pair that is apart and allowed comes once, as one of another."""
+    draw = random.Random(11)
+    base = [draw.getrandbits(64) for _ in range(ngrams.SKETCH_WORDS)]
+    rows = []
+    for k in range(60):
+        words = list(base)
+        for _ in range(draw.randrange(12)):
+            words[draw.randrange(len(words))] ^= 1 << draw.randrange(64)
+        n = draw.randrange(95, 106)
+        rows.append((7 if k else 8, draw.randrange(12), draw.random() < 0.7, [draw.randrange(40)], k // 2, k, n, k, -k, [w - (1 << 64) if w >> 63 else w for w in words], draw.randrange(40), False))
+    schema = "shingle long, at int, short boolean, before array<long>, gid long, row long, n int, key long, tag long, sketch array<long>, root long, own boolean"
+    want = set()
+    for (s, at, short, before, gid, row, n, *_, sketch, root, _), (s2, at2, _, before2, gid2, row2, n2, *_, sketch2, root2, _) in itertools.product(rows, repeat=2):
+        unlike = sum((a ^ b).bit_count() if a ^ b >= 0 else 64 - (~(a ^ b)).bit_count() for a, b in zip(sketch, sketch2, strict=True))
+        fits = min(n, n2) * 100 >= 85 * max(n, n2) and min(n - at, n2 - at2) * 185 >= (n + n2) * 85 and unlike * 185 <= (n + n2) * 15
+        if s == s2 and short and root != root2 and gid != gid2 and (n, gid) < (n2, gid2) and fits and not set(before) & set(before2):
+            want.add((row, row2, row, -row, row2, -row2, min(root, root2), max(root, root2), unlike / (n + n2)))
+    assert want
+    for cell in (7, 1000):
+        monkeypatch.setattr(ngrams, "CELL", cell)
+        found = ngrams.crossed(spark.createDataFrame(rows, schema), ngrams.Rule()).collect()
+        assert len(found) == len(want) and {tuple(r) for r in found} == want

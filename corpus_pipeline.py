@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from strandlake.llm import decontamination, ngrams, packing, quality, substrings
-from strandlake.llm._work import settled, table
+from strandlake.llm._work import discarded, settled, table
 
 NEAR = ngrams.Rule(width=5, share=80, scale=100)
 
@@ -50,7 +50,10 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = settled(stage(spark, docs, sf_dir), name)
+        if last is not None:
+            discarded(last)
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)

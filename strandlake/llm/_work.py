@@ -41,7 +41,16 @@ def settled(df: DataFrame, label: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = f"{work_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled_at = path
+    return out
+
+
+def discarded(*tables: DataFrame) -> None:
+    """Deletes the files of tables that settled() gave. Only for what nothing reads any more: whatever was made from them has itself been written."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._settled_at)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def crc_mod(column: Column, modulus: int) -> Column:

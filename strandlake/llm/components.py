@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._work import settled
+from ._work import discarded, settled
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -29,4 +29,5 @@ def components(edges: DataFrame) -> DataFrame:
         if now == before or not now[0]:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
         before = now
-        edges = settled(_small(_large(edges)), "edges")
+        last, edges = edges, settled(_small(_large(edges)), "edges")
+        discarded(last)

@@ -46,7 +46,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._words import Words, mix, sliced, spans_hash, windows, words_of
-from ._work import Filter, batched, settled, table
+from ._work import Filter, batched, discarded, settled, table
 from .components import components
 
 HEAVY_COUNT, MAX_HEAVY = 32, 1 << 17
@@ -190,14 +190,15 @@ NAMES = ("akey", "atag", "bkey", "btag")
 def verified(pairs: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
     """The pairs (a, b: nodes; NAMES) whose sets are similar enough, exactly. The sets are made again from the texts of the nodes' own documents."""
     pairs = settled(pairs.select("a", "b", *NAMES), "pairs")
-    asked = pairs.select(F.col("akey").alias("key")).union(pairs.select("bkey")).distinct()
+    asked = settled(pairs.select(F.col("akey").alias("key")).union(pairs.select("bkey")).distinct(), "asked")
 
     def make(ids: list[int | None], keys: list[int], sets: list[np.ndarray]) -> list[pa.Array]:
         return [pa.array(keys, pa.int64()), pa.array([_tag(signature(s)) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([wide_sketch(s) for s in sets], pa.binary()), _lists(sets)]
 
-    sets = settled(_each(docs, "key long, tag long, n int, wide binary, shingles array<long>", rule, make, Filter(settled(asked, "asked"), "key")), "sets")
+    sets = settled(_each(docs, "key long, tag long, n int, wide binary, shingles array<long>", rule, make, Filter(asked, "key")), "sets")
     if not sets.groupBy("key", "tag").count().where("count > 1").isEmpty():  # repeated rows: one of each, or a pair would be compared as often as it stands there
-        sets = settled(sets.dropDuplicates(["key", "tag"]), "sets")
+        every, sets = sets, settled(sets.dropDuplicates(["key", "tag"]), "sets")
+        discarded(every)
     # Wide sketches first: they are a tenth of the sets, and few pairs of long documents pass them without being similar.
     sides = [sets.select(F.col("key").alias(f"{x}key"), F.col("tag").alias(f"{x}tag"), F.col("n").alias(f"{x}n"), F.col("wide").alias(f"{x}wide")) for x in "ab"]
     wide = pairs.join(sides[0], ["akey", "atag"]).join(sides[1], ["bkey", "btag"])
@@ -208,10 +209,12 @@ def verified(pairs: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
             least = np.array([unlike(a, b) for a, b in zip(x, y, strict=True)], np.int64)
             yield batch.filter(pa.array(least * (rule.share + rule.scale) <= n * (rule.scale - rule.share))).select(["a", "b", *NAMES])
 
-    pairs = settled(batched(wide, alike, "a long, b long, akey long, atag long, bkey long, btag long"), "alike")
-    left = pairs.join(sets.select(F.col("key").alias("akey"), F.col("tag").alias("atag"), F.col("shingles").alias("x")), ["akey", "atag"])
+    close = settled(batched(wide, alike, "a long, b long, akey long, atag long, bkey long, btag long"), "alike")
+    left = close.join(sets.select(F.col("key").alias("akey"), F.col("tag").alias("atag"), F.col("shingles").alias("x")), ["akey", "atag"])
     both = left.join(sets.select(F.col("key").alias("bkey"), F.col("tag").alias("btag"), F.col("shingles").alias("y")), ["bkey", "btag"])
-    return settled(both.where(rule.overlaps(F.size(F.array_intersect("x", "y")), F.size("x"), F.size("y"))).select("a", "b"), "links")
+    links = settled(both.where(rule.overlaps(F.size(F.array_intersect("x", "y")), F.size("x"), F.size("y"))).select("a", "b"), "links")
+    discarded(pairs, asked, sets, close)
+    return links
 
 
 def _allowed(rule: Rule, a: str, b: str) -> Column:
@@ -282,10 +285,12 @@ def _named(df: DataFrame, side: str, *names: str) -> DataFrame:
 
 
 def _merged(top: DataFrame, links: DataFrame) -> DataFrame:
-    """row and root of all nodes, after links have joined components."""
+    """row and root of all nodes, after links (a settled table, gone afterwards) have joined components."""
     bridges = links.join(_named(top, "a", "row", "root"), F.col("a") == F.col("arow")).join(_named(top, "b", "row", "root"), F.col("b") == F.col("brow")).select(F.col("aroot").alias("a"), F.col("broot").alias("b"))
     joined = components(bridges).select(F.col("node").alias("root"), F.col("root").alias("upper"))
-    return settled(top.join(joined, "root", "left").select("row", F.coalesce("upper", "root").alias("root")), "roots")
+    merged = settled(top.join(joined, "root", "left").select("row", F.coalesce("upper", "root").alias("root")), "roots")
+    discarded(links)
+    return merged
 
 
 def linked(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
@@ -297,6 +302,7 @@ def linked(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     # Which nodes each group has.
     members = nodes.join(groups, ["prefix_sig", "n"]).select("gid", "n", "doc_id", "row")
     members = settled(members.join(rows.select("row", "key", "tag", "sketch"), "row"), "members")
+    discarded(groups)
 
     # Prefix shingles that two groups or more share, with the pivot: the group in which the shingle stands first.
     entries = rows.select("row", "prefix", "light").join(members.where("row = gid").select("gid", "n", "row"), "row")
@@ -308,6 +314,8 @@ def linked(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     heavy = entries.where("at >= light").select("shingle", "gid", "n", "at", "short")
     pivots = heavy.groupBy("shingle").agg(F.count("*").alias("groups"), F.min(place).alias("pivot"), F.max("short").alias("any")).where("groups > 1 and any").drop("any")
     shared = settled(light.unionByName(heavy.join(pivots, "shingle")), "shared")
+    named_rows = settled(rows.select("doc_id", "n", "sig"), "rows")
+    discarded(rows)
 
     # First step: each group with its pivots, and each member of a group with the group's own node.
     flat = shared.select("gid", "n", "at", "short", F.col("pivot.gid").alias("pgid"), F.col("pivot.n").alias("pn"), F.col("pivot.at").alias("pat")).where("gid != pgid")
@@ -319,9 +327,11 @@ def linked(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     pairs = pairs.where(rule.sketches(F.col("asketch"), F.col("bsketch"), F.col("an"), F.col("bn")))
     links = verified(pairs.select(F.col("arow").alias("a"), F.col("brow").alias("b"), *NAMES), docs, rule)
     roots = components(links)
+    discarded(star, links)
 
     # Second step: what is still apart.
     state = settled(members.join(roots.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row")), "state")
+    discarded(members)
     sides = ("row", "n", "key", "tag", "sketch", "root")
     apart = (F.col("xroot") != F.col("yroot")) & rule.sketches(F.col("xsketch"), F.col("ysketch"), F.col("xn"), F.col("yn"))
     first = (F.col("xn") < F.col("yn")) | (F.col("xn") == F.col("yn")) & (F.col("xgid") < F.col("ygid"))
@@ -343,17 +353,20 @@ def linked(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     pair = [F.col("xrow").alias("a"), F.col("yrow").alias("b"), *[F.col(f"{x}{c}").alias(f"{y}{c}") for x, y in ("xa", "yb") for c in ("key", "tag")]]
     pair += [F.least("xroot", "yroot").alias("low"), F.greatest("xroot", "yroot").alias("high"), (differing(F.col("xsketch"), F.col("ysketch")) / (F.col("xn") + F.col("yn"))).alias("unlike")]
     candidates = settled(few.select(*pair).unionByName(crossed(many, rule)).distinct(), "candidates")
+    discarded(shared, many)
     # Of two components the most alike pair first: it most likely joins them, and then the others needn't be compared.
     best = candidates.groupBy("low", "high").agg(F.min_by(F.struct("a", "b", *NAMES), "unlike").alias("best")).select("best.*")
     best = settled(best, "best")
     top = _merged(state.select("row", "root"), verified(best, docs, rule))
     rest = candidates.join(best.select("a", "b"), ["a", "b"], "left_anti").join(_named(top, "a", "row", "root"), F.col("a") == F.col("arow")).join(_named(top, "b", "row", "root"), F.col("b") == F.col("brow")).where("aroot != broot")
-    top = _merged(top, verified(rest, docs, rule))
+    between, top = top, _merged(top, verified(rest, docs, rule))
+    discarded(candidates, best, between)
     named = state.select("row", "doc_id").join(top, "row")
     smallest = settled(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "smallest")
     named = named.join(smallest, "root").select(F.col("row").alias("node"), "component_id")
     of_sig = settled(nodes.select("sig", F.col("row").alias("node")).join(named, "node").select("sig", "component_id"), "components")
-    return rows.select("doc_id", "n", "sig").join(of_sig, "sig", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "sig", F.coalesce("component_id", "doc_id").alias("component_id"))
+    discarded(nodes, state, top, smallest)
+    return named_rows.join(of_sig, "sig", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "sig", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def representatives(docs: DataFrame, rule: Rule) -> DataFrame:

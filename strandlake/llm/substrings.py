@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._words import sliced, windows, words_of
-from ._work import among, as_row, batched, from_row, settled, table, with_row
+from ._work import among, as_row, batched, discarded, from_row, settled, table, with_row
 from .recompression import anchors
 
 WIDTH = 50
@@ -102,24 +102,28 @@ def _matching(texts: DataFrame, width: int) -> DataFrame:
 
 
 def repeats(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(profile of each row with copy_of, the doc_id of the smallest document with the same words; repeated windows: doc_id, sig, starts; texts that hold them: doc_id, sig, text).
+    """(profile of each row with copy_of, the doc_id of the smallest document with the same words; repeated windows: doc_id, sig, starts; texts that may hold them: doc_id, sig, text).
 
     Only rows that aren't copies of a smaller document have repeated windows here; copies go whole if they have width words.
     """
     profile = settled(profiles(docs, width), "profiles")
     # What is joined is written first: then both sides of a join are plain exchanges, and Spark can split a large key.
     first = settled(profile.where(F.col("n_words") >= width).groupBy("sha").agg(F.min("doc_id").alias("copy_of")), "first")
-    rows = profile.join(first, "sha", "left")
+    rows = settled(profile.drop("anchors"), "rows").join(first, "sha", "left")
     shared = profile.select("sig", F.explode("anchors").alias("anchor")).groupBy("anchor").agg(F.min("sig").alias("a"), F.max("sig").alias("b")).where("a != b").select("anchor")
     shared = settled(shared, "anchors")
-    own = rows.where("copy_of = doc_id").select("doc_id", "sig", F.explode("anchors").alias("anchor")).join(shared, "anchor")
+    own = profile.join(first, "sha").where("copy_of = doc_id").select("doc_id", "sig", F.explode("anchors").alias("anchor")).join(shared, "anchor")
     own = settled(own.groupBy("doc_id", "sig").agg(F.collect_set("anchor").alias("shared")), "shared")
+    discarded(profile, shared)
     texts = settled(among(docs, own).join(own, "doc_id"), "texts")
+    discarded(own)
     found = settled(_matching(texts, width), "windows")
     least = found.groupBy("hash", "second").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
     least = settled(least, "least")
     starts = found.join(least, ["hash", "second"]).where("least < doc_id").groupBy("doc_id", "sig").agg(F.sort_array(F.collect_set("start")).alias("starts"))
-    return rows.drop("anchors"), settled(starts, "starts"), texts.select("doc_id", "sig", "text")
+    starts = settled(starts, "starts")
+    discarded(found, least)
+    return rows, starts, texts
 
 
 def kept_words(n: int, starts: np.ndarray, width: int) -> np.ndarray:
@@ -156,10 +160,11 @@ def digests(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
 def deduplicated(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """docs (doc_id, text and other columns) without the repeated words; n_chars, if there, follows; a text that loses all its words goes with its row."""
-    rows, starts, _ = repeats(docs, width)
+    rows, starts, texts = repeats(docs, width)
+    discarded(texts)
     copies = rows.where((F.col("n_words") >= width) & (F.col("copy_of") < F.col("doc_id"))).select("doc_id", "sig", F.lit(None).cast("array<int>").alias("starts")).distinct()
     decisions = copies.unionByName(starts).groupBy("doc_id").agg(F.collect_list(F.struct("sig", "starts")).alias("found"))
-    packed = docs.select(as_row(docs), F.col("text").alias("text"), F.col("doc_id").cast("long").alias("doc_id")).join(decisions, "doc_id", "left").select("row", "text", "found")
+    packed = docs.select(as_row(docs), F.col("doc_id").cast("long").alias("doc_id")).join(decisions, "doc_id", "left").select("row", F.col("row").getField("text").alias("text"), "found")
     schema = with_row(packed, "text string, found boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

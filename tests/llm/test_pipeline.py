@@ -1,7 +1,9 @@
+import os
 import random
 
 import corpus_pipeline
-from strandlake.llm._work import settled
+from strandlake.llm import ngrams, substrings
+from strandlake.llm._work import settled, work_folder
 
 
 def _prose(draw, n):
@@ -39,3 +41,16 @@ def test_planted_cases(spark, tmp_path):
     assert ids["packing"] == ids["decontamination"]
     rows = corpus_pipeline.run(spark, folder).collect()
     assert sorted((r.doc_id, r.start, r.length, r.ids_crc32) for r in rows) == sorted((r.doc_id, r.start, r.length, r.ids_crc32) for r in seen["packing"].collect())
+
+
+def test_scratch_tables_go_once_nothing_reads_them(spark):
+    draw = random.Random(9)
+    passage, texts = _prose(draw, 80), [_prose(draw, 100) for _ in range(12)]
+    texts += [texts[0], texts[1] + " tail", texts[2] + "\n" + passage, texts[3] + "\n" + passage]
+    docs = settled(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "given")
+    for make, left in ((lambda: substrings.deduplicated(docs), {"rows", "first", "starts"}), (lambda: ngrams.representatives(docs, corpus_pipeline.NEAR), {"rows", "components", "edges"})):
+        before = set(os.listdir(work_folder(spark)))
+        out = make()
+        assert {name.split("-")[0] for name in set(os.listdir(work_folder(spark))) - before} <= left
+        assert 12 <= out.count() < len(texts)
+    assert docs.count() == len(texts)
